@@ -44,7 +44,8 @@ def chunk_lines(docs: DataFrame, params: ChunkParams, keep_text: bool = True) ->
         return F.struct(*fields)
 
     numbers = F.filter(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda k: k < count)
-    chunks = docs.select("path", F.inline(F.transform(numbers, bounds)))
+    # Outer for the same reason as in numbered_lines.
+    chunks = docs.select("path", F.inline_outer(F.transform(numbers, bounds))).filter("start_line is not null")
     chunks = chunks.withColumn("id", chunk_id(F.col("path"), F.col("start_line"), F.col("end_line")))
     return chunks.select("id", "path", "start_line", "end_line", *(["text"] if keep_text else []))
 

@@ -27,6 +27,21 @@ class Embedder(Protocol):
         ...
 
 
+class _WordCodes(dict):
+    """Word to code, computed on first sight; bounded so that a worker's memory is too."""
+
+    LIMIT = 1_000_000
+
+    def __init__(self, width: int) -> None:
+        self.width = width
+
+    def __missing__(self, word: str) -> int:
+        code = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % self.width
+        if len(self) < self.LIMIT:
+            self[word] = code
+        return code
+
+
 class HashEmbedder:
     """Signed feature hashing of lower-cased words, scaled to length 1.
 
@@ -35,33 +50,28 @@ class HashEmbedder:
     quotient). A text without words has the zero vector.
     """
 
-    _BLANKS = str.maketrans({c: " " for c in "\t\r\n\f\v"})
-
     def __init__(self, dims: int = 64) -> None:
         if dims < 1:
             raise ValueError("dims must be at least 1")
         self.dims = dims
         self.name = f"hash-{dims}"
-        self._codes: dict[str, int] = {}
-
-    def __getstate__(self) -> dict:
-        return {"dims": self.dims, "name": self.name, "_codes": {}}
-
-    def _code(self, word: str) -> int:
-        code = self._codes.get(word)
-        if code is None:
-            digest = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16)
-            code = digest % (2 * self.dims)
-            if len(self._codes) < 1_000_000:
-                self._codes[word] = code
-        return code
+        self._codes = _WordCodes(2 * dims)
+
+    def __reduce__(self):
+        return HashEmbedder, (self.dims,)
 
     def embed(self, texts: list[str]) -> np.ndarray:
+        codes: list[int] = []
+        sizes = []
+        for text in texts:
+            text = text.lower()
+            for blank in "\t\r\n\f\v":
+                text = text.replace(blank, " ")
+            words = [w for w in text.split(" ") if w]
+            codes += map(self._codes.__getitem__, words)
+            sizes.append(len(words))
         width = 2 * self.dims
-        slots: list[int] = []
-        for row, text in enumerate(texts):
-            base = row * width
-            slots += [base + self._code(w) for w in text.lower().translate(self._BLANKS).split(" ") if w]
+        slots = np.repeat(np.arange(len(texts)) * width, sizes) + np.array(codes, np.int64)
         counts = np.bincount(slots, minlength=len(texts) * width).reshape(len(texts), 2, self.dims)
         sums = (counts[:, 0] - counts[:, 1]).astype(np.float64)
         norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
@@ -92,17 +102,18 @@ def _embed_rows(rows: pa.ListArray, embedder: Embedder, policy: str) -> np.ndarr
     offsets = rows.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]
     sizes = np.diff(offsets)
-    lines = np.array([line or "" for line in rows.flatten().to_pylist()], dtype=object)
+    lines = [line or "" for line in rows.flatten().to_pylist()]
     full = np.flatnonzero(sizes)
     out = np.zeros((len(rows), embedder.dims))
     if not len(full):
         return out
     if policy == "first_line":
-        out[full] = embedder.embed(list(lines[offsets[:-1][full]]))
+        out[full] = embedder.embed([lines[i] for i in offsets[:-1][full]])
         return out
     # Overlapping chunks share lines: embed each distinct line of the batch once.
-    distinct, inverse = np.unique(lines.astype(str), return_inverse=True)
-    vectors = embedder.embed(distinct.tolist())[inverse]
+    index: dict[str, int] = {}
+    inverse = [index.setdefault(line, len(index)) for line in lines]
+    vectors = embedder.embed(list(index))[inverse]
     out[full] = np.add.reduceat(vectors, offsets[:-1][full], axis=0) / sizes[full, None]
     return out
 

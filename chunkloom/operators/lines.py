@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 def line_array(text: Column) -> Column:
     """Lines of a text without their terminators (``\\n`` or ``\\r\\n``); no lines for an empty text."""
-    body = F.regexp_replace(text, r"\r?\n\z", "")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, r"\r?\n"))
+    unix = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    body = F.when(unix.endswith("\n"), F.left(unix, F.length(unix) - 1)).otherwise(unix)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n"))
 
 
 def with_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -22,7 +23,10 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
 
     ``docs`` has ``lines``; its other columns are kept.
     """
+    # The outer form keeps the optimizer from testing, and so computing, the split twice
+    # more ahead of the explode.
     keep = [c for c in docs.columns if c != "lines"]
-    return docs.select(
-        *keep, F.size("lines").alias("n"), F.posexplode("lines").alias("line_no", "line")
+    rows = docs.select(
+        *keep, F.size("lines").alias("n"), F.posexplode_outer("lines").alias("line_no", "line")
     )
+    return rows.filter(F.col("line_no").isNotNull())

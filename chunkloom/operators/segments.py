@@ -14,12 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SEGMENT_LINES = 4096
+SEGMENT_BITS = 12
+SEGMENT_LINES = 1 << SEGMENT_BITS
 
 
 def line_segment(line: Column) -> Column:
     """Segment of a line number."""
-    return F.floor(line / SEGMENT_LINES).cast("long")
+    return F.shiftright(line.cast("long"), SEGMENT_BITS)
 
 
 def carry_forward(
@@ -28,21 +29,22 @@ def carry_forward(
     segment: str,
     order: Sequence[str],
     value: Column,
+    end: Column,
     out: str,
     include_self: bool = False,
 ) -> DataFrame:
     """Add ``out``: the last non-null ``value`` of the group before the row (or up to it).
 
-    ``segment`` must not decrease along ``order``; both must be free of nulls.
+    ``end`` is an aggregate that gives the last non-null value of a whole segment; a plain
+    ``max`` of a number is combined by hash before the shuffle. ``segment`` must not
+    decrease along ``order``; both must be free of nulls.
     """
     keys = [*group, segment]
     frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(
         W.unboundedPreceding, 0 if include_self else -1
     )
     local = df.withColumn("__local", F.last(value, ignorenulls=True).over(frame))
-    ends = df.groupBy(*keys).agg(
-        F.max_by(value, F.when(value.isNotNull(), F.struct(*order))).alias("__end")
-    )
+    ends = df.groupBy(*keys).agg(end.alias("__end"))
     earlier = W.partitionBy(*group).orderBy(segment).rowsBetween(W.unboundedPreceding, -1)
     carried = ends.select(*keys, F.last("__end", ignorenulls=True).over(earlier).alias("__carried"))
     return (

@@ -111,9 +111,11 @@ def normalize_symbols(flat: DataFrame, nested: DataFrame) -> DataFrame:
     )
 
 
-def symbols_of_paths(symbols: DataFrame, hits: DataFrame) -> DataFrame:
-    """Symbols of the documents that have a hit."""
-    return symbols.join(hits.select("path").distinct(), "path", "left_semi")
+def of_paths(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of the files that ``wanted`` names: the symbols of the documents that have a hit,
+    or the documents that a few symbols lie in. If the wanted paths are few, the rows are
+    filtered where they are read."""
+    return rows.join(wanted.select("path").distinct(), "path", "left_semi")
 
 
 def next_symbols(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -135,6 +137,7 @@ def next_symbols(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
         "segment",
         ["start_line", "is_symbol", "symbol_id"],
         F.col("is_symbol"),
+        (F.max(F.col("start_line") * 2 + F.col("is_symbol")) % 2).cast("int"),
         "before",
     )
     return ordered.filter((F.col("is_symbol") == 1) & (F.col("before") == 0)).select(*symbols.columns)

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 METRICS = ("l2", "cosine", "dot")
-# Queries sent to the tasks at once, as a number of values; a larger query table is
-# answered in several blocks of that size.
+# Queries sent to the tasks at once, as numbers of rows and values; a larger query table
+# is answered in several blocks of that size.
+BLOCK_ROWS = 20_000
 BLOCK_VALUES = 4_000_000
 _TILE_VALUES = 2_000_000
 _MARGIN = 1e-7
@@ -150,24 +151,25 @@ def _scan(
 
 
 def _blocks(queries: DataFrame) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """The query table in blocks of bounded size. Runs a job per block."""
-    head = queries.select("query_id", "embedding").limit(1).toArrow()
-    if not head.num_rows:
+    """The query table in blocks of bounded size. Runs one job for a usual request."""
+    pairs = queries.select("query_id", "embedding")
+    some = pairs.limit(BLOCK_ROWS + 1).toArrow()
+    if not some.num_rows:
         return
-    dims = len(head.column("embedding")[0])
-    block = max(1, BLOCK_VALUES // dims)
-    some = queries.select("query_id", "embedding").limit(block + 1).toArrow()
+    dims = len(some.column("embedding")[0])
+    block = min(BLOCK_ROWS, max(1, BLOCK_VALUES // dims))
     if some.num_rows <= block:
-        tables = [some]
+        tables = iter([some])
     else:
         # Hash blocks are even to within a few per cent; half the bound leaves room.
-        count = -(-2 * queries.count() // block)
+        count = -(-2 * pairs.count() // block)
         part = F.pmod(F.xxhash64("query_id"), F.lit(count))
-        tables = (queries.filter(part == i).select("query_id", "embedding").toArrow() for i in range(count))
-    for table in tables:
-        if table.num_rows:
-            table = table.combine_chunks()
-            yield table.column("query_id").combine_chunks(), _matrix(table.column("embedding").combine_chunks(), dims)
+        tables = (pairs.filter(part == i).toArrow() for i in range(count))
+    for found in tables:
+        if found.num_rows:
+            found = found.combine_chunks()
+            vectors = found.column("embedding").combine_chunks()
+            yield found.column("query_id").combine_chunks(), _matrix(vectors, dims)
 
 
 def _empty(base: DataFrame, queries: DataFrame) -> DataFrame:

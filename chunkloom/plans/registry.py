@@ -77,7 +77,7 @@ def chunk_table_open(spark, sf_dir):
 @query
 def chunk_table_write(spark, sf_dir):
     table = _stored(spark, sf_dir)
-    table.commit_base(0, t.embedded_chunks(spark, sf_dir))
+    table.commit_base(0, maintain.index_documents(store.clustered_documents(t.docs(spark, sf_dir)), t.PARAMS, t.EMBEDDER))
     return table.live().select("id", "path", "start_line", "end_line", vector_text(F.col("embedding")).alias("vector"))
 
 
@@ -327,7 +327,7 @@ def distinct_paths(spark, sf_dir):
 
 @query
 def symbols_of_hits(spark, sf_dir):
-    return symbols.symbols_of_paths(t.symbols(spark, sf_dir), _hits(spark, sf_dir)).select(*FULL_SYMBOL)
+    return symbols.of_paths(t.symbols(spark, sf_dir), _hits(spark, sf_dir)).select(*FULL_SYMBOL)
 
 
 # Symbols
@@ -606,7 +606,7 @@ def incremental_chunks(spark, sf_dir):
     """First scan of all files, then the change stream; the table that is left."""
     docs = t.docs(spark, sf_dir).select("path", "lines")
     table = store.ChunkStore(spark, scratch(spark, "table"), t.EMBEDDER.dims).open()
-    table.commit_base(0, maintain.index_documents(docs, t.PARAMS, t.EMBEDDER))
+    table.commit_base(0, maintain.index_documents(store.clustered_documents(docs), t.PARAMS, t.EMBEDDER))
     maintain.follow(
         _event_stream(spark, sf_dir), table, docs, t.PARAMS, t.EMBEDDER, scratch(spark, "table-checkpoint")
     )

@@ -15,8 +15,9 @@ from chunkloom.operators.embedding import Embedder, check_model, embed_queries
 from chunkloom.operators.names import search_names
 from chunkloom.operators.render import prompt_blocks, symbol_json
 from chunkloom.operators.rules import rules_for_request
-from chunkloom.operators.symbols import attach_code, attach_hover, filter_kinds, next_symbols, symbols_of_paths
+from chunkloom.operators.symbols import attach_code, attach_hover, filter_kinds, next_symbols, of_paths
 from chunkloom.operators.vectors import nearest
+from chunkloom.session import materialize
 from chunkloom.sources.rules import Ruleset
 
 SYMBOL_COLUMNS = [
@@ -74,15 +75,23 @@ def semantic_hits(
     return nearest(sound, embed_queries(queries, embedder, policy), params.hits_per_query, params.metric)
 
 
-def _detailed(symbols: DataFrame, corpus: Corpus) -> DataFrame:
-    full = attach_hover(attach_code(symbols, corpus.docs), corpus.hovers)
-    return full.withColumn("uri", path_to_uri(F.col("path"))).select(*SYMBOL_COLUMNS)
+def _detailed(found: DataFrame, corpus: Corpus, name: str) -> DataFrame:
+    """A request's symbols with code and hover.
+
+    The symbols are few by the request's limits and written first: the documents and hovers
+    are then filtered by their paths during the scan instead of being shuffled.
+    """
+    few = materialize(found, name)
+    full = attach_code(few, of_paths(corpus.docs, few))
+    full = attach_hover(full, of_paths(corpus.hovers, few))
+    full = full.withColumn("uri", path_to_uri(F.col("path"))).select(*SYMBOL_COLUMNS)
+    return materialize(full, f"{name}-detailed")
 
 
 def semantic_symbols(corpus: Corpus, hits: DataFrame, params: SearchParams) -> DataFrame:
     """The symbols that follow the hit chunks, with code and hover."""
-    of_hits = symbols_of_paths(filter_kinds(corpus.symbols, params.kinds), hits)
-    return _detailed(next_symbols(hits, of_hits), corpus)
+    of_hits = of_paths(filter_kinds(corpus.symbols, params.kinds), hits)
+    return _detailed(next_symbols(hits, of_hits), corpus, "semantic")
 
 
 def fuzzy_symbols(corpus: Corpus, patterns: Sequence[str], params: SearchParams) -> DataFrame:
@@ -94,7 +103,7 @@ def fuzzy_symbols(corpus: Corpus, patterns: Sequence[str], params: SearchParams)
         params.symbols_per_pattern,
         params.max_edits,
     )
-    return _detailed(found, corpus)
+    return _detailed(found, corpus, "fuzzy")
 
 
 def code_reuse_search(
@@ -106,9 +115,13 @@ def code_reuse_search(
     params: SearchParams | None = None,
     policy: str = "mean",
 ) -> SearchResult:
-    """Answer one request: nearest chunks to symbols, names to symbols, rules for each list."""
+    """Answer one request: nearest chunks to symbols, names to symbols, rules for each list.
+
+    The hits and the two lists are used several times and bounded by the request's limits,
+    so each is written once to the shared folder.
+    """
     params = params or SearchParams()
-    hits = semantic_hits(corpus.chunks, semantic_queries, embedder, params, policy)
+    hits = materialize(semantic_hits(corpus.chunks, semantic_queries, embedder, params, policy), "hits")
     semantic = semantic_symbols(corpus, hits, params)
     fuzzy = fuzzy_symbols(corpus, name_patterns, params)
     return SearchResult(semantic, fuzzy, rules_for_request(semantic, ruleset), rules_for_request(fuzzy, ruleset))

@@ -11,6 +11,7 @@ from chunkloom.operators.embedding import HashEmbedder, embed_chunks
 from chunkloom.operators.lines import numbered_lines, with_lines
 from chunkloom.operators.symbols import extract_symbols
 from chunkloom.plans.search import Corpus
+from chunkloom.session import spread
 from chunkloom.sources.rules import Rule, Ruleset
 
 PARAMS = ChunkParams(size=5, overlap=2)
@@ -68,8 +69,8 @@ def doc_path() -> F.Column:
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, path, lang, source, lines``."""
-    raw = table(spark, sf_dir, "documents")
-    return with_lines(raw.select("doc_id", doc_path().alias("path"), "lang", "source", "text"))
+    raw = table(spark, sf_dir, "documents").select("doc_id", doc_path().alias("path"), "lang", "source", "text")
+    return with_lines(spread(raw, "path"))
 
 
 def doc_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the plans rely on: AQE re-plans joins by measured sizes, splits hot
 # join partitions and coalesces small ones.
@@ -58,6 +58,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, and no lost executor
+    makes it be computed again. Runs a job; for results that several branches use."""
+    folder = scratch(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition an input that has fewer splits than the cluster has cores.
+
+    For scans that feed CPU-heavy work: one small file would otherwise be one task. An input
+    of many splits, as any large one, is returned as it is. ``keys`` should be unique.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 _shipped: set[str] = set()
 
 

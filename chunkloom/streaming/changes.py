@@ -69,10 +69,12 @@ def debounce(events: DataFrame, gap: str, segment: str = "1 day") -> DataFrame:
     """
     timed = events.withColumn("segment", F.window("ts", segment).start)
     order = ["ts", "event_id"]
-    seen = carry_forward(timed, ["path"], "segment", order, F.col("ts"), "before")
+    seen = carry_forward(timed, ["path"], "segment", order, F.col("ts"), F.max("ts"), "before")
     opens = F.col("before").isNull() | (F.col("ts") > F.col("before") + F.expr(f"interval {gap}"))
     starts = seen.withColumn("opened", F.when(opens, F.col("ts")))
-    bursts = carry_forward(starts, ["path"], "segment", order, F.col("opened"), "first_ts", include_self=True)
+    bursts = carry_forward(
+        starts, ["path"], "segment", order, F.col("opened"), F.max("opened"), "first_ts", include_self=True
+    )
     return bursts.groupBy("path", "first_ts").agg(
         F.max("ts").alias("last_ts"),
         F.count("*").alias("events"),
