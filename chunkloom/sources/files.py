@@ -38,7 +38,10 @@ def _scan(spark: SparkSession, root_uri: str, globs: Sequence[str]) -> DataFrame
 
 
 def scan_paths(spark: SparkSession, root_uri: str, globs: Sequence[str]) -> DataFrame:
-    """Regular files below the root whose relative path matches a glob. Contents are not read."""
+    """Regular files below the root whose relative path matches a glob. Contents are not read.
+
+    Spark's reader passes over files of length zero; they have no lines and no chunks.
+    """
     return _scan(spark, root_uri, globs).select("path", "length", F.col("modificationTime").alias("modified"))
 
 
