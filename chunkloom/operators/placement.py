@@ -64,8 +64,8 @@ def distance_sums(uses: DataFrame) -> DataFrame:
     )
     return (
         candidates.join(counts, ["symbol_id", "prefix"])
-        .groupBy("symbol_id", "path")
-        .agg(F.first("uses").alias("uses"), F.sum(share).alias("total"))
+        .groupBy("symbol_id", "path", "uses")
+        .agg(F.sum(share).alias("total"))
     )
 
 

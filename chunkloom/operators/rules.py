@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from chunkloom.functions.patterns import any_regex, glob_match
 from chunkloom.functions.text import html_escape
 from chunkloom.operators.segments import line_segment
+from chunkloom.session import materialize
 from chunkloom.sources.rules import Rule, Ruleset
 
 
@@ -116,16 +117,20 @@ def _segment_text(piece: tuple) -> Column:
 def rule_text_parts(matched: DataFrame, ruleset: Ruleset) -> DataFrame:
     """Rendered texts of the rules that match a symbol, in parts.
 
+    The lists are read twice, for their ends and for their texts, so they are written to
+    the shared folder first rather than matched twice.
+
     Columns ``rule_pos, template_pos, piece, path, segment, text``. Joined in the order of
     the first five the texts of one ``(rule_pos, template_pos)`` are the rule's whole text.
     Literal pieces have an empty path and segment 0.
     """
     printed = {p[0] for r in ruleset.depends_on for t in r.rules for p in _printed_fields(t)}
     fields = [c for c in _FIELDS if c in printed]
-    lists = (
+    lists = materialize(
         matched.withColumn("segment", line_segment(F.col("start_line")))
         .groupBy("rule_pos", "path", "segment")
-        .agg(F.array_sort(F.collect_list(F.struct("start_line", "symbol_id", *fields))).alias("symbols"))
+        .agg(F.array_sort(F.collect_list(F.struct("start_line", "symbol_id", *fields))).alias("symbols")),
+        "rule-lists",
     )
     # One row per rule of the file, at most.
     edges = lists.groupBy("rule_pos").agg(

@@ -23,35 +23,18 @@ def line_segment(line: Column) -> Column:
     return F.shiftright(line.cast("long"), SEGMENT_BITS)
 
 
-def carry_forward(
-    df: DataFrame,
-    group: Sequence[str],
-    segment: str,
-    order: Sequence[str],
-    value: Column,
-    end: Column,
-    out: str,
-    include_self: bool = False,
+def carried(
+    df: DataFrame, group: Sequence[str], segment: str, end: Column, out: str = "carried"
 ) -> DataFrame:
-    """Add ``out``: the last non-null ``value`` of the group before the row (or up to it).
+    """Per group and segment the last non-null ``end`` of the group's earlier segments.
 
-    ``end`` is an aggregate that gives the last non-null value of a whole segment; a plain
-    ``max`` of a number is combined by hash before the shuffle. ``segment`` must not
-    decrease along ``order``; both must be free of nulls.
+    ``end`` is an aggregate over a segment's rows; a plain ``max`` of a number is combined
+    by hash before the shuffle. Columns: group, segment and ``out``.
     """
     keys = [*group, segment]
-    frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(
-        W.unboundedPreceding, 0 if include_self else -1
-    )
-    local = df.withColumn("__local", F.last(value, ignorenulls=True).over(frame))
-    ends = df.groupBy(*keys).agg(end.alias("__end"))
     earlier = W.partitionBy(*group).orderBy(segment).rowsBetween(W.unboundedPreceding, -1)
-    carried = ends.select(*keys, F.last("__end", ignorenulls=True).over(earlier).alias("__carried"))
-    return (
-        local.join(carried, keys, "left")
-        .withColumn(out, F.coalesce("__local", "__carried"))
-        .drop("__local", "__carried")
-    )
+    ends = df.groupBy(*keys).agg(end.alias("__end"))
+    return ends.select(*keys, F.last("__end", ignorenulls=True).over(earlier).alias(out))
 
 
 def number_rows(

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chunkloom.functions.kinds import kind_name
 from chunkloom.functions.patterns import any_regex
 from chunkloom.functions.paths import uri_to_path
 from chunkloom.functions.text import hover_text
-from chunkloom.operators.segments import carry_forward, line_segment, number_rows
+from chunkloom.operators.segments import carried, line_segment, number_rows
 
 
 def extract_symbols(
@@ -131,16 +132,16 @@ def next_symbols(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
         .unionByName(symbols.withColumn("is_symbol", F.lit(1)), allowMissingColumns=True)
         .withColumn("segment", line_segment(F.col("start_line")))
     )
-    ordered = carry_forward(
-        pointers,
-        ["path"],
-        "segment",
-        ["start_line", "is_symbol", "symbol_id"],
-        F.col("is_symbol"),
-        (F.max(F.col("start_line") * 2 + F.col("is_symbol")) % 2).cast("int"),
-        "before",
+    order = W.partitionBy("path", "segment").orderBy("start_line", "is_symbol", "symbol_id")
+    near = pointers.withColumn("before", F.lag("is_symbol").over(order))
+    # A symbol that opens its segment follows whatever the earlier segments end with.
+    likely = near.filter((F.col("is_symbol") == 1) & (F.coalesce("before", F.lit(0)) == 0))
+    end = (F.max(F.col("start_line") * 2 + F.col("is_symbol")) % 2).cast("int")
+    return (
+        likely.join(carried(pointers, ["path"], "segment", end), ["path", "segment"], "left")
+        .filter(F.coalesce("before", "carried") == 0)
+        .select(*symbols.columns)
     )
-    return ordered.filter((F.col("is_symbol") == 1) & (F.col("before") == 0)).select(*symbols.columns)
 
 
 def enclosing_symbols(chunks: DataFrame, symbols: DataFrame, bucket: int = 64) -> DataFrame:

@@ -10,13 +10,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the plans rely on: AQE re-plans joins by measured sizes, splits hot
-# join partitions and coalesces small ones.
+# join partitions and coalesces small ones. Windows and aggregates are shuffled by all
+# their keys, so that one by (path, segment) spreads a hot path even if its input is
+# already partitioned by path, and so that a join below it may be split.
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64MB",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+    "spark.sql.requireAllClusterKeysForDistribution": "true",
     "spark.sql.session.timeZone": "UTC",
 }
 

@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chunkloom.functions.patterns import glob_match
-from chunkloom.operators.segments import carry_forward
 
 ACCEPTED = ("create", "modify", "remove")
 LATE = "10 minutes"
@@ -67,19 +67,35 @@ def debounce(events: DataFrame, gap: str, segment: str = "1 day") -> DataFrame:
     timeline is cut into segments and the open burst carried over, so that a path with
     very many events is spread.
     """
+    wait = F.expr(f"interval {gap}")
     timed = events.withColumn("segment", F.window("ts", segment).start)
-    order = ["ts", "event_id"]
-    seen = carry_forward(timed, ["path"], "segment", order, F.col("ts"), F.max("ts"), "before")
-    opens = F.col("before").isNull() | (F.col("ts") > F.col("before") + F.expr(f"interval {gap}"))
-    starts = seen.withColumn("opened", F.when(opens, F.col("ts")))
-    bursts = carry_forward(
-        starts, ["path"], "segment", order, F.col("opened"), F.max("opened"), "first_ts", include_self=True
+    order = W.partitionBy("path", "segment").orderBy("ts", "event_id")
+    opened = F.when(F.col("ts") > F.col("before") + wait, F.col("ts"))
+    local = timed.withColumn("before", F.lag("ts").over(order)).withColumn(
+        "inner", F.max(opened).over(order.rowsBetween(W.unboundedPreceding, 0))
     )
-    return bursts.groupBy("path", "first_ts").agg(
+    # Bursts within a segment; the one without an inner start may continue an earlier burst.
+    parts = local.groupBy("path", "segment", "inner").agg(
+        F.min("ts").alias("start"),
         F.max("ts").alias("last_ts"),
         F.count("*").alias("events"),
         F.max_by("kind", F.struct("ts", "event_id")).alias("kind"),
     )
+    along = W.partitionBy("path").orderBy("segment")
+    previous = F.lag("segment_last").over(along)
+    heads = (
+        parts.groupBy("path", "segment")
+        .agg(F.min("start").alias("segment_start"), F.max("last_ts").alias("segment_last"), F.max("inner").alias("inner"))
+        .withColumn("fresh", F.coalesce(F.col("segment_start") > previous + wait, F.lit(True)))
+        .withColumn("open", F.coalesce("inner", F.when(F.col("fresh"), F.col("segment_start"))))
+        .withColumn("earlier", F.last("open", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1)))
+        .select("path", "segment", F.when(F.col("fresh"), F.col("segment_start")).otherwise(F.col("earlier")).alias("head"))
+    )
+    return (
+        parts.join(heads, ["path", "segment"])
+        .groupBy("path", F.coalesce("inner", "head").alias("first_ts"))
+        .agg(F.max("last_ts").alias("last_ts"), F.sum("events").alias("events"), F.max_by("kind", "last_ts").alias("kind"))
+    )
 
 
 def debounce_stream(events: DataFrame, gap: str, late: str = LATE) -> DataFrame:

@@ -148,18 +148,14 @@ def test_positions_and_groups_over_segments(spark):
     assert joined == [s[0] for s in sorted(found, key=lambda s: (s[1], s[4], s[0]))]
 
 
-def test_carry_forward_against_a_plain_walk(spark):
+def test_carried_against_a_plain_walk(spark):
     rnd = random.Random(15)
-    data = [("g" if rnd.random() < 0.7 else "h", i, rnd.choice([None, None, rnd.randint(0, 99)])) for i in range(400)]
-    frame = spark.createDataFrame(data, "grp string, at long, v long").withColumn("seg", F.floor(F.col("at") / 16))
+    data = [("g" if rnd.random() < 0.7 else "h", i, rnd.choice([None, None, None, rnd.randint(0, 99)])) for i in range(400)]
+    frame = spark.createDataFrame(data, "grp string, at long, v long").withColumn("seg", F.floor(F.col("at") / 8))
     end = F.max_by("v", F.when(F.col("v").isNotNull(), F.col("at")))
-    for include in (False, True):
-        got = segments.carry_forward(frame, ["grp"], "seg", ["at"], F.col("v"), end, "before", include)
-        found = {(r.grp, r.at): r.before for r in got.collect()}
-        last = {}
-        for grp, at, v in data:
-            if include and v is not None:
-                last[grp] = v
-            assert found[grp, at] == last.get(grp)
-            if v is not None:
-                last[grp] = v
+    got = {(r.grp, r.seg): r.carried for r in segments.carried(frame, ["grp"], "seg", end).collect()}
+    want = {}
+    for grp, at, _ in data:
+        earlier = [v for g, a, v in data if g == grp and a // 8 < at // 8 and v is not None]
+        want[grp, at // 8] = earlier[-1] if earlier else None
+    assert got == want
