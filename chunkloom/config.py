@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from pathlib import Path
+from typing import Any
 
 
 @dataclass(frozen=True)
@@ -35,6 +37,7 @@ class SearchParams:
     metric: str = "l2"
     name_mode: str = "subsequence"
     max_edits: int = 2
+    probes: int = 8
 
     def __post_init__(self) -> None:
         if self.hits_per_query < 1 or self.symbols_per_pattern < 1:
@@ -58,11 +61,53 @@ class EngineConfig:
     placer: PlacerParams = field(default_factory=PlacerParams)
     globs: tuple[str, ...] = ("**/*",)
     embed_batch: int = 100
+    model: str = "hash-64"
+    index_embeddings: bool = False
     debounce: str = "1 second"
     response: str = "prompt"
+    rules: str | None = None
 
     def __post_init__(self) -> None:
         if self.embed_batch < 1:
             raise ValueError("embed_batch must be at least 1")
         if self.response not in ("prompt", "json"):
             raise ValueError(f"unknown response type {self.response!r}")
+
+
+def _at(data: Any, keys: str, default: Any) -> Any:
+    for key in keys.split("."):
+        if not isinstance(data, dict) or key not in data:
+            return default
+        data = data[key]
+    return default if data is None else data
+
+
+def load_config(path: str | Path) -> EngineConfig:
+    """Read the data-processing settings of a YAML configuration; other keys are ignored."""
+    import yaml
+
+    data = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    default = EngineConfig()
+    limit = "search.fuzzy.server_options.workspace.symbol.search.limit"
+    seconds = _at(data, "debounce_sec", 1)
+    return EngineConfig(
+        chunks=ChunkParams(
+            _at(data, "search.semantic.chunk_size", default.chunks.size),
+            _at(data, "search.semantic.overlap_size", default.chunks.overlap),
+        ),
+        search=SearchParams(
+            hits_per_query=_at(data, "search.semantic.search_limit", default.search.hits_per_query),
+            symbols_per_pattern=_at(data, limit, default.search.symbols_per_pattern),
+        ),
+        placer=PlacerParams(
+            tuple(_at(data, "placer.final_symbol_kinds", default.placer.kinds)),
+            _at(data, "placer.use_max_distance", default.placer.use_max_distance),
+        ),
+        globs=(_at(data, "search.semantic.pattern", default.globs[0]),),
+        embed_batch=_at(data, "search.semantic.batch_size", default.embed_batch),
+        model=_at(data, "search.semantic.model", default.model),
+        index_embeddings=_at(data, "search.semantic.index_embeddings", False),
+        debounce=f"{seconds} seconds",
+        response=str(_at(data, "response", default.response)).lower(),
+        rules=_at(data, "rules", None),
+    )

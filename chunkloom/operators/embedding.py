@@ -95,10 +95,16 @@ def model(name: str) -> Embedder:
     return _FACTORIES.get(name, _FACTORIES[DEFAULT_MODEL])()
 
 
-def _embed_rows(rows: pa.ListArray, embedder: Embedder, policy: str) -> np.ndarray:
+def _embed_texts(texts: list[str], embedder: Embedder, batch: int | None) -> np.ndarray:
+    """Vectors of texts, the model called with at most ``batch`` of them at a time."""
+    size = batch or max(1, len(texts))
+    return np.concatenate([embedder.embed(texts[at : at + size]) for at in range(0, len(texts) or 1, size)])
+
+
+def _embed_rows(rows: pa.ListArray, embedder: Embedder, policy: str, batch: int | None = None) -> np.ndarray:
     """Vectors of an array of line lists."""
     if policy == "concat":
-        return embedder.embed(["\n".join(lines or ()) for lines in rows.to_pylist()])
+        return _embed_texts(["\n".join(lines or ()) for lines in rows.to_pylist()], embedder, batch)
     offsets = rows.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]
     sizes = np.diff(offsets)
@@ -108,42 +114,44 @@ def _embed_rows(rows: pa.ListArray, embedder: Embedder, policy: str) -> np.ndarr
     if not len(full):
         return out
     if policy == "first_line":
-        out[full] = embedder.embed([lines[i] for i in offsets[:-1][full]])
+        out[full] = _embed_texts([lines[i] for i in offsets[:-1][full]], embedder, batch)
         return out
     # Overlapping chunks share lines: embed each distinct line of the batch once.
     index: dict[str, int] = {}
     inverse = [index.setdefault(line, len(index)) for line in lines]
-    vectors = embedder.embed(list(index))[inverse]
+    vectors = _embed_texts(list(index), embedder, batch)[inverse]
     out[full] = np.add.reduceat(vectors, offsets[:-1][full], axis=0) / sizes[full, None]
     return out
 
 
-def embed_lines(text: Column, embedder: Embedder, policy: str = "mean") -> Column:
+def embed_lines(text: Column, embedder: Embedder, policy: str = "mean", batch: int | None = None) -> Column:
     """Vector of an ``array<string>`` column.
 
     ``mean`` averages the line vectors, ``first_line`` takes the first line's vector and
-    ``concat`` embeds the joined text. Arrow batches go to the workers; the result does not
-    depend on their size.
+    ``concat`` embeds the joined text. Arrow batches go to the workers, which call the model
+    with at most ``batch`` texts; the result does not depend on either size.
     """
     if policy not in POLICIES:
         raise ValueError(f"unknown policy {policy!r}, expected one of {POLICIES}")
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            if batch.null_count:
-                batch = pa.array([lines or [] for lines in batch.to_pylist()], pa.list_(pa.string()))
-            matrix = _embed_rows(batch, embedder, policy)
+        for rows in batches:
+            if rows.null_count:
+                rows = pa.array([lines or [] for lines in rows.to_pylist()], pa.list_(pa.string()))
+            matrix = _embed_rows(rows, embedder, policy, batch)
             ends = np.arange(0, matrix.size + 1, embedder.dims, dtype=np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(matrix.reshape(-1)))
 
     return vectors(text)
 
 
-def embed_chunks(chunks: DataFrame, embedder: Embedder, policy: str = "mean") -> DataFrame:
+def embed_chunks(
+    chunks: DataFrame, embedder: Embedder, policy: str = "mean", batch: int | None = None
+) -> DataFrame:
     """Replace ``text`` by ``embedding``; the dimension and the model go into the column's metadata."""
     meta = {"ndims": embedder.dims, "model": embedder.name, "policy": policy}
-    vector = embed_lines(F.col("text"), embedder, policy).alias("embedding", metadata=meta)
+    vector = embed_lines(F.col("text"), embedder, policy, batch).alias("embedding", metadata=meta)
     return chunks.select(*[c for c in chunks.columns if c != "text"], vector)
 
 

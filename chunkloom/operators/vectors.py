@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -225,6 +225,17 @@ def seed_cells(base: DataFrame, cells: int, id_col: str = "id") -> np.ndarray:
     return _matrix(head, len(head[0]))
 
 
+def save_cells(spark: SparkSession, centroids: np.ndarray, path: str) -> None:
+    """Write centroids next to the table whose cells they make."""
+    rows = [(i, c.tolist()) for i, c in enumerate(centroids)]
+    spark.createDataFrame(rows, "cell int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_cells(spark: SparkSession, path: str) -> np.ndarray:
+    stored = spark.read.parquet(path).orderBy("cell").toArrow().column("centroid").combine_chunks()
+    return _matrix(stored, len(stored[0]))
+
+
 def assign_cells(base: DataFrame, centroids: np.ndarray) -> DataFrame:
     """Add ``cell``: the nearest centroid. Write the result with ``partitionBy("cell")`` to let
     searches prune the cells that no query probes."""

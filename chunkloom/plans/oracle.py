@@ -224,7 +224,7 @@ def _with(views: str, body: str) -> str:
 
 
 def _vector_text(vector: str) -> str:
-    return f"array_to_string(list_transform({vector}, lambda x: round(x * 1e6)::BIGINT), ',')"
+    return f"array_to_string(list_transform({vector}, lambda x: floor(x * 1e6 + 0.5)::BIGINT), ',')"
 
 
 def _stamp(ts: str) -> str:

@@ -14,6 +14,7 @@ from chunkloom.operators.lines import numbered_lines
 from chunkloom.plans import place, search
 from chunkloom.plans import tables as t
 from chunkloom.session import scratch
+from chunkloom.sources.documents import TableDocuments
 from chunkloom.streaming import changes, maintain
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,7 +40,7 @@ def stamp(ts: Column) -> Column:
 
 def vector_text(vector: Column) -> Column:
     """A vector as text of millionths, equal on both sides of the comparison."""
-    return F.array_join(F.transform(vector, lambda x: F.round(x * 1e6).cast("long").cast("string")), ",")
+    return F.array_join(F.transform(vector, lambda x: F.floor(x * 1e6 + 0.5).cast("string")), ",")
 
 
 # Sources and sinks
@@ -608,7 +609,7 @@ def incremental_chunks(spark, sf_dir):
     table = store.ChunkStore(spark, scratch(spark, "table"), t.EMBEDDER.dims).open()
     table.commit_base(0, maintain.index_documents(store.clustered_documents(docs), t.PARAMS, t.EMBEDDER))
     maintain.follow(
-        _event_stream(spark, sf_dir), table, docs, t.PARAMS, t.EMBEDDER, scratch(spark, "table-checkpoint")
+        _event_stream(spark, sf_dir), table, TableDocuments(docs), t.PARAMS, t.EMBEDDER, scratch(spark, "table-checkpoint")
     )
     return table.live().select("id", "path", "start_line", "end_line", vector_text(F.col("embedding")).alias("vector"))
 

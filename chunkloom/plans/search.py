@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from chunkloom.operators.names import search_names
 from chunkloom.operators.render import prompt_blocks, symbol_json
 from chunkloom.operators.rules import rules_for_request
 from chunkloom.operators.symbols import attach_code, attach_hover, filter_kinds, next_symbols, of_paths
-from chunkloom.operators.vectors import nearest
+from chunkloom.operators.vectors import nearest, nearest_in_cells
 from chunkloom.session import materialize
 from chunkloom.sources.rules import Ruleset
 
@@ -51,6 +52,10 @@ class SearchResult:
             prompt_blocks(self.fuzzy, self.fuzzy_rules, "fuzzy", 1)
         )
 
+    def response(self, kind: str) -> DataFrame:
+        """The response of the configured type, ``prompt`` or ``json``."""
+        return self.json() if kind == "json" else self.blocks()
+
     def json(self) -> DataFrame:
         """The JSON response, one document per rule and symbol."""
         parts = []
@@ -67,12 +72,24 @@ class SearchResult:
 
 
 def semantic_hits(
-    chunks: DataFrame, queries: DataFrame, embedder: Embedder, params: SearchParams, policy: str = "mean"
+    chunks: DataFrame,
+    queries: DataFrame,
+    embedder: Embedder,
+    params: SearchParams,
+    policy: str = "mean",
+    centroids: np.ndarray | None = None,
 ) -> DataFrame:
-    """The nearest chunks of each ``(query_id, text)``; rows with a wrong id are left out."""
+    """The nearest chunks of each ``(query_id, text)``; rows with a wrong id are left out.
+
+    With ``centroids`` the chunks have a ``cell`` and each query probes ``params.probes`` cells:
+    less work, and hits in other cells are missed.
+    """
     check_model(chunks, embedder)
     sound = verify_chunks(chunks).filter("ok").drop("ok")
-    return nearest(sound, embed_queries(queries, embedder, policy), params.hits_per_query, params.metric)
+    asked = embed_queries(queries, embedder, policy)
+    if centroids is None:
+        return nearest(sound, asked, params.hits_per_query, params.metric)
+    return nearest_in_cells(sound, asked, centroids, params.hits_per_query, params.probes, params.metric)
 
 
 def _detailed(found: DataFrame, corpus: Corpus, name: str) -> DataFrame:
@@ -114,6 +131,7 @@ def code_reuse_search(
     embedder: Embedder,
     params: SearchParams | None = None,
     policy: str = "mean",
+    centroids: np.ndarray | None = None,
 ) -> SearchResult:
     """Answer one request: nearest chunks to symbols, names to symbols, rules for each list.
 
@@ -121,7 +139,7 @@ def code_reuse_search(
     so each is written once to the shared folder.
     """
     params = params or SearchParams()
-    hits = materialize(semantic_hits(corpus.chunks, semantic_queries, embedder, params, policy), "hits")
+    hits = materialize(semantic_hits(corpus.chunks, semantic_queries, embedder, params, policy, centroids), "hits")
     semantic = semantic_symbols(corpus, hits, params)
     fuzzy = fuzzy_symbols(corpus, name_patterns, params)
     return SearchResult(semantic, fuzzy, rules_for_request(semantic, ruleset), rules_for_request(fuzzy, ruleset))

@@ -20,6 +20,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64MB",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
     "spark.sql.requireAllClusterKeysForDistribution": "true",
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
     "spark.sql.session.timeZone": "UTC",
 }
 

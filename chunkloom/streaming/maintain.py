@@ -12,6 +12,7 @@ from chunkloom.functions.patterns import glob_match
 from chunkloom.operators.chunking import chunk_lines
 from chunkloom.operators.embedding import Embedder, embed_chunks
 from chunkloom.operators.store import REMOVE, UPSERT, ChunkStore, expand_folders
+from chunkloom.sources.documents import Documents
 from chunkloom.streaming.changes import accept, action, latest
 
 
@@ -24,7 +25,7 @@ def apply_changes(
     store: ChunkStore,
     batch_id: int,
     events: DataFrame,
-    docs: DataFrame,
+    docs: Documents,
     params: ChunkParams,
     embedder: Embedder,
     policy: str = "mean",
@@ -32,7 +33,7 @@ def apply_changes(
 ) -> None:
     """Apply one micro-batch: re-chunk the files it creates or changes, drop those it removes.
 
-    The last event of a path decides. A path that does not match ``globs`` is taken for a
+    The last event of a path decides, and only changed documents are read. A path that does not match ``globs`` is taken for a
     folder and stands for the known files below it; such events are rare, and only they
     make the path columns of documents and table be read.
     """
@@ -43,12 +44,12 @@ def apply_changes(
     if globs:
         folders = last.filter(~glob_match(F.col("path"), globs))
         if not folders.isEmpty():
-            known = docs.select("path").filter(glob_match(F.col("path"), globs))
+            known = docs.paths().filter(glob_match(F.col("path"), globs))
             back = expand_folders(folders.filter(F.col("action") == UPSERT), known)
             gone = expand_folders(folders.filter(F.col("action") == REMOVE), store.live().select("path").distinct())
             upserts = upserts.unionByName(back).distinct()
             removes = removes.unionByName(gone).distinct().join(upserts, "path", "left_anti")
-    changed = docs.join(upserts, "path", "left_semi")
+    changed = docs.of(upserts)
     changes = upserts.withColumn("action", F.lit(UPSERT)).unionByName(removes.withColumn("action", F.lit(REMOVE)))
     store.commit(batch_id, index_documents(changed, params, embedder, policy), changes)
 
@@ -56,7 +57,7 @@ def apply_changes(
 def follow(
     events: DataFrame,
     store: ChunkStore,
-    docs: DataFrame,
+    docs: Documents,
     params: ChunkParams,
     embedder: Embedder,
     checkpoint: str,

@@ -5,7 +5,7 @@ import random
 import pytest
 from conftest import rows
 
-from chunkloom.config import ChunkParams, EngineConfig, SearchParams
+from chunkloom.config import ChunkParams, EngineConfig, SearchParams, load_config
 from chunkloom.operators.chunking import chunk_lines, chunk_stats, verify_chunks
 from chunkloom.operators.lines import numbered_lines, with_lines
 from pyspark.sql import functions as F
@@ -114,3 +114,22 @@ def test_bad_parameters():
     ):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_config_file(tmp_path):
+    file = tmp_path / "config.yml"
+    file.write_text(
+        "debounce_sec: 2\nresponse: Json\nrules: r.yml\nplacer: {final_symbol_kinds: [Trait], use_max_distance: false}\n"
+        "search:\n  fuzzy: {server_options: {workspace: {symbol: {search: {limit: 5}}}}}\n"
+        "  semantic: {chunk_size: 7, overlap_size: 3, batch_size: 9, search_limit: 4, pattern: '**/*.kt', index_embeddings: true}\n"
+    )
+    got = load_config(file)
+    assert (got.chunks, got.globs, got.embed_batch, got.index_embeddings) == (ChunkParams(7, 3), ("**/*.kt",), 9, True)
+    assert (got.search.hits_per_query, got.search.symbols_per_pattern) == (4, 5)
+    assert (got.placer.kinds, got.placer.use_max_distance) == (("Trait",), False)
+    assert (got.debounce, got.response, got.rules) == ("2 seconds", "json", "r.yml")
+    file.write_text("{}")
+    assert load_config(file).chunks == ChunkParams(5, 2)
+    file.write_text("search: {semantic: {chunk_size: 2, overlap_size: 2}}")
+    with pytest.raises(ValueError):
+        load_config(file)

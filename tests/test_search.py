@@ -128,6 +128,8 @@ def test_policies_and_batches(spark):
     model = embedding.HashEmbedder(8)
     chunks = [["a b", "c"], [], ["a b"], ["", "x y z"]] * 5
     whole = {p: embedding._embed_rows(pa.array(chunks), model, p) for p in embedding.POLICIES}
+    for policy in embedding.POLICIES:
+        assert (embedding._embed_rows(pa.array(chunks), model, policy, 3) == whole[policy]).all()
     assert np.allclose(whole["mean"][0], (model.embed(["a b"])[0] + model.embed(["c"])[0]) / 2)
     assert np.allclose(whole["first_line"][0], model.embed(["a b"])[0])
     assert np.allclose(whole["concat"][0], model.embed(["a b\nc"])[0])
@@ -211,6 +213,21 @@ def test_code_reuse_search(spark):
     assert found.json().count() == 2 + 1 + 1 + 1
 
 
+def test_search_in_cells(spark, tmp_path):
+    """With every cell probed the answer is the exact one; the centroids survive being stored."""
+    model = embedding.HashEmbedder(64)
+    corpus = small_corpus(spark, model)
+    vectors.save_cells(spark, vectors.seed_cells(corpus.chunks, 2), str(tmp_path / "cells"))
+    centers = vectors.load_cells(spark, str(tmp_path / "cells"))
+    assert centers.shape == (2, 64)
+    celled = Corpus(vectors.assign_cells(corpus.chunks, centers), corpus.docs, corpus.symbols, corpus.hovers)
+    asked = spark.createDataFrame([(0, "opens a socket"), (1, "yaml rules")], "query_id long, text string")
+    exact = code_reuse_search(corpus, asked, ["o"], RULES, model)
+    found = code_reuse_search(celled, asked, ["o"], RULES, model, SearchParams(probes=2), centroids=centers)
+    assert rows(found.semantic) == rows(exact.semantic) and found.semantic.count() > 0
+    assert rows(found.response("json")) == rows(exact.json())
+
+
 def test_search_without_results(spark):
     model = embedding.HashEmbedder(64)
     asked = spark.createDataFrame([], "query_id long, text string")

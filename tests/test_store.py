@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from chunkloom.config import ChunkParams
 from chunkloom.operators import store
 from chunkloom.operators.embedding import HashEmbedder, check_dims
+from chunkloom.sources import documents as sources
+from chunkloom.sources.documents import FileDocuments, TableDocuments
 from chunkloom.sources.files import paths_of_uris, root_path, scan_documents, scan_paths
 from chunkloom.streaming import changes, maintain
 
@@ -40,6 +42,22 @@ def test_scan_files(spark, tmp_path):
             root_path(bad)
 
 
+def test_documents_of_changed_paths(spark, tmp_path, monkeypatch):
+    """Only the changed files are read; long lists of changes give the same rows by a join."""
+    for name in ("a.rs", "b c.rs", "ü.rs", "d.txt"):
+        (tmp_path / name).write_text(f"{name}\nend\n")
+    here = FileDocuments(spark, f"file://{tmp_path}", ["*.rs"])
+    wanted = spark.createDataFrame([(f"{tmp_path}/{n}",) for n in ("b c.rs", "ü.rs", "gone.rs", "d.txt")], "path string")
+    want = [(f"{tmp_path}/b c.rs", ["b c.rs", "end"]), (f"{tmp_path}/ü.rs", ["ü.rs", "end"])]
+    table = TableDocuments(here.of(here.paths()))
+    assert here.paths().count() == 3
+    for few in (1000, 1):
+        monkeypatch.setattr(sources, "FEW", few)
+        assert rows(here.of(wanted)) == want
+        assert rows(table.of(wanted)) == want
+    assert table.of(wanted.limit(0)).count() == 0
+
+
 def test_uris(spark):
     frame = spark.createDataFrame([("file:///a",), ("untitled:1",)], "uri string")
     assert rows(paths_of_uris(frame)) == [("file:///a", "/a")]
@@ -233,7 +251,7 @@ def test_incremental_table(spark, tmp_path):
     """Micro-batches, a replay and folder events leave the table of the surviving files."""
     texts = {f"/p/f{i}.txt": [f"w{i} {j}" for j in range(i + 1)] for i in range(8)}
     texts |= {f"/q/f{i}.txt": ["q"] * i for i in range(1, 4)}
-    docs = documents(spark, texts)
+    docs = TableDocuments(documents(spark, texts))
     table = store.ChunkStore(spark, str(tmp_path / "t"), 8).open()
     table.commit_base(0, indexed(spark, texts))
     feed = str(tmp_path / "feed")
