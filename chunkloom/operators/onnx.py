@@ -1,0 +1,63 @@
+"""An embedder for exported transformer models, where ONNX Runtime is installed."""
+
+from __future__ import annotations
+
+import json
+from pathlib import Path
+
+import numpy as np
+
+
+class OnnxEmbedder:
+    """Mean-pooled token vectors of ``<folder>/model.onnx``, scaled to length 1.
+
+    The folder also holds ``tokenizer.json`` and, optionally, ``config.json``. It must be
+    readable under the same path on every executor. The model is loaded once per Python
+    worker, on first use.
+    """
+
+    def __init__(self, folder: str, dims: int | None = None) -> None:
+        self.folder = str(folder)
+        self.name = Path(folder).name
+        self._session = self._tokenizer = None
+        self.dims = dims if dims is not None else self.embed(["dimension"]).shape[1]
+
+    def __reduce__(self):
+        return OnnxEmbedder, (self.folder, self.dims)
+
+    def _load(self) -> None:
+        import onnxruntime
+        from tokenizers import Tokenizer
+
+        home = Path(self.folder)
+        options = onnxruntime.SessionOptions()
+        options.intra_op_num_threads = 1  # the tasks of an executor are the parallelism
+        self._session = onnxruntime.InferenceSession(
+            str(home / "model.onnx"), options, providers=["CPUExecutionProvider"]
+        )
+        config = home / "config.json"
+        limit = json.loads(config.read_text()).get("max_position_embeddings", 512) if config.exists() else 512
+        self._tokenizer = Tokenizer.from_file(str(home / "tokenizer.json"))
+        self._tokenizer.enable_truncation(limit)
+        self._tokenizer.enable_padding()
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        if self._session is None:
+            self._load()
+        if not texts:
+            return np.zeros((0, self.dims))
+        coded = self._tokenizer.encode_batch(texts)
+        mask = np.array([c.attention_mask for c in coded], np.int64)
+        if not mask.size:
+            return np.zeros((len(texts), self.dims))
+        given = {
+            "input_ids": np.array([c.ids for c in coded], np.int64),
+            "attention_mask": mask,
+            "token_type_ids": np.array([c.type_ids for c in coded], np.int64),
+        }
+        asked = {i.name for i in self._session.get_inputs()}
+        tokens = self._session.run(None, {k: v for k, v in given.items() if k in asked})[0].astype(np.float64)
+        weight = mask[:, :, None].astype(np.float64)
+        mean = (tokens * weight).sum(axis=1) / np.maximum(weight.sum(axis=1), 1.0)
+        norm = np.sqrt((mean * mean).sum(axis=1, keepdims=True))
+        return np.divide(mean, norm, out=np.zeros_like(mean), where=norm > 0)

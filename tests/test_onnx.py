@@ -1,0 +1,72 @@
+"""The ONNX embedder on a hand-made model that looks up a vector per token."""
+
+import json
+
+import numpy as np
+import pytest
+
+from chunkloom.operators import embedding
+
+pytest.importorskip("onnxruntime")
+tokenizers = pytest.importorskip("tokenizers")
+
+TABLE = np.array([[0, 0, 0], [1, 0, 0], [0, 2, 0], [0, 0, 3]], np.float32)
+
+
+def varint(n):
+    out = b""
+    while n > 127:
+        out += bytes([n & 127 | 128])
+        n >>= 7
+    return out + bytes([n])
+
+
+def field(number, value):
+    """One protobuf field: an integer or bytes."""
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def tensor_info(name, elem, axes):
+    shape = b"".join(field(1, field(2, axis)) for axis in axes)
+    return field(1, name) + field(2, field(1, field(1, elem) + field(2, shape)))
+
+
+def lookup_model():
+    weights = b"".join(field(1, n) for n in TABLE.shape) + field(2, 1) + field(8, "table") + field(9, TABLE.tobytes())
+    node = field(1, "table") + field(1, "input_ids") + field(2, "tokens") + field(4, "Gather")
+    graph = field(1, node) + field(2, "lookup") + field(5, weights)
+    graph += field(11, tensor_info("input_ids", 7, "bs")) + field(11, tensor_info("attention_mask", 7, "bs"))
+    graph += field(12, tensor_info("tokens", 1, "bsd"))
+    return field(1, 8) + field(8, field(1, "") + field(2, 13)) + field(7, graph)
+
+
+@pytest.fixture
+def models(tmp_path):
+    home = tmp_path / "tiny"
+    home.mkdir()
+    (home / "model.onnx").write_bytes(lookup_model())
+    (home / "config.json").write_text(json.dumps({"max_position_embeddings": 4}))
+    words = tokenizers.Tokenizer(tokenizers.models.WordLevel({"[PAD]": 0, "a": 1, "b": 2, "c": 3}, "[PAD]"))
+    words.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
+    words.save(str(home / "tokenizer.json"))
+    return str(tmp_path)
+
+
+def test_pooling(models):
+    tiny = embedding.model("tiny", models)
+    assert (tiny.name, tiny.dims) == ("tiny", 3)
+    got = tiny.embed(["a", "a a b", "", "a a a a c c c"])
+    want = np.array([[1, 0, 0], [2 / 3, 2 / 3, 0], [0, 0, 0], [1, 0, 0]])
+    norms = np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.allclose(got, np.divide(want, norms, out=np.zeros_like(want), where=norms > 0))
+    assert embedding.model("other", models).name == embedding.DEFAULT_MODEL
+
+
+def test_on_spark(spark, models):
+    tiny = embedding.model("tiny", models)
+    frame = spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["c"]) for i in range(20)], "id int, text array<string>")
+    got = embedding.embed_chunks(frame.repartition(3), tiny, "mean", batch=4).collect()
+    assert all(r.embedding == ([0.5, 0.5, 0.0] if r.id % 2 else [0.0, 0.0, 1.0]) for r in got)
