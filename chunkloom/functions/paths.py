@@ -42,14 +42,13 @@ def components(path: Column) -> Column:
 def prefixes(path: Column) -> Column:
     """Every leading directory of a path and the path itself, from the root ``""`` on.
 
-    ``/a/b`` gives ``["", "/a", "/a/b"]``; the element at index ``d`` has ``d`` components.
+    For absolute paths: ``/a/b`` gives ``["", "/a", "/a/b"]``; the element at index ``d`` has
+    ``d`` components.
     """
-    parts = components(path)
+    clean = F.rtrim(F.regexp_replace(path, "/+", "/"), F.lit("/"))
+    depth = F.length(clean) - F.length(F.replace(clean, F.lit("/"), F.lit("")))
     return F.transform(
-        F.sequence(F.lit(0), F.size(parts)),
-        lambda d: F.when(d == 0, F.lit("")).otherwise(
-            F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), d), "/"))
-        ),
+        F.sequence(F.lit(1), depth + 1), lambda d: F.call_function("substring_index", clean, F.lit("/"), d)
     )
 
 

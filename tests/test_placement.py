@@ -34,6 +34,7 @@ def example(spark, seed=21):
         who = 0 if rnd.random() < 0.34 else rnd.randrange(1, 24)
         depth = rnd.randint(0, 3)
         uses.append((who, "/" + "".join(rnd.choice("abc") + "/" for _ in range(depth)) + f"u{rnd.randrange(6)}.rs"))
+    uses += [(0, "/a"), (0, "/a/b"), (5, "/b"), (5, "/b/u1.rs"), (5, "/b/u1.rs/x")]  # files that are folders too
     uses += [(i, p) for i, p in symbols]  # uses at home are not counted
     return (
         symbols,
