@@ -211,6 +211,16 @@ def test_latest_state_and_duplicates(spark):
     assert rows(changes.accept(frame, ["/f?"]).select("path").distinct()) == sorted({(e[1],) for e in kept if len(e[1]) == 3})
 
 
+def test_first_scan_comes_before_the_feed(spark):
+    """Create events of the first scan, then the feed's last word per path."""
+    known = spark.createDataFrame([("/a",), ("/b",)], "path string")
+    start = changes.snapshot_events(known, F.lit(T0))
+    feed = spark.createDataFrame([(1, "/b", "remove", T0), (2, "/c", "create", T0)], EVENT)
+    assert rows(changes.latest(start.unionByName(feed)), "path", "kind") == [
+        ("/a", "create"), ("/b", "remove"), ("/c", "create"),
+    ]
+
+
 def test_feed_follows_new_files(spark, tmp_path):
     """Files already there come first, later ones in the next run; a path per row."""
     feed = str(tmp_path / "feed")
