@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,11 +18,16 @@ from chunkloom.sources.rules import Ruleset
 
 @dataclass(frozen=True)
 class PlacerResult:
-    """Symbols of the project, places for those that should move, rule texts in parts."""
+    """Symbols of the project, places for those that should move, rule texts in parts, which
+    are matched when first asked for."""
 
     symbols: DataFrame
     places: DataFrame
-    rules: DataFrame
+    ruleset: Ruleset
+
+    @cached_property
+    def rules(self) -> DataFrame:
+        return rule_text_parts(match_rules(self.symbols, self.ruleset), self.ruleset)
 
     def json(self) -> DataFrame:
         """One JSON document per symbol, place and part of a rule text."""
@@ -43,4 +49,4 @@ def symbols_placer(
     params = params or PlacerParams()
     wanted = attach_code(filter_kinds(symbols, params.kinds), docs)
     places = place_symbols(filter_kinds(symbols, params.kinds), references, params.use_max_distance)
-    return PlacerResult(wanted, places, rule_text_parts(match_rules(wanted, ruleset), ruleset))
+    return PlacerResult(wanted, places, ruleset)

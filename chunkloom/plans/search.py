@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -39,12 +40,19 @@ class Corpus:
 
 @dataclass(frozen=True)
 class SearchResult:
-    """Two lists of symbols, each with its rules."""
+    """Two lists of symbols, each with its rules, which are matched when first asked for."""
 
     semantic: DataFrame
     fuzzy: DataFrame
-    semantic_rules: DataFrame
-    fuzzy_rules: DataFrame
+    ruleset: Ruleset
+
+    @cached_property
+    def semantic_rules(self) -> DataFrame:
+        return rules_for_request(self.semantic, self.ruleset)
+
+    @cached_property
+    def fuzzy_rules(self) -> DataFrame:
+        return rules_for_request(self.fuzzy, self.ruleset)
 
     def blocks(self) -> DataFrame:
         """The markdown response in ordered blocks."""
@@ -142,4 +150,4 @@ def code_reuse_search(
     hits = materialize(semantic_hits(corpus.chunks, semantic_queries, embedder, params, policy, centroids), "hits")
     semantic = semantic_symbols(corpus, hits, params)
     fuzzy = fuzzy_symbols(corpus, name_patterns, params)
-    return SearchResult(semantic, fuzzy, rules_for_request(semantic, ruleset), rules_for_request(fuzzy, ruleset))
+    return SearchResult(semantic, fuzzy, ruleset)
