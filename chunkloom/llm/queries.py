@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from chunkloom.llm.circulant import near_duplicates
 from chunkloom.llm.line_quality import line_quality
+from chunkloom.llm.mixture import mixture
+from chunkloom.llm.prefix_tokens import token_digests
+from chunkloom.llm.repeats import without_repeats
 from chunkloom.session import ship
 
 
@@ -15,6 +18,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def piece_model() -> str:
+    """The merge-type model of the public tokenizers."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op1_interval_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeats(_table(spark, sf_dir, "documents"), keep=["doc_id"], digest=True)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept_bytes").cast("string").alias("kept_sha256"))
+
+
 def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -27,8 +42,19 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op10_prefix_table_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(_table(spark, sf_dir, "documents"), piece_model())
+
+
 QUERIES = {
+    "op1_interval_tree_repeats": op1_interval_tree_repeats,
     "op3_circulant_minhash": op3_circulant_minhash,
     "op4_line_quality": op4_line_quality,
+    "op8_golden_mix": op8_golden_mix,
+    "op10_prefix_table_tokens": op10_prefix_table_tokens,
 }
 SQL: dict[str, str] = {}
