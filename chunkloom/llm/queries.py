@@ -26,7 +26,7 @@ def piece_model() -> str:
 
 
 def op1_interval_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = without_repeats(_table(spark, sf_dir, "documents"), keep=["doc_id"], digest=True)
+    found = without_repeats(_table(spark, sf_dir, "documents"), keep=["doc_id"], kept="digest")
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept_bytes").cast("string").alias("kept_sha256"))
 
 

@@ -328,7 +328,7 @@ MEASURES = [
 ]
 
 
-def _applied(texts: pa.Table, found: pa.Table, text: str, names: list[str], digest: bool) -> pa.Table:
+def _applied(texts: pa.Table, found: pa.Table, text: str, names: list[str], kept: str) -> pa.Table:
     """A part's rows with the union of their spans cut out."""
     uid, data, offsets = _texts(texts, text)
     (whose, start, end), _ = gathered(found.column("spans"), *SPANS)
@@ -348,8 +348,10 @@ def _applied(texts: pa.Table, found: pa.Table, text: str, names: list[str], dige
     sums = np.append(0, np.cumsum(gone)), np.append(0, np.cumsum(rise))
     removed, spans = (x[offsets[1:]] - x[offsets[:-1]] for x in sums)
     left = [data[a:b][~gone[a:b]].tobytes() if n else data[a:b].tobytes() for a, b, n in zip(offsets[:-1], offsets[1:], removed, strict=True)]
-    if digest:
+    if kept == "digest":
         left = [hashlib.sha256(x).hexdigest().encode() for x in left]
+    elif kept == "text":
+        left = [x.decode("utf-8", "ignore").encode() for x in left]
     columns = [texts.column(name) for name in names]
     columns += [pa.array(np.diff(offsets)), pa.array(removed.astype(np.int64)), pa.array(spans.astype(np.int64)), pa.array(left, pa.binary())]
     return pa.table(columns, names=[*names, *(f.name for f in MEASURES)])
@@ -361,10 +363,11 @@ def without_repeats(
     text: str = "text",
     doc_id: str = "doc_id",
     keep: list[str] | None = None,
-    digest: bool = False,
+    kept: str = "bytes",
 ) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) and, of each text's UTF-8 bytes, ``n_bytes``,
-    ``n_removed``, ``n_spans`` (maximal removed runs) and ``kept_bytes`` (with ``digest``, their SHA-256 in hex).
+    ``n_removed``, ``n_spans`` (maximal removed runs) and ``kept_bytes``: the bytes left, or with
+    ``kept`` as ``text`` only the whole characters of them, as ``digest`` their SHA-256 in hex.
 
     Removed is every byte covered by a string of ``width`` bytes that also starts in a document with
     a smaller doc_id. A null text is empty; a null doc_id comes after all others; rows that share a
@@ -404,5 +407,5 @@ def without_repeats(
     return (
         parted.groupBy("part")
         .cogroup(spans.groupBy("part"))
-        .applyInArrow(lambda a, b: _applied(a, b, text, names, digest), schema)
+        .applyInArrow(lambda a, b: _applied(a, b, text, names, kept), schema)
     )
