@@ -9,7 +9,9 @@ from chunkloom.llm.circulant import near_duplicates
 from chunkloom.llm.line_quality import line_quality
 from chunkloom.llm.mixture import mixture
 from chunkloom.llm.prefix_tokens import token_digests
+from chunkloom.llm.quantised import embedding_duplicates
 from chunkloom.llm.repeats import without_repeats
+from chunkloom.llm.splitters import SHARD_SQL, sharded
 from chunkloom.session import ship
 
 
@@ -30,6 +32,10 @@ def op1_interval_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept_bytes").cast("string").alias("kept_sha256"))
 
 
+def op2_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -42,6 +48,11 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharded(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op8_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -52,9 +63,11 @@ def op10_prefix_table_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_interval_tree_repeats": op1_interval_tree_repeats,
+    "op2_product_quantisation": op2_product_quantisation,
     "op3_circulant_minhash": op3_circulant_minhash,
     "op4_line_quality": op4_line_quality,
+    "op6_sampled_splitters": op6_sampled_splitters,
     "op8_golden_mix": op8_golden_mix,
     "op10_prefix_table_tokens": op10_prefix_table_tokens,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_sampled_splitters": SHARD_SQL}
