@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chunkloom.llm.backoff import BACKOFF_SQL, backoff_scores
 from chunkloom.llm.circulant import near_duplicates
+from chunkloom.llm.cross_parse import languages_of, learned
 from chunkloom.llm.line_quality import line_quality
 from chunkloom.llm.mixture import mixture
 from chunkloom.llm.prefix_tokens import token_digests
@@ -48,11 +50,22 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_scores(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharded(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op7_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) == 2
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held.alias("held_out"))
+    model = learned(docs.where(~F.col("held_out")))
+    return languages_of(docs, model, keep=["doc_id", "held_out"])
+
+
 def op8_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -66,8 +79,10 @@ QUERIES = {
     "op2_product_quantisation": op2_product_quantisation,
     "op3_circulant_minhash": op3_circulant_minhash,
     "op4_line_quality": op4_line_quality,
+    "op5_stupid_backoff": op5_stupid_backoff,
     "op6_sampled_splitters": op6_sampled_splitters,
+    "op7_cross_parsing": op7_cross_parsing,
     "op8_golden_mix": op8_golden_mix,
     "op10_prefix_table_tokens": op10_prefix_table_tokens,
 }
-SQL: dict[str, str] = {"op6_sampled_splitters": SHARD_SQL}
+SQL: dict[str, str] = {"op5_stupid_backoff": BACKOFF_SQL, "op6_sampled_splitters": SHARD_SQL}
