@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.llm.backoff import BACKOFF_SQL, backoff_scores
+from chunkloom.llm.chain import ChainParams, chain_scores, trained
 from chunkloom.llm.circulant import near_duplicates
 from chunkloom.llm.cross_parse import languages_of, learned
 from chunkloom.llm.line_quality import line_quality
@@ -70,6 +71,15 @@ def op8_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op9_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = ChainParams()
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    marks = labels.select(F.col("doc_id").alias("labelled"), (1 - F.col("quality")).alias("low_quality"), "toxic")
+    labelled = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("labelled"))
+    chain = trained(labelled, ["low_quality", "toxic"], p)
+    return chain_scores(docs, chain, keep=["doc_id"]).withColumn("toxic", F.col("p_toxic") >= p.threshold)
+
+
 def op10_prefix_table_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"), piece_model())
 
@@ -83,6 +93,7 @@ QUERIES = {
     "op6_sampled_splitters": op6_sampled_splitters,
     "op7_cross_parsing": op7_cross_parsing,
     "op8_golden_mix": op8_golden_mix,
+    "op9_classifier_chain": op9_classifier_chain,
     "op10_prefix_table_tokens": op10_prefix_table_tokens,
 }
 SQL: dict[str, str] = {"op5_stupid_backoff": BACKOFF_SQL, "op6_sampled_splitters": SHARD_SQL}
