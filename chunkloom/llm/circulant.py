@@ -5,9 +5,10 @@ A shingle's 64-bit hash gives its place on a ring of 2^32 (the first permutation
 ring, takes on the set, so two permutations make all coordinates.
 
 Documents with equal sets form one class. Signatures are cut into bands; in a bucket every class
-is compared with the least one, first by the signatures' agreement, then on the full sets. A
-bucket that then still holds classes of several components is compared whole, in tiles of
-bounded size, so that a link between two classes that both differ from the least one is found.
+is compared with the least one, first by the signatures' agreement, then on the full sets. Buckets that then
+still hold classes of several components are compared whole, in tiles of bounded size: similar
+signatures put classes into groups, and in a group all full sets of different components are
+compared. Tiles give a spanning forest of what they find, never its pairs.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from chunkloom.llm.text import (
 )
 from chunkloom.session import materialize
 
-TILE = 256
+TILE = 1024
 
 
 @dataclass(frozen=True)
@@ -178,38 +179,87 @@ def confirmed(pairs: DataFrame, docs: DataFrame, p: NearParams, text: str, doc_i
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def _tiles(buckets: DataFrame, p: NearParams) -> DataFrame:
-    """Pairs of different components that share a bucket and have similar signatures.
+def _tile_pairs(rows: DataFrame, group: str, size: int, fields: list[str]) -> DataFrame:
+    """Pairs (left, right) of tiles of one group, each a list of structs of ``fields``.
 
-    ``buckets``: (band, doc_id, part, sketch). A bucket is dealt into tiles of about ``TILE`` classes;
-    each pair of its tiles is one row.
+    A group is dealt by hash into tiles of about ``size`` rows, so its pairs spread over tasks.
     """
-    sizes = buckets.groupBy("band").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    tiles = rows.groupBy(group).agg(F.ceil(F.count("*") / size).alias("tiles"))
     tiles = (
-        buckets.join(sizes, "band")
-        .groupBy("band", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).alias("tile"))
-        .agg(F.collect_list(F.struct("doc_id", "part", "sketch")).alias("rows"))
-    )
-    two = tiles.select("band", "tile", F.col("rows").alias("left")).join(
-        tiles.select("band", F.col("tile").alias("other"), F.col("rows").alias("right")), "band"
+        rows.join(tiles, group)
+        .groupBy(group, F.pmod(F.xxhash64("doc_id"), F.col("tiles")).alias("tile"))
+        .agg(F.collect_list(F.struct(*fields)).alias("rows"))
     )
+    right = tiles.select(group, F.col("tile").alias("other"), F.col("rows").alias("right"))
+    return tiles.withColumnRenamed("rows", "left").join(right, group).where("tile <= other").select("left", "right")
+
+
+def forest(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what the matrix ``near`` of rows ``a`` and columns ``b`` connects, at most one per id."""
+    rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    near, a, b = near[np.ix_(rows, columns)], a[rows], b[columns]
+    if not len(a):
+        return a, b
+    top = np.iinfo(np.int64).max
+    left, right = a.copy(), np.full(len(b), top)
+    while True:
+        right_new = np.minimum(right, np.where(near, left[:, None], top).min(axis=0))
+        left_new = np.minimum(left, np.where(near, right_new[None, :], top).min(axis=1))
+        if np.array_equal(left_new, left) and np.array_equal(right_new, right):
+            return np.concatenate([a, b]), np.concatenate([left, right])
+        left, right = left_new, right_new
+
+
+def _forests(pairs: DataFrame, near) -> DataFrame:
+    """Links of the matrices that ``near`` makes of two tiles (lists of Arrow columns)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], []]
             for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                sides = [(x.values.field(0).to_numpy(), x.values.field(1).to_numpy(), _matrix(x.values.field(2), p.coordinates)) for x in (left, right)]
-                (a, pa_, x), (b, pb, y) = sides
-                for i in range(len(a)):
-                    found = (pb != pa_[i]) & (b > a[i])
-                    found[found] = (y[found] == x[i]).sum(axis=1) >= p.least_equal
-                    out[0].append(np.full(found.sum(), a[i]))
-                    out[1].append(b[found])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)) for x in out], names=["a", "b"]
-            )
+                x, y = left.values.flatten(), right.values.flatten()
+                a, b, part_a, part_b = (side[k].to_numpy() for k in (0, 1) for side in (x, y))
+                found = near(x, y) & (part_a[:, None] != part_b[None, :])
+                links = forest(found, a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in links], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def _similar(p: NearParams):
+    """Matrix of signatures that agree often enough."""
+
+    def near(x: list[pa.Array], y: list[pa.Array]) -> np.ndarray:
+        left, right = _matrix(x[2], p.coordinates), _matrix(y[2], p.coordinates)
+        return np.array([(right == row).sum(axis=1) >= p.least_equal for row in left]).reshape(len(left), len(right))
+
+    return near
+
+
+def _linked(p: NearParams):
+    """Matrix of full shingle sets that reach the threshold, by products of their incidence matrices."""
+
+    def incidence(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = list(shingle_sets(column, p.words))
+        return np.concatenate([x[2] for x in found]), np.concatenate([np.repeat(np.arange(x[0], x[1]), np.diff(x[3])) for x in found])
+
+    def near(x: list[pa.Array], y: list[pa.Array]) -> np.ndarray:
+        (left, row), (right, column) = incidence(x[2]), incidence(y[2])
+        shared = np.intersect1d(left, right)
+        sizes = np.bincount(row, minlength=len(x[2]))[:, None] + np.bincount(column, minlength=len(y[2]))[None, :]
+        common = np.zeros(sizes.shape)
+        for at in range(0, len(shared), 4096):
+            some = shared[at : at + 4096]
+            sides = []
+            for values, owner, n in ((left, row, len(x[2])), (right, column, len(y[2]))):
+                place = np.minimum(np.searchsorted(some, values), len(some) - 1)
+                use = some[place] == values
+                side = np.zeros((n, len(some)), dtype=np.float32)
+                side[owner[use], place[use]] = 1
+                sides.append(side)
+            common += sides[0] @ sides[1].T
+        return (common > 0) & (100 * common >= p.percent * (sizes - common))
 
-    return two.select("left", "right").mapInArrow(run, "a long, b long").distinct()
+    return near
 
 
 def near_duplicates(
@@ -247,9 +297,11 @@ def near_duplicates(
         .select("band")
     )
     rest = spread.join(mixed, "band").join(owned.select("doc_id", "sketch"), "doc_id")
-    left = _tiles(rest.select("band", "doc_id", "part", "sketch"), p)
-    untried = left.join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    more = confirmed(materialize(untried, "pairs"), docs, p, text, doc_id)
+    sketches = _tile_pairs(rest, "band", TILE, ["doc_id", "part", "sketch"])
+    groups = components(_forests(sketches, _similar(p)))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    grouped = groups.join(owned.select(F.col("doc_id").alias("id"), "part"), "id").withColumnRenamed("id", "doc_id").join(texts, "doc_id")
+    more = _forests(_tile_pairs(grouped, "component_id", TILE // 4, ["doc_id", "part", "text"]), _linked(p))
 
     same = known.join(classes.select(*key, F.col("doc_id").alias("b")), key).select(F.col("doc_id").alias("a"), "b").where("a <> b")
     found = components(links.unionAll(more).unionAll(same))
