@@ -40,5 +40,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges = materialize(after, "links")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
-            return edges.groupBy(u.alias("id")).agg(F.min("v").alias("component_id"))
+            members = edges.groupBy(u.alias("id")).agg(F.min("v").alias("component_id"))
+            return members.unionAll(edges.select(v.alias("id"), v.alias("component_id")).distinct())
         before = state
