@@ -202,16 +202,16 @@ def _settle(table: pa.Table, parts: int, width: int) -> pa.Table:
     return _by_part(parts, table.column("bucket")[0].as_py(), spans, asked)
 
 
-def _texts(table: pa.Table, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row uids of a part, bytes and offsets of its texts."""
-    found = list(blocks(table.column(text), 1 << 62))
+    found = list(blocks(table.column("text"), 1 << 62))
     uid = table.column("uid").to_numpy()
     return (uid, found[0][2], found[0][3]) if found else (uid, np.zeros(0, np.uint8), np.zeros(1, np.int64))
 
 
-def _fetch(texts: pa.Table, found: pa.Table, text: str, width: int) -> pa.Table:
+def _fetch(texts: pa.Table, found: pa.Table, width: int) -> pa.Table:
     """The bytes of the pieces a part is asked for, packed per bucket."""
-    uid, data, offsets = _texts(texts, text)
+    uid, data, offsets = _texts(texts)
     order = np.argsort(uid)
     out: tuple[list, list] = ([], [])
     for bucket, raw in zip(found.column("bucket").to_pylist(), found.column("asked").to_pylist(), strict=True):
@@ -328,9 +328,9 @@ MEASURES = [
 ]
 
 
-def _applied(texts: pa.Table, found: pa.Table, text: str, names: list[str], kept: str) -> pa.Table:
+def _applied(texts: pa.Table, found: pa.Table, names: list[str], kept: str) -> pa.Table:
     """A part's rows with the union of their spans cut out."""
-    uid, data, offsets = _texts(texts, text)
+    uid, data, offsets = _texts(texts)
     (whose, start, end), _ = gathered(found.column("spans"), *SPANS)
     order = np.argsort(uid, kind="stable")
     first, last = np.searchsorted(uid, whose, sorter=order), np.searchsorted(uid, whose, side="right", sorter=order)
@@ -352,8 +352,7 @@ def _applied(texts: pa.Table, found: pa.Table, text: str, names: list[str], kept
         left = [hashlib.sha256(x).hexdigest().encode() for x in left]
     elif kept == "text":
         left = [x.decode("utf-8", "ignore").encode() for x in left]
-    columns = [texts.column(name) for name in names]
-    columns += [pa.array(np.diff(offsets)), pa.array(removed.astype(np.int64)), pa.array(spans.astype(np.int64)), pa.array(left, pa.binary())]
+    columns = [*(texts.column(c) for c in names), pa.array(np.diff(offsets)), pa.array(removed.astype(np.int64)), pa.array(spans.astype(np.int64)), pa.array(left, pa.binary())]
     return pa.table(columns, names=[*names, *(f.name for f in MEASURES)])
 
 
@@ -374,12 +373,14 @@ def without_repeats(
     doc_id do not count against each other. Columns of ``docs`` named like an added one are
     replaced. An empty table gives no rows. A text is held whole in one task.
     """
-    added = {f.name for f in MEASURES} | {"uid", "part"}
+    added = {f.name for f in MEASURES}
     names = [c for c in (docs.columns if keep is None else keep) if c not in added]
     rank = F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST)))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(1, -(-total // SHARE))
-    rows = docs.select(*names, *{text, doc_id}.difference(names), F.xxhash64(rank, text).alias("uid"))
+    rows = docs.select(
+        F.struct(F.lit(0).alias(""), *(c for c in names if c != text)).alias("doc"), F.col(text).alias("text"), rank.alias("rank"), F.xxhash64(rank, text).alias("uid")
+    )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held()
@@ -392,20 +393,19 @@ def without_repeats(
                     yield from held.flush(n)
         yield from held.flush(n)
 
-    scanned = rows.select("uid", rank.alias("rank"), text).mapInArrow(scan, "bucket int, load binary")
+    scanned = rows.select("uid", "rank", "text").mapInArrow(scan, "bucket int, load binary")
     found = materialize(scanned.groupBy("bucket").applyInArrow(lambda t: _settle(t, n, width), FOUND), "found")
-    parted = rows.withColumn("part", F.pmod("uid", F.lit(n)).cast("int"))
+    parted = rows.select("doc", "text", "uid", F.pmod("uid", F.lit(n)).cast("int").alias("part"))
     asked = found.where("asked is not null").select("part", "bucket", "asked")
     fetched = (
         parted.groupBy("part")
         .cogroup(asked.groupBy("part"))
-        .applyInArrow(lambda a, b: _fetch(a, b, text, width), "bucket int, load binary")
+        .applyInArrow(lambda a, b: _fetch(a, b, width), "bucket int, load binary")
     )
     compared = fetched.groupBy("bucket").applyInArrow(lambda t: _repeats(t, n, width), "part int, spans binary")
     spans = found.select("part", "spans").unionAll(compared).where("spans is not null")
-    schema = T.StructType(docs.select(*names).schema.fields + MEASURES)
-    return (
-        parted.groupBy("part")
-        .cogroup(spans.groupBy("part"))
-        .applyInArrow(lambda a, b: _applied(a, b, text, names, kept), schema)
-    )
+    whole = [parted.schema["doc"], parted.schema["text"]] if text in names else [parted.schema["doc"]]
+    schema = T.StructType([*whole, *MEASURES])
+    cut = parted.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(lambda a, b: _applied(a, b, schema.names[: len(whole)], kept), schema)
+    own = [F.col("text").alias(c) if c == text else F.col("doc")[c].alias(c) for c in names]
+    return cut.select(*own, *(f.name for f in MEASURES))
