@@ -1,0 +1,69 @@
+"""Cross-parsing against string search, and held-out accuracy."""
+
+import random
+
+import numpy as np
+
+from chunkloom.llm import cross_parse
+from chunkloom.llm.cross_parse import Languages, ParseParams, automaton, languages_of, learned
+from chunkloom.llm.queries import op7_cross_parsing
+
+
+def greedy(sample, text):
+    n = at = 0
+    while at < len(text):
+        end = at + 1
+        while end <= len(text) and text[at:end] in sample:
+            end += 1
+        at = max(end - 1, at + 1)
+        n += 1
+    return n
+
+
+def test_automaton_accepts_just_the_substrings():
+    draw = random.Random(1)
+    for _ in range(30):
+        text = [draw.randrange(3) for _ in range(25)]
+        moves = automaton(text)
+        inside = {tuple(text[a:b]) for a in range(25) for b in range(a, 26)}
+        for _ in range(60):
+            probe = tuple(draw.randrange(3) for _ in range(draw.randrange(7)))
+            state = 0
+            for c in probe:
+                state = moves[state].get(c) if state is not None else None
+            assert (state is not None) == (probe in inside)
+
+
+def test_phrases(monkeypatch):
+    draw = random.Random(2)
+    samples = {n: "".join(draw.choice(a) for _ in range(200)) for n, a in (("x", "abc"), ("y", "abd"))}
+    model = Languages({n: np.array([ord(c) for c in s], np.uint32) for n, s in samples.items()})
+    for segment in (2048, 7):
+        monkeypatch.setattr(cross_parse, "SEGMENT", segment)
+        texts = ["".join(draw.choice("abcdz") for _ in range(draw.randrange(40))) for _ in range(50)]
+        points = np.array([ord(c) for t in texts for c in t], np.uint32)
+        found = model.phrases(points, np.append(0, np.cumsum([len(t) for t in texts])))
+        cut = lambda t: [t[k : k + segment] for k in range(0, len(t), segment)]
+        assert found.tolist() == [[sum(greedy(samples[n], c) for c in cut(t)) for t in texts] for n in ("x", "y")]
+
+
+def test_small_cases(spark):
+    train = spark.createDataFrame(
+        [("the cat sat on the mat", "en"), ("der hund ist im haus", "de"), (None, "en"), ("x", None)], "text string, lang string"
+    )
+    model = learned(train, ParseParams(texts=50))
+    rows = [(1, None), (2, ""), (3, "12 !?"), (4, "THE MAT"), (5, "der Hund"), (6, "the " * 20_000), (7, "日本")]
+    got = {r.doc_id: r for r in languages_of(spark.createDataFrame(rows, "doc_id int, text string"), model).collect()}
+    assert [got[k].lang_pred for k in (1, 2, 3, 4, 5, 6)] == ["und", "und", "und", "en", "de", "en"]
+    assert all(0 <= r.score <= 1 for r in got.values()) and got[1].score == 0
+    none = learned(train.where("false"))
+    assert {r.lang_pred for r in languages_of(spark.createDataFrame(rows, "doc_id int, text string"), none).collect()} == {"und"}
+    assert languages_of(spark.createDataFrame([], "doc_id int, text string"), model).count() == 0
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    truth = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    rows = op7_cross_parsing(spark, sf).where("held_out").join(truth, "doc_id").collect()
+    assert len(rows) > 200
+    assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.97

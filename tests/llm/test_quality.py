@@ -1,0 +1,67 @@
+"""Base counts and frequent lines against plain loops."""
+
+import re
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from chunkloom.llm.line_quality import LineLimits, line_quality, without_lines
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def by_hand(text):
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    grams = Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
+    covered = {j for k in range(len(words) - 7) if grams[tuple(words[k : k + 8])] > 1 for j in range(k, k + 8)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+TEXTS = [
+    None, "", " \n\t ", "a", "a\n", "\na\n\na\na ", "#*$ %&|<> x", "é ü ß x 日本", "w " * 30, "a b c d e f g h a b c d e f g h",
+    "x\r\nx\r\ny", "long " * 5000 + "\nend\nend", "\n".join(f"line {k % 7} of it" for k in range(40)),
+]
+
+
+def test_base_counts(spark):
+    frame = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string").withColumn("source", F.lit("s"))
+    for r in line_quality(frame).collect():
+        want = by_hand(r.text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, r.doc_id
+        assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+
+
+def test_base_counts_of_the_table(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for r in line_quality(frame).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == by_hand(r.text), r.doc_id
+
+
+def body(k, words=30):
+    return " ".join(f"w{k}x{j}" for j in range(words))
+
+
+def test_lines_of_a_host(spark):
+    boiler = " ".join(f"Notice{k}" for k in range(42))
+    rows = [(k, f"{boiler.upper() if k % 2 else boiler}\n{body(k)}", "a") for k in range(30)]
+    rows += [(100 + k, f"{boiler}\n{body(100 + k)}", f"host{k}") for k in range(30)]  # once on each of many hosts
+    rows += [(200, boiler + "\nshort text left", "a"), (201, body(201), None)]
+    rows += [(300 + k, f"{body(300)}\n{body(301)}\n{body(302)}", "a") for k in range(40)]  # copies count once
+    frame = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    got = {r.doc_id: r for r in line_quality(frame, LineLimits(min_docs=20, share=0.1)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[k].removed_words == 42 and got[k].kept for k in range(30))
+    assert all(got[100 + k].removed_words == 0 and got[100 + k].kept for k in range(30))
+    assert got[200].removed_words == 42 and not got[200].base_failed and not got[200].kept
+    assert got[201].kept
+    assert all(got[300 + k].removed_words == 0 and got[300 + k].kept for k in range(40))
+    left = {r.doc_id: r.text for r in without_lines(line_quality(frame, LineLimits(min_docs=20, share=0.1))).collect()}
+    assert left[3] == body(3) and left[100] == f"{boiler}\n{body(100)}" and left[200] == "short text left"
+
+
+def test_no_rows_and_clashing_names(spark):
+    assert line_quality(spark.createDataFrame([], "doc_id int, text string, source string")).count() == 0
+    frame = spark.createDataFrame([(1, "a b", "s", 3, 4)], "doc_id int, text string, source string, n_words int, line int")
+    assert line_quality(frame).select("doc_id", "line", "n_words").first() == (1, 4, 2)

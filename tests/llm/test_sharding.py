@@ -1,0 +1,52 @@
+"""Shards and slots against one sorted list."""
+
+import hashlib
+import zlib
+
+import numpy as np
+import pytest
+
+from chunkloom.llm.splitters import KEY, ShardParams, sharded, splitters
+
+
+def by_hand(docs, shards):
+    keyed = []
+    for i, text in docs:
+        raw = (text or "").encode()
+        keyed.append((int(hashlib.md5(raw).hexdigest()[:15], 16), -(2**63) if i is None else i, i, len(raw) + 1, zlib.crc32(raw)))
+    keyed.sort(key=lambda r: r[:2])
+    total, at, out, slots = sum(r[3] for r in keyed), 0, [], {}
+    for _, _, i, size, crc in keyed:
+        shard = min(shards - 1, at * shards // total)
+        slots[shard] = slots.get(shard, -1) + 1
+        out.append((i, size, crc, shard, slots[shard]))
+        at += size
+    return out
+
+
+@pytest.mark.parametrize("ranges", [1, 64])
+def test_sizes_and_slots(spark, ranges):
+    draw = np.random.default_rng(ranges)
+    docs = [(int(k), "é" * int(n)) for k, n in enumerate(draw.integers(0, 400, 300))]
+    docs += [(1000 + k, "copy of one text") for k in range(200)] + [(2000, None), (2001, None), (2002, "x" * 20_000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = sharded(frame, ShardParams(ranges=ranges), keep=["doc_id"]).collect()
+    assert sorted(map(tuple, got)) == sorted(by_hand(docs, 8))
+    sizes = [sum(r["size"] for r in got if r["shard"] == s) for s in range(8)]
+    assert max(sizes) - min(sizes) <= 2 * 20_001
+
+
+def test_nulls_repeats_and_no_rows(spark):
+    frame = spark.createDataFrame([(1, None, 5), (1, None, 5), (None, "a", 6)], "doc_id long, text string, shard int")
+    assert sorted((r["size"], r["slot"]) for r in sharded(frame).collect()) == [(1, 0), (1, 0), (2, 0)]
+    assert sharded(frame.where("false")).count() == 0
+
+
+def test_splitters_are_weighted_quantiles():
+    keys = np.zeros(100, KEY)
+    keys["hash"] = np.arange(100)
+    assert splitters(keys, np.ones(100), 4)["hash"].tolist() == [24, 49, 74]
+    heavy = np.ones(100)
+    heavy[:10] = 91
+    assert splitters(keys, heavy, 2)["hash"].tolist() == [5]
+    assert len(splitters(keys[:0], np.zeros(0), 4)) == 0
