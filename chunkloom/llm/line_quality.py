@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chunkloom.llm.salt import join_groups
 from chunkloom.llm.text import (
     LOWER,
     SPACE,
@@ -164,7 +165,7 @@ def frequent_lines(texts: DataFrame, limits: LineLimits) -> tuple[DataFrame, Dat
     counts, so that a line found everywhere is no single task.
     """
     hosts = texts.groupBy("host").agg(F.count("*").alias("host_docs"))
-    rows = texts.join(hosts, "host").select(
+    rows = join_groups(texts.select("row_id", "host", "lines", "line_words"), hosts, "host", "row_id").select(
         "row_id",
         "host",
         "host_docs",

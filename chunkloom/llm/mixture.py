@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chunkloom.llm.salt import join_groups
 from chunkloom.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -129,7 +130,7 @@ def mixture(
     names = [c for c in (docs.columns if keep is None else keep) if c not in added]
     base = docs.select(
         F.struct(*names).alias("doc"),
-        F.col(source).alias("source"),
+        F.col(source).cast("string").alias("source"),
         n_words(text).alias("size"),
         F.xxhash64(doc_id, text).alias("key"),
         F.monotonically_increasing_id().alias("row"),
@@ -143,9 +144,9 @@ def mixture(
 
     parts = max(1, -(-(rows or 0) // ROWS))
     unit = F.col("key") / F.lit(2.0**64) + F.lit(0.5)
+    told = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("of")  # a join takes no null
     placed = (
-        base.select("row", "key", "size", F.col("source").alias("of"))
-        .join(sources, F.col("of").eqNullSafe(F.col("source")))
+        join_groups(base.select("row", "key", "size", told), sources.select(told, "rank", "source_size", "target"), "of", "row")
         .select("row", "key", "size", "rank", "source_size", "target", F.floor(unit * parts).alias("segment"))
     )
     before = _before(placed.groupBy("rank", "segment").agg(F.sum("size").alias("n")), "rank", "segment", "n")
@@ -167,8 +168,7 @@ def _taken(streams: DataFrame, slots: DataFrame, p: MixParams) -> DataFrame:
     copies = F.least(F.lit(p.repeats), F.ceil(F.col("blocks") * p.block / F.col("source_size")))
     start, end, cut = F.col("begin"), F.col("begin") + F.col("size"), F.col("block") * p.block
     places = (
-        streams.where("size > 0")
-        .join(most, "rank")
+        join_groups(streams.where("size > 0"), most, "rank", "row")
         .withColumn("copy", F.explode(F.sequence(F.lit(0), (copies - 1).cast("int"))))
         .select("rank", "start", "size", (F.col("copy") * F.col("source_size") + F.col("start")).alias("begin"))
         .withColumn("block", F.explode(F.sequence(F.floor(start / p.block), F.floor((end - 1) / p.block))))
