@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from pathlib import Path
 from typing import Protocol
 
 import numpy as np
@@ -91,13 +90,8 @@ def register_model(name: str, factory: Callable[[], Embedder]) -> None:
     _FACTORIES[name] = factory
 
 
-def model(name: str, models_dir: str | None = None) -> Embedder:
-    """The embedder of that name: a registered one, else the exported model in the folder of
-    that name below ``models_dir``, else the default one."""
-    if name not in _FACTORIES and models_dir and (Path(models_dir) / name / "model.onnx").exists():
-        from chunkloom.operators.onnx import OnnxEmbedder
-
-        return OnnxEmbedder(str(Path(models_dir) / name))
+def model(name: str) -> Embedder:
+    """The registered embedder of that name, else the default one."""
     return _FACTORIES.get(name, _FACTORIES[DEFAULT_MODEL])()
 
 

@@ -16,20 +16,23 @@ from chunkloom.functions.paths import components, parent_path, prefixes
 
 
 def count_references(symbols: DataFrame, references: DataFrame) -> DataFrame:
-    """``(symbol_id, path, uses)`` of the symbols' uses, the declaration's file excluded.
+    """``(symbol_id, path, uses)`` of the symbols' uses, without the declaration itself.
 
     ``symbols``: ``symbol_id, path``; ``references``: ``symbol_id, path`` per use, or with a
-    number of ``uses``. Counts are combined before the join, so a hot symbol joins one row
-    per file.
+    number of ``uses``. With a ``site`` in both (a place within the path), references at the
+    declaration's site are left out; other uses in its file count. Without one, the references are
+    taken to leave the declaration out already. Counts are combined before the join, so a hot
+    symbol joins one row per file.
     """
-    uses = F.sum("uses") if "uses" in references.columns else F.count("*")
-    counts = references.groupBy("symbol_id", "path").agg(uses.alias("uses"))
-    declared = symbols.select("symbol_id", F.col("path").alias("__declared"))
-    return (
-        counts.join(declared, "symbol_id")
-        .filter(F.col("path") != F.col("__declared"))
-        .drop("__declared")
-    )
+    one = F.col("uses") if "uses" in references.columns else F.lit(1)
+    counts = references.groupBy("symbol_id", "path").agg(F.sum(one).cast("long").alias("uses"))
+    if "site" in references.columns and "site" in symbols.columns:
+        own = references.join(symbols.select("symbol_id", "path", "site"), ["symbol_id", "path", "site"], "left_semi")
+        own = own.groupBy("symbol_id", "path").agg(F.sum(one).cast("long").alias("own"))
+        counts = counts.join(own, ["symbol_id", "path"], "left").select(
+            "symbol_id", "path", (F.col("uses") - F.coalesce("own", F.lit(0))).alias("uses")
+        )
+    return counts.filter("uses > 0").join(symbols.select("symbol_id").distinct(), "symbol_id", "left_semi")
 
 
 def unreferenced(symbols: DataFrame, references: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 The base table is scanned once in place. Each task keeps the ``k`` best rows per query
 while it reads its Arrow batches, so what is shuffled is at most ``queries x k`` rows per
-task, however the vectors are spread. Distances are rounded to nine digits and ties go by
-id, so the result does not depend on batches or partitions.
+task, however the vectors are spread. A product of matrices only preselects, with a margin for its
+rounding; ranks go by distances computed pair by pair, ties by id, so the result does not
+depend on batches or partitions.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ METRICS = ("l2", "cosine", "dot")
 BLOCK_ROWS = 20_000
 BLOCK_VALUES = 4_000_000
 _TILE_VALUES = 2_000_000
-_MARGIN = 1e-7
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -46,6 +46,20 @@ def _all_pairs(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
+def _slack(q: np.ndarray, v: np.ndarray, metric: str, bound: np.ndarray) -> np.ndarray:
+    """How far a distance by matrix product may be off, per query: rounding grows with the vectors' length."""
+    eps = 8 * np.finfo(float).eps * q.shape[1]
+    longest = np.sqrt((v * v).sum(1).max(initial=0.0))
+    length = np.sqrt((q * q).sum(1))
+    if metric == "cosine":
+        return np.full((len(q), 1), 2 * eps)
+    if metric == "dot":
+        return (2 * eps * length * longest)[:, None]
+    off = eps * (length + longest) ** 2  # of the squares; both sides of the comparison may be off
+    near = np.where(np.isfinite(bound), bound, 0.0)
+    return (np.sqrt(near**2 + 2 * off) - near + np.sqrt(2 * off) * (near**2 <= 2 * off))[:, None]
+
+
 def _pairwise(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     """Distances of aligned rows, the value that is reported."""
     if metric == "dot":
@@ -90,7 +104,8 @@ class _TopK:
             bound = self.bound[at : at + step]
             if self.k < dist.shape[1]:
                 bound = np.minimum(bound, np.partition(dist, self.k - 1, axis=1)[:, self.k - 1])
-            query, base = np.nonzero((dist <= bound[:, None] + _MARGIN) & (dist < np.inf))
+            slack = _slack(self.queries[at : at + step], vectors, self.metric, bound)
+            query, base = np.nonzero((dist <= bound[:, None] + slack) & (dist < np.inf))
             found.append((query + at, base))
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
@@ -99,7 +114,7 @@ class _TopK:
         if not len(rows):
             return
         # The survivors per batch are cut to k before they are joined to the pool.
-        dist = np.round(_pairwise(self.queries[rows], vectors[base], self.metric), 9) + 0.0
+        dist = _pairwise(self.queries[rows], vectors[base], self.metric) + 0.0
         keep = _rank_order(rows, dist, self._ids(payload)[base], self.k)
         rows, dist, table = rows[keep], dist[keep], payload.take(pa.array(base[keep]))
         if self.kept is not None:
@@ -225,6 +240,12 @@ def seed_cells(base: DataFrame, cells: int, id_col: str = "id") -> np.ndarray:
     return _matrix(head, len(head[0]))
 
 
+def stored_cells(centers: DataFrame) -> np.ndarray:
+    """Centroids given as the ``embedding`` of a few rows, in their order."""
+    found = centers.select("embedding").toArrow().column("embedding").combine_chunks()
+    return _matrix(found, len(found[0]))
+
+
 def save_cells(spark: SparkSession, centroids: np.ndarray, path: str) -> None:
     """Write centroids next to the table whose cells they make."""
     rows = [(i, c.tolist()) for i, c in enumerate(centroids)]

@@ -134,19 +134,19 @@ _VIEWS = {
         (),
     ),
     "links": (
-        """SELECT page_id, path, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS symbol_id
-        FROM page_paths""",
+        """SELECT page_id, path, unnest(hrefs) AS symbol_id, generate_subscripts(hrefs, 1) AS nth
+        FROM (SELECT page_id, path, regexp_extract_all(html, 'href="(/[^"]*)"', 1) AS hrefs FROM page_paths)""",
         ("page_paths",),
     ),
     "defs": (
         """SELECT symbol_id, ltrim(symbol_id, '/') AS name,
         CASE length(symbol_id) % 3 WHEN 0 THEN 'Struct' WHEN 1 THEN 'Function' ELSE 'Enum' END AS kind,
-        arg_min(path, page_id) AS path FROM links GROUP BY symbol_id""",
+        arg_min(path, (page_id, nth)) AS path, min((page_id, nth)) AS site FROM links GROUP BY symbol_id""",
         ("links",),
     ),
     "uses": (
         """SELECT l.symbol_id, l.path, count(*)::BIGINT AS uses FROM links l JOIN defs d USING (symbol_id)
-        WHERE l.path <> d.path GROUP BY l.symbol_id, l.path""",
+        WHERE (l.page_id, l.nth) <> d.site GROUP BY l.symbol_id, l.path""",
         ("links", "defs"),
     ),
     "pairs": (
@@ -246,10 +246,18 @@ def _knn(distance: str, extra: str = "TRUE") -> str:
     )
 
 
-_SEEDED = f"""WITH centers AS MATERIALIZED ({_VIEWS["centers"][0]}),
+def _centers(group: str) -> str:
+    return f"""SELECT query_id, list(m ORDER BY dim) AS vec FROM (
+        SELECT query_id, dim, round(avg(x), 6) AS m FROM (
+            SELECT {group} AS query_id, unnest(range(64)) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings)
+        GROUP BY query_id, dim) GROUP BY query_id"""
+
+
+def _in_cells(group: str) -> str:
+    """Search in the 3 nearest cells, which lie around the means of groups of vectors."""
+    return f"""WITH centers AS MATERIALIZED ({_centers("label")}),
 base AS MATERIALIZED (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
-seeds AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id) AS cell, e AS s
-    FROM (SELECT * FROM base ORDER BY id LIMIT 12)),
+seeds AS MATERIALIZED (SELECT row_number() OVER (ORDER BY query_id) AS cell, vec AS s FROM ({_centers(group)})),
 assigned AS MATERIALIZED (SELECT id, arg_min(cell, (round(list_distance(e, s), 9), cell)) AS cell
     FROM base CROSS JOIN seeds GROUP BY id),
 probed AS MATERIALIZED (SELECT query_id, cell FROM (
@@ -322,8 +330,8 @@ def _text(rule: int, template: int, piece: int, text: str) -> str:
     return f"SELECT DISTINCT {rule}, {template}, {piece}, '', 0, '{text}' FROM parts WHERE rule_pos = {rule}"
 
 
-_PAGE_CODED = """page_lines AS MATERIALIZED (SELECT path, string_split_regex(regexp_replace(arg_min(html, page_id), '\\r?\\n$', ''),
-'\\r?\\n')[1] AS code FROM page_paths GROUP BY path),
+_PAGE_CODED = """page_lines AS MATERIALIZED (SELECT path, regexp_replace(regexp_replace(string_agg(html, chr(10) ORDER BY page_id),
+'\\r?\\n$', ''), '\\r\\n', chr(10), 'g') AS code FROM page_paths GROUP BY path),
 page_symbols AS MATERIALIZED (SELECT d.*, p.code FROM defs d JOIN page_lines p USING (path)
     WHERE kind IN ('Enum', 'Struct')),
 page_matched AS MATERIALIZED (SELECT 0 AS rule_pos, * FROM page_symbols WHERE kind = 'Struct'
@@ -455,7 +463,8 @@ ORACLE_SQL: dict[str, str] = {
     "knn_l2": _knn("list_distance(vec, e)"),
     "knn_cosine": _knn("1 - list_cosine_similarity(vec, e)"),
     "knn_dot": _knn("-list_inner_product(vec, e)"),
-    "knn_ivf_seeded": _SEEDED,
+    "knn_ivf": _in_cells("label"),
+    "knn_ivf_seeded": _in_cells("vec_id % 12"),
     "knn_ivf_all_cells": _knn("list_distance(vec, e)"),
     "union_hits": _with("hits", "SELECT query_id, rank, path, start_line, end_line FROM hits"),
     "distinct_paths": _with("hits", "SELECT DISTINCT path FROM hits"),

@@ -284,18 +284,19 @@ def knn_dot(spark, sf_dir):
 
 @query
 def knn_ivf(spark, sf_dir):
-    """Trained cells, 4 of 16 probed: approximate, so without an oracle."""
-    base = t.vectors(spark, sf_dir)
-    centers = vectors.train_cells(base, 16)
-    cells = vectors.assign_cells(base, centers)
-    return _hit_columns(vectors.nearest_in_cells(cells, t.label_centers(spark, sf_dir), centers, 10, 4))
+    """Cells around the label means, the table written by cell, 3 cells probed and read."""
+    base, means = t.vectors(spark, sf_dir), t.label_centers(spark, sf_dir)
+    centers = vectors.stored_cells(means.orderBy("query_id"))
+    folder = scratch(spark, "cells")
+    vectors.assign_cells(base, centers).write.partitionBy("cell").parquet(folder)
+    return _hit_columns(vectors.nearest_in_cells(spark.read.parquet(folder), means, centers, 10, 3))
 
 
 @query
 def knn_ivf_seeded(spark, sf_dir):
-    """Cells around the first vectors, 3 of 12 probed: the same search with a rule SQL can state."""
+    """The same search within a scan, its cells around the means of ids by remainder."""
     base = t.vectors(spark, sf_dir)
-    centers = vectors.seed_cells(base, 12)
+    centers = vectors.stored_cells(t.remainder_centers(spark, sf_dir).orderBy("query_id"))
     cells = vectors.assign_cells(base, centers)
     return _hit_columns(vectors.nearest_in_cells(cells, t.label_centers(spark, sf_dir), centers, 10, 3))
 
@@ -634,9 +635,9 @@ def code_reuse_search(spark, sf_dir):
 @query
 def symbols_placer(spark, sf_dir):
     """The linked names of the pages: symbols, places and rule texts."""
-    result = place.symbols_placer(
-        t.page_docs(spark, sf_dir), t.definitions(spark, sf_dir), t.links(spark, sf_dir), t.PAGE_RULES
-    )
+    pages = t.page_docs(spark, sf_dir)
+    named = t.page_extents(t.definitions(spark, sf_dir), pages)
+    result = place.symbols_placer(pages, named, t.links(spark, sf_dir), t.PAGE_RULES)
     part = F.concat_ws("|", "rule_pos", "template_pos", "piece", "path", "segment")
     return (
         result.places.select(F.lit("places").alias("list"), F.col("symbol_id").alias("item"), F.col("place_to").alias("text"))

@@ -150,12 +150,17 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean vector of each label as a question."""
+    return _centers(table(spark, sf_dir, "embeddings"), F.col("label"))
+
+
+def remainder_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean vector of the ids of each remainder by 12."""
+    return _centers(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(12)))
+
+
+def _centers(rows: DataFrame, group: F.Column) -> DataFrame:
     means = [F.round(F.avg(F.col("embedding")[i].cast("double")), 6) for i in range(64)]
-    return (
-        table(spark, sf_dir, "embeddings")
-        .groupBy(F.col("label").alias("query_id"))
-        .agg(F.array(*means).alias("embedding"))
-    )
+    return rows.groupBy(group.alias("query_id")).agg(F.array(*means).alias("embedding"))
 
 
 def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,36 +171,45 @@ def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A use per link: ``page_id, path`` of the page and the linked name as ``symbol_id``."""
-    return page_paths(spark, sf_dir).select(
-        "page_id", "path", F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), 1)).alias("symbol_id")
+    """A use per link: ``page_id, path`` of the page, the linked name as ``symbol_id`` and the link's ``site``."""
+    found = page_paths(spark, sf_dir).select(
+        "page_id", "path", F.posexplode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), 1)).alias("nth", "symbol_id")
     )
+    return found.select("page_id", "path", "symbol_id", F.struct("page_id", "nth").alias("site"))
 
 
 def page_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``path, lines`` of the pages, the first page of a path only."""
-    pages = page_paths(spark, sf_dir).groupBy("path").agg(F.min_by("html", "page_id").alias("text"))
-    return with_lines(pages)
+    """``path, lines`` of the pages; pages of one path follow each other."""
+    pages = page_paths(spark, sf_dir).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("page_id", "html"))).alias("pages"))
+    return with_lines(pages.select("path", F.array_join("pages.html", "\n").alias("text")))
 
 
 def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A linked name is defined on the first page that links it, on the page's first line."""
+    """A linked name is defined on the first page that links it, by its first link, and reaches over
+    the lines of that path: ``page_extents`` gives its last line."""
     none = F.lit(0).cast("long")
     return (
         links(spark, sf_dir)
         .groupBy("symbol_id")
-        .agg(F.min(F.struct("page_id", "path"))["path"].alias("path"))
+        .agg(F.min(F.struct("site", "path")).alias("first"))
         .select(
             "symbol_id",
+            "first.site",
             F.ltrim("symbol_id", F.lit("/")).alias("name"),
             kind_by_length(F.col("symbol_id")).alias("kind"),
-            "path",
+            "first.path",
             none.alias("start_line"),
             none.alias("end_line"),
         )
     )
 
 
+def page_extents(symbols: DataFrame, docs: DataFrame) -> DataFrame:
+    """Symbols reach to the last line of their document."""
+    last = docs.select("path", (F.size("lines") - 1).cast("long").alias("end_line"))
+    return symbols.drop("end_line").join(last, "path")
+
+
 EVENT_KINDS = {"signup": "create", "click": "modify", "purchase": "modify", "error": "remove", "view": "access"}
 
 

@@ -25,14 +25,18 @@ RUNTIME_CONF = {
 }
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
-    """A session with the engine's settings; on a cluster pass ``master`` and conf of the cluster."""
+def build_session(master: str = "local[*]", shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
+    """A session with the engine's settings; on a cluster pass ``master`` and conf of the cluster.
+
+    The number of shuffle partitions is left to the cluster unless it is given.
+    """
     builder = (
         SparkSession.builder.master(master)
         .appName("chunkloom")
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in {**RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -48,10 +52,14 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests on one machine) gets a folder of its own.
+    A session on one machine may do without and gets a folder of its own; on a cluster that would
+    be a folder the other machines cannot see, so the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         named = tempfile.mkdtemp(prefix="chunkloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -115,8 +115,11 @@ def debounce_stream(events: DataFrame, gap: str, late: str = LATE) -> DataFrame:
 
 
 def deduplicate(events: DataFrame, late: str = LATE) -> DataFrame:
-    """Repeated deliveries once; on a stream the state is bounded by the watermark."""
-    keys = ["path", "kind", "ts"]
+    """Repeated deliveries of one event once; on a stream the state is bounded by the watermark.
+
+    Two events of a path at one instant stay two.
+    """
+    keys = ["event_id", "path", "kind", "ts"]
     if events.isStreaming:
         return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
     return events.dropDuplicates(keys)

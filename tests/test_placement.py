@@ -35,23 +35,22 @@ def example(spark, seed=21):
         depth = rnd.randint(0, 3)
         uses.append((who, "/" + "".join(rnd.choice("abc") + "/" for _ in range(depth)) + f"u{rnd.randrange(6)}.rs"))
     uses += [(0, "/a"), (0, "/a/b"), (5, "/b"), (5, "/b/u1.rs"), (5, "/b/u1.rs/x")]  # files that are folders too
-    uses += [(i, p) for i, p in symbols]  # uses at home are not counted
+    uses += [(i, p) for i, p in symbols for _ in range(i % 3)]  # uses in the declaring file
+    declared = [(i, p, 7) for i, p in symbols]
     return (
         symbols,
         uses,
-        spark.createDataFrame(symbols, "symbol_id long, path string"),
-        spark.createDataFrame(uses, "symbol_id long, path string"),
+        spark.createDataFrame(declared, "symbol_id long, path string, site long"),
+        spark.createDataFrame([(i, p, 100 + k) for k, (i, p) in enumerate(uses)] + declared, "symbol_id long, path string, site long"),
     )
 
 
 def test_distance_sums_by_pairs(spark):
-    symbols, uses, s, u = example(spark)
-    home = dict(symbols)
+    _, uses, s, u = example(spark)
     got = {(r.symbol_id, r.path): (r.uses, r.total) for r in placement.distance_sums(placement.count_references(s, u)).collect()}
     lists = {}
     for who, path in uses:
-        if path != home[who]:
-            lists.setdefault(who, []).append(path)
+        lists.setdefault(who, []).append(path)
     want = {(who, c): (ps.count(c), sum(steps(c, p) for p in ps)) for who, ps in lists.items() for c in ps}
     assert got == want
 
@@ -63,7 +62,7 @@ def test_places_by_pairs(spark):
         got = dict(rows(placement.place_symbols(s, u, use_max), "symbol_id", "place_to"))
         want = {}
         for who in home:
-            own = [p for w, p in uses if w == who and p != home[who]]
+            own = [p for w, p in uses if w == who]
             if own:
                 target = by_pairs(own, use_max)
                 if target != os.path.dirname(home[who]):
@@ -71,6 +70,17 @@ def test_places_by_pairs(spark):
         assert got == want
 
 
+def test_uses_in_the_declaring_file_hold_a_symbol(spark):
+    """Three uses at home and one elsewhere: by least distance the symbol stays."""
+    s = spark.createDataFrame([(1, "/p/x/a.rs", 3)], "symbol_id long, path string, site long")
+    uses = [(1, "/p/x/a.rs", 3), (1, "/p/x/a.rs", 10), (1, "/p/x/a.rs", 11), (1, "/p/x/a.rs", 12), (1, "/p/y/b.rs", 1)]
+    u = spark.createDataFrame(uses, "symbol_id long, path string, site long")
+    assert rows(placement.count_references(s, u)) == [(1, "/p/x/a.rs", 3), (1, "/p/y/b.rs", 1)]
+    assert placement.place_symbols(s, u, use_max=False).count() == 0
+    assert rows(placement.place_symbols(s, u, use_max=True), "place_to") == [("/p/y",)]
+    assert rows(placement.count_references(s.drop("site"), u.drop("site")), "uses") == [(1,), (4,)]
+
+
 def test_ties_and_counts(spark):
     u = spark.createDataFrame([(1, "/a/x.rs", 2), (1, "/b/x.rs", 2), (1, "/c/d/x.rs", 1)], "symbol_id long, path string, uses long")
     sums = placement.distance_sums(u)

@@ -207,7 +207,9 @@ def test_latest_state_and_duplicates(spark):
     assert rows(changes.path_state(frame), "path", "present", "last_kind", "changes") == sorted(
         (p, e[2] != "remove", e[2], sum(k[1] == p for k in kept)) for p, e in last.items()
     )
-    assert changes.deduplicate(frame.unionByName(frame)).count() == len({(e[1], e[2], e[3]) for e in kept})
+    assert changes.deduplicate(frame.unionByName(frame)).count() == len(set(kept))
+    twice = spark.createDataFrame([(1, "/a", "modify", events[0][3]), (2, "/a", "modify", events[0][3])], EVENT)
+    assert rows(changes.deduplicate(twice.unionByName(twice)), "event_id") == [(1,), (2,)]
     assert rows(changes.accept(frame, ["/f?"]).select("path").distinct()) == sorted({(e[1],) for e in kept if len(e[1]) == 3})
 
 
