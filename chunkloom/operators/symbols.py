@@ -15,41 +15,55 @@ from chunkloom.functions.text import hover_text
 from chunkloom.operators.segments import carried, line_segment, number_rows
 
 
-def extract_symbols(
-    lines: DataFrame, patterns: Sequence[tuple[Column | str, str]], span: int = 3
-) -> DataFrame:
-    """Symbols of numbered lines.
+def extract_symbols(docs: DataFrame, patterns: Sequence[tuple[Column | str, str]]) -> DataFrame:
+    """Symbols of documents with ``lines``; the other columns are kept.
 
     ``patterns`` holds ``(kind, regex)`` pairs; the regex's first group is the name and the
     kind is a name or a column over ``name``. The first pattern that fits a line wins. A
-    symbol reaches ``span`` lines or up to the end of its file. Narrow: no shuffle.
+    symbol reaches up to the line before the next symbol, or to the end of its file. Array
+    functions inside the row: no shuffle.
     """
-    found = F.coalesce(
-        *[
-            F.when(
-                F.regexp_extract("line", regex, 1) != "",
-                F.struct(F.regexp_extract("line", regex, 1).alias("name"), F.lit(i).alias("rule")),
-            )
-            for i, (_, regex) in enumerate(patterns)
-        ]
+
+    def match(line: Column) -> Column:
+        return F.coalesce(
+            *[
+                F.when(
+                    F.regexp_extract(line, regex, 1) != "",
+                    F.struct(F.regexp_extract(line, regex, 1).alias("name"), F.lit(i).alias("rule")),
+                )
+                for i, (_, regex) in enumerate(patterns)
+            ]
+        )
+
+    found = F.filter(
+        F.transform("lines", lambda line, i: F.struct(i.alias("at"), line.alias("line"), match(line).alias("found"))),
+        lambda x: x["found"].isNotNull(),
     )
-    rows = lines.withColumn("__found", found).filter(F.col("__found").isNotNull())
-    rows = rows.withColumn("name", F.col("__found.name"))
+    keep = [c for c in docs.columns if c not in ("lines", "name", "kind")]
+    listed = docs.select(*keep, F.size("lines").alias("__n"), found.alias("__found"))
+    ended = F.transform(
+        "__found",
+        lambda x, i: F.struct(
+            x["at"].alias("at"), x["line"].alias("line"), x["found"].alias("found"),
+            (F.coalesce(F.get("__found", i + 1)["at"], F.col("__n")) - 1).alias("end"),
+        ),
+    )
+    rows = listed.select(*keep, F.explode(ended).alias("__s")).withColumn("name", F.col("__s.found.name"))
     kind = F.coalesce(
         *[
-            F.when(F.col("__found.rule") == i, F.lit(k) if isinstance(k, str) else k)
+            F.when(F.col("__s.found.rule") == i, F.lit(k) if isinstance(k, str) else k)
             for i, (k, _) in enumerate(patterns)
         ]
     )
-    keep = [c for c in lines.columns if c not in ("line", "line_no", "n", "name", "kind")]
+    place = F.instr("__s.line", F.col("name")) - 1
     return rows.select(
         *keep,
         "name",
         kind.alias("kind"),
-        F.col("line_no").cast("long").alias("start_line"),
-        F.least(F.col("line_no") + span - 1, F.col("n") - 1).cast("long").alias("end_line"),
-        (F.instr("line", F.col("name")) - 1).cast("long").alias("start_character"),
-        (F.instr("line", F.col("name")) - 1 + F.length("name")).cast("long").alias("end_character"),
+        F.col("__s.at").cast("long").alias("start_line"),
+        F.col("__s.end").cast("long").alias("end_line"),
+        place.cast("long").alias("start_character"),
+        (place + F.length("name")).cast("long").alias("end_character"),
     )
 
 
@@ -169,7 +183,7 @@ def enclosing_symbols(chunks: DataFrame, symbols: DataFrame, bucket: int = 64) -
         & (ranged["start_line"] < spans["c_end"])
         & (ranged["end_line"] >= spans["c_start"])
     )
-    return ranged.join(spans, cond, "left_semi").drop("bucket").dropDuplicates(["symbol_id"])
+    return ranged.join(spans, cond, "left_semi").drop("bucket").dropDuplicates(["path", "start_line", "symbol_id"])
 
 
 def attach_code(symbols: DataFrame, docs: DataFrame) -> DataFrame:

@@ -27,9 +27,9 @@ _VIEWS = {
         ("docs",),
     ),
     "symbols": (
-        """SELECT doc_id * 1000000 + line_no AS symbol_id, path, name, kind,
+        """SELECT doc_id * 4294967296 + line_no AS symbol_id, path, name, kind,
         CASE WHEN kind = 'Enum' THEN source END AS container_name, line_no AS start_line,
-        least(line_no + 2, n - 1) AS end_line, 0::BIGINT AS start_character,
+        coalesce(lead(line_no) OVER (PARTITION BY path ORDER BY line_no), n) - 1 AS end_line, 0::BIGINT AS start_character,
         length(name)::BIGINT AS end_character, line, lang
         FROM (SELECT *, CASE length(name) % 3 WHEN 0 THEN 'Struct' WHEN 1 THEN 'Function' ELSE 'Enum' END AS kind
               FROM (SELECT *, regexp_extract(line, '^([A-Z][a-z]+)', 1) AS name FROM lines))

@@ -17,6 +17,8 @@ from chunkloom.sources.rules import Rule, Ruleset
 PARAMS = ChunkParams(size=5, overlap=2)
 EMBEDDER = HashEmbedder(64)
 NAME_REGEX = "^([A-Z][a-z]+)"
+# A symbol's id is its document's times this plus its line; no document has so many lines.
+LINES = 1 << 32
 
 RULES = Ruleset(
     common=("Look for an existing symbol first.", "Keep one symbol per concern."),
@@ -97,9 +99,9 @@ def kind_by_length(name: F.Column) -> F.Column:
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A symbol per line that starts with a capitalised word."""
-    found = extract_symbols(lines(spark, sf_dir), [(kind_by_length(F.col("name")), NAME_REGEX)])
+    found = extract_symbols(docs(spark, sf_dir), [(kind_by_length(F.col("name")), NAME_REGEX)])
     return found.select(
-        (F.col("doc_id") * 1000000 + F.col("start_line")).alias("symbol_id"),
+        (F.col("doc_id") * LINES + F.col("start_line")).alias("symbol_id"),
         "path",
         "name",
         "kind",

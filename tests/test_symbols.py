@@ -6,7 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from chunkloom.operators import segments, symbols
-from chunkloom.operators.lines import numbered_lines, with_lines
+from chunkloom.operators.lines import with_lines
 
 PLACED = "symbol_id long, path string, name string, kind string, start_line long, end_line long"
 
@@ -15,10 +15,10 @@ def test_extract_first_pattern_wins(spark):
     docs = with_lines(
         spark.createDataFrame([("/a.rs", "pub struct Foo {\n  x: u8\n}\nfn bar() {}\nstruct fn_like;")], "path string, text string")
     )
-    found = symbols.extract_symbols(numbered_lines(docs), [("Struct", r"struct (\w+)"), ("Function", r"fn (\w+)")], span=3)
+    found = symbols.extract_symbols(docs, [("Struct", r"struct (\w+)"), ("Function", r"fn (\w+)")])
     assert rows(found, "name", "kind", "start_line", "end_line", "start_character", "end_character") == [
         ("Foo", "Struct", 0, 2, 11, 14),
-        ("bar", "Function", 3, 4, 3, 6),
+        ("bar", "Function", 3, 3, 3, 6),
         ("fn_like", "Struct", 4, 4, 7, 14),
     ]
 
