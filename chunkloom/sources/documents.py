@@ -1,7 +1,8 @@
 """Where the chunk table's upkeep gets changed documents from.
 
-A micro-batch changes a few files. Both sources read just those when their paths fit a
-literal list, and fall back to a join with the changed paths beyond it.
+A micro-batch changes a few files. Both sources match changed paths by a join on ``path``, however many
+they are, and keep what else there is from being read: a table by the range of the wanted
+paths, a folder by the names of the files that the listing found for them.
 """
 
 from __future__ import annotations
@@ -15,9 +16,6 @@ from pyspark.sql import functions as F
 from chunkloom.operators.lines import with_lines
 from chunkloom.sources.files import scan_documents, scan_paths
 
-FEW = 1000
-
-
 class Documents(Protocol):
     def paths(self) -> DataFrame:
         """``path`` of every document; the texts are not read."""
@@ -28,16 +26,10 @@ class Documents(Protocol):
         ...
 
 
-def _few(wanted: DataFrame) -> list[str] | None:
-    """The paths if there are at most ``FEW`` of them. Runs a job."""
-    found = wanted.select("path").distinct().limit(FEW + 1).collect()
-    return [r.path for r in found] if len(found) <= FEW else None
-
-
 class TableDocuments:
     """Documents of a table with ``path`` and ``lines``, or with ``path`` and ``text``.
 
-    In a table clustered by path the literal list prunes the row groups that are read.
+    In a table clustered by path the range of the wanted paths prunes the row groups that are read.
     """
 
     def __init__(self, table: DataFrame) -> None:
@@ -47,11 +39,9 @@ class TableDocuments:
         return self.table.select("path")
 
     def of(self, wanted: DataFrame) -> DataFrame:
-        few = _few(wanted)
-        if few is None:
-            found = self.table.join(wanted.select("path").distinct(), "path", "left_semi")
-        else:
-            found = self.table.filter(F.col("path").isin(few))
+        names = wanted.select("path").distinct()
+        first, last = names.agg(F.min("path"), F.max("path")).first()
+        found = self.table.filter(F.col("path").between(first, last)).join(names, "path", "left_semi")
         return found.select("path", "lines") if "lines" in found.columns else with_lines(found.select("path", "text"))
 
 
@@ -65,8 +55,5 @@ class FileDocuments:
         return scan_paths(self.spark, self.root_uri, self.globs).select("path")
 
     def of(self, wanted: DataFrame) -> DataFrame:
-        few = _few(wanted)
-        found, _ = scan_documents(self.spark, self.root_uri, self.globs, few)
-        if few is None:
-            found = found.join(wanted.select("path").distinct(), "path", "left_semi")
+        found, _ = scan_documents(self.spark, self.root_uri, self.globs, wanted)
         return with_lines(found)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from urllib.parse import quote, unquote, urlsplit
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,14 +21,7 @@ def root_path(root_uri: str) -> str:
     return unquote(parts.path).rstrip("/") or "/"
 
 
-def _uri_part(path: str) -> str:
-    """A path as the reader writes it in file names: ASCII signs encoded, letters kept."""
-    return "".join(c if ord(c) > 127 else quote(c, safe="/!$&'()*+,;=:@~-._") for c in path)
-
-
-def _scan(
-    spark: SparkSession, root_uri: str, globs: Sequence[str], only: Sequence[str] | None = None
-) -> DataFrame:
+def _scan(spark: SparkSession, root_uri: str, globs: Sequence[str], only: DataFrame | None = None) -> DataFrame:
     root = root_path(root_uri)
     for glob in globs:
         glob_to_regex(glob)
@@ -38,12 +31,14 @@ def _scan(
         .option("ignoreMissingFiles", "true")
         .load(root)
     )
-    if only is not None:
-        # A filter on the file's own name keeps other files from being opened.
-        names = [scheme + _uri_part(p) for p in only for scheme in ("file:", "file://")]
-        files = files.filter(F.col("_metadata.file_path").isin(names))
     # The reader gives "file:/a/b" without an authority.
     path = F.regexp_replace("path", "^file:/*", "/")
+    if only is not None:
+        # The listing names the wanted files in the reader's own spelling; a filter by name keeps
+        # other files from being opened.
+        listed = files.select(path.alias("path"), F.col("_metadata.file_path").alias("name"))
+        names = [r["name"] for r in listed.join(only.select("path").distinct(), "path", "left_semi").collect()]
+        files = files.filter(F.col("_metadata.file_path").isin(names))
     inside = F.substring(path, len(root) + 2 if root != "/" else 2, 1 << 30)
     return files.withColumn("path", path).filter(glob_match(inside, globs))
 
@@ -57,12 +52,12 @@ def scan_paths(spark: SparkSession, root_uri: str, globs: Sequence[str]) -> Data
 
 
 def scan_documents(
-    spark: SparkSession, root_uri: str, globs: Sequence[str], only: Sequence[str] | None = None
+    spark: SparkSession, root_uri: str, globs: Sequence[str], only: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """``(path, text)`` of the matching files, and the paths of files that are not UTF-8.
 
-    Small files share a task by the reader's own split packing. ``only`` restricts the scan to
-    some absolute paths; the other files are listed but not read.
+    Small files share a task by the reader's own split packing. ``only`` restricts the scan to the
+    absolute paths in its column ``path``; the other files are listed but not read. Runs a job then.
     """
     files = _scan(spark, root_uri, globs, only).select("path", "content")
     good, bad = split_rejects(files, F.is_valid_utf8(F.col("content").cast("string")))

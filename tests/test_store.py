@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from chunkloom.config import ChunkParams
 from chunkloom.operators import store
 from chunkloom.operators.embedding import HashEmbedder, check_dims
-from chunkloom.sources import documents as sources
 from chunkloom.sources.documents import FileDocuments, TableDocuments
 from chunkloom.sources.files import paths_of_uris, root_path, scan_documents, scan_paths
 from chunkloom.streaming import changes, maintain
@@ -42,20 +41,21 @@ def test_scan_files(spark, tmp_path):
             root_path(bad)
 
 
-def test_documents_of_changed_paths(spark, tmp_path, monkeypatch):
-    """Only the changed files are read; long lists of changes give the same rows by a join."""
-    for name in ("a.rs", "b c.rs", "ü.rs", "d.txt"):
+def test_documents_of_changed_paths(spark, tmp_path):
+    """Only the changed files are read, whatever signs their names hold."""
+    odd = ["a\u00a0b.rs", "a\u2028b.rs", "a\u3000b.rs", "p%20q+r.rs", "[x]{y}#?.rs"]
+    for name in ("a.rs", "b c.rs", "ü.rs", "d.txt", *odd):
         (tmp_path / name).write_text(f"{name}\nend\n")
     here = FileDocuments(spark, f"file://{tmp_path}", ["*.rs"])
     wanted = spark.createDataFrame([(f"{tmp_path}/{n}",) for n in ("b c.rs", "ü.rs", "gone.rs", "d.txt")], "path string")
     want = [(f"{tmp_path}/b c.rs", ["b c.rs", "end"]), (f"{tmp_path}/ü.rs", ["ü.rs", "end"])]
     table = TableDocuments(here.of(here.paths()))
-    assert here.paths().count() == 3
-    for few in (1000, 1):
-        monkeypatch.setattr(sources, "FEW", few)
-        assert rows(here.of(wanted)) == want
-        assert rows(table.of(wanted)) == want
-    assert table.of(wanted.limit(0)).count() == 0
+    assert here.paths().count() == 3 + len(odd)
+    assert rows(here.of(wanted)) == want
+    assert rows(table.of(wanted)) == want
+    assert table.of(wanted.limit(0)).count() == 0 == here.of(wanted.limit(0)).count()
+    every = spark.createDataFrame([(f"{tmp_path}/{n}",) for n in odd], "path string")
+    assert {r.lines[0] for r in here.of(every).collect()} == set(odd)
 
 
 def test_uris(spark):
