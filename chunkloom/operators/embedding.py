@@ -168,8 +168,9 @@ def check_dims(chunks: DataFrame, ndims: int) -> tuple[DataFrame, DataFrame]:
     return chunks.filter(ok), chunks.filter(~ok)
 
 
-def check_model(chunks: DataFrame, embedder: Embedder) -> None:
-    """Raise if a table was embedded by another model than ``embedder``."""
+def check_model(chunks: DataFrame, embedder: Embedder, policy: str | None = None) -> None:
+    """Raise if a table was embedded by another model than ``embedder``, or by another ``policy``."""
     meta = chunks.schema["embedding"].metadata or {}
-    if meta.get("model", embedder.name) != embedder.name or meta.get("ndims", embedder.dims) != embedder.dims:
+    wanted = {"model": embedder.name, "ndims": embedder.dims, "policy": policy}
+    if any(v is not None and meta.get(k, v) != v for k, v in wanted.items()):
         raise ValueError(f"the table was embedded by {meta}, the query by {embedder.name}")

@@ -1,11 +1,13 @@
 """The chunk table on Parquet.
 
 Layout below ``root/dims=<n>``: ``chunks/batch_id=<b>`` holds the rows written by a batch and
-``changes/batch_id=<b>`` what the batch did to which path. A batch counts once its changes
-are written, which happens last; a replayed batch overwrites its own folders. Readers
+``changes/batch_id=<b>`` what the batch did to which path. The table numbers its batches itself, so
+streams, compactions and single commits follow each other in any order; a commit may name its
+source and the source's own number, and what was committed under that name is not done again.
+A batch counts once its changes are written, which happens last. Readers
 take, per path, the rows of the newest batch that changed it, so an update writes the
 changed files only and never rewrites the table. ``compact`` writes a clustered base from
-time to time; older batches are then ignored.
+time to time; older batches are then ignored, and ``vacuum`` removes them. One writer at a time.
 """
 
 from __future__ import annotations
@@ -21,18 +23,19 @@ from pyspark.sql import types as T
 from chunkloom.functions.paths import prefixes
 
 UPSERT, REMOVE, BASE = "upsert", "remove", "base"
-CHANGES_SCHEMA = "path string, action string, batch_id bigint"
+CHANGES_SCHEMA = "path string, action string, source string, source_batch bigint, batch_id bigint"
 
 
-def chunk_schema(ndims: int) -> T.StructType:
-    """The persisted row; the vector's length is kept in the column's metadata."""
+def chunk_schema(ndims: int, **made_by: str | None) -> T.StructType:
+    """The persisted row; the vector's length, and its model and policy, are kept in the column's metadata."""
+    meta = {"ndims": ndims, **{k: v for k, v in made_by.items() if v is not None}}
     return T.StructType(
         [
             T.StructField("id", T.StringType(), False),
             T.StructField("path", T.StringType(), False),
             T.StructField("start_line", T.LongType(), False),
             T.StructField("end_line", T.LongType(), False),
-            T.StructField("embedding", T.ArrayType(T.DoubleType()), False, {"ndims": ndims}),
+            T.StructField("embedding", T.ArrayType(T.DoubleType()), False, meta),
         ]
     )
 
@@ -94,11 +97,16 @@ def replace_by_path(old: DataFrame, changed: DataFrame, new: DataFrame) -> DataF
 
 @dataclass(frozen=True)
 class ChunkStore:
-    """A chunk table; another ``ndims`` opens another table, empty at first."""
+    """A chunk table; another ``ndims`` opens another table, empty at first.
+
+    ``model`` and ``policy`` say how its vectors are made; a table made otherwise is refused.
+    """
 
     spark: SparkSession
     root: str
     ndims: int
+    model: str | None = None
+    policy: str | None = None
 
     @property
     def home(self) -> str:
@@ -120,30 +128,45 @@ class ChunkStore:
             field = stored.schema["embedding"]
             if field.dataType.simpleString() != "array<double>":
                 raise TypeError(f"{self.home}: embedding is {field.dataType.simpleString()}, not array<double>")
-            if (field.metadata or {}).get("ndims", self.ndims) != self.ndims:
-                raise ValueError(f"{self.home}: vectors have {field.metadata['ndims']} values")
+            self._check(field.metadata or {})
         return self
 
-    def _schema(self) -> T.StructType:
-        return chunk_schema(self.ndims).add("batch_id", T.LongType())
+    def _check(self, meta: dict) -> None:
+        for name, mine in (("ndims", self.ndims), ("model", self.model), ("policy", self.policy)):
+            if mine is not None and meta.get(name, mine) != mine:
+                raise ValueError(f"{self.home}: {name} is {meta[name]!r}, not {mine!r}")
+
+    def schema(self) -> T.StructType:
+        return chunk_schema(self.ndims, model=self.model, policy=self.policy)
 
     def changes(self) -> DataFrame:
         got = self._read("changes", CHANGES_SCHEMA)
         return got if got is not None else self.spark.createDataFrame([], CHANGES_SCHEMA)
 
-    def commit(self, batch_id: int, chunks: DataFrame, changes: DataFrame) -> None:
-        """Write a batch: the new rows, then ``(path, action)`` of every path it changed."""
-        fields = chunk_schema(self.ndims)
-        rows = chunks.select(*[F.col(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in fields])
+    def commit(self, chunks: DataFrame, changes: DataFrame, source: str = "", source_batch: int | None = None) -> int:
+        """Write a batch: the new rows, then ``(path, action)`` of every path it changed. Returns its number.
+
+        With ``source_batch``, a batch that ``source`` has committed before is left as it is.
+        """
+        self._check(chunks.schema["embedding"].metadata or {})
+        done = self.changes()
+        if source_batch is not None:
+            again = done.filter((F.col("source") == source) & (F.col("source_batch") == source_batch))
+            if (row := again.select("batch_id").first()) is not None:
+                return row[0]
+        batch_id = (done.agg(F.max("batch_id")).first()[0] or 0) + 1
+        rows = chunks.select(*[F.col(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in self.schema()])
         rows.write.mode("overwrite").parquet(f"{self.home}/chunks/batch_id={batch_id}")
-        changes.select("path", "action").write.mode("overwrite").parquet(
+        named = F.lit(source).alias("source"), F.lit(source_batch).cast("bigint").alias("source_batch")
+        changes.select("path", "action", *named).write.mode("overwrite").parquet(
             f"{self.home}/changes/batch_id={batch_id}"
         )
+        return batch_id
 
-    def commit_base(self, batch_id: int, chunks: DataFrame) -> None:
+    def commit_base(self, chunks: DataFrame) -> int:
         """Write the whole table, rows clustered by path: readers ignore every earlier batch."""
         marker = self.spark.range(1).select(F.lit("").alias("path"), F.lit(BASE).alias("action"))
-        self.commit(batch_id, chunks, marker)
+        return self.commit(chunks, marker)
 
     def _base(self) -> int:
         row = self.changes().filter(F.col("action") == BASE).agg(F.max("batch_id")).first()
@@ -156,9 +179,9 @@ class ChunkStore:
         compactions and AQE broadcasts it when its measured size allows, so the base is
         read without a shuffle.
         """
-        rows = self._read("chunks", self._schema())
+        rows = self._read("chunks", self.schema().add("batch_id", T.LongType()))
         if rows is None:
-            return self.spark.createDataFrame([], chunk_schema(self.ndims))
+            return self.spark.createDataFrame([], self.schema())
         base, changes = self._base(), self.changes()
         changes = changes.filter(F.col("batch_id") >= base)
         committed = changes.select("batch_id").distinct()
@@ -175,9 +198,20 @@ class ChunkStore:
             .join(committed, "batch_id", "left_semi")
             .join(last, "path", "left")
             .filter(current)
-            .select(*chunk_schema(self.ndims).fieldNames())
+            .select(*self.schema().fieldNames())
         )
 
-    def compact(self, batch_id: int) -> None:
-        """Write the current rows as a new base; ``batch_id`` must exceed every earlier one."""
-        self.commit_base(batch_id, clustered(self.live()))
+    def compact(self) -> int:
+        """Write the current rows as a new base."""
+        return self.commit_base(clustered(self.live()))
+
+    def vacuum(self) -> list[int]:
+        """Remove the rows of batches before the base, which no new reader looks at; their list of changes stays,
+        so that what they committed is not done again. Readers that began before the base must be over."""
+        base = self._base()
+        old = self.changes().filter(F.col("batch_id") < base).select("batch_id").distinct().collect()
+        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for row in old:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.home}/chunks/batch_id={row[0]}")
+            path.getFileSystem(hadoop).delete(path, True)
+        return sorted(row[0] for row in old)

@@ -61,7 +61,7 @@ def _stored(spark, sf_dir, dims_before: int | None = None) -> store.ChunkStore:
     if dims_before:
         old = store.ChunkStore(spark, root, dims_before).open()
         narrow = embedding.embed_chunks(t.chunks(spark, sf_dir, True), embedding.HashEmbedder(dims_before))
-        old.commit_base(0, narrow)
+        old.commit_base(narrow)
     return store.ChunkStore(spark, root, t.EMBEDDER.dims).open()
 
 
@@ -71,14 +71,14 @@ def chunk_table_open(spark, sf_dir):
     table = _stored(spark, sf_dir, dims_before=8)
     before = table.live().select("id", "path", F.lit("before").alias("state"))
     fresh = t.embedded_chunks(spark, sf_dir)
-    table.commit_base(1, before.select("id").join(fresh, "id", "right"))
+    table.commit_base(before.select("id").join(fresh, "id", "right"))
     return table.live().select("id", "path", F.size("embedding").cast("long").alias("dims"))
 
 
 @query
 def chunk_table_write(spark, sf_dir):
     table = _stored(spark, sf_dir)
-    table.commit_base(0, maintain.index_documents(store.clustered_documents(t.docs(spark, sf_dir)), t.PARAMS, t.EMBEDDER))
+    table.commit_base(maintain.index_documents(store.clustered_documents(t.docs(spark, sf_dir)), t.PARAMS, t.EMBEDDER))
     return table.live().select("id", "path", "start_line", "end_line", vector_text(F.col("embedding")).alias("vector"))
 
 
@@ -608,7 +608,7 @@ def incremental_chunks(spark, sf_dir):
     """First scan of all files, then the change stream; the table that is left."""
     docs = t.docs(spark, sf_dir).select("path", "lines")
     table = store.ChunkStore(spark, scratch(spark, "table"), t.EMBEDDER.dims).open()
-    table.commit_base(0, maintain.index_documents(store.clustered_documents(docs), t.PARAMS, t.EMBEDDER))
+    table.commit_base(maintain.index_documents(store.clustered_documents(docs), t.PARAMS, t.EMBEDDER))
     maintain.follow(
         _event_stream(spark, sf_dir), table, TableDocuments(docs), t.PARAMS, t.EMBEDDER, scratch(spark, "table-checkpoint")
     )

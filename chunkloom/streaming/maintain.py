@@ -12,6 +12,7 @@ from chunkloom.functions.patterns import glob_match
 from chunkloom.operators.chunking import chunk_lines
 from chunkloom.operators.embedding import Embedder, embed_chunks
 from chunkloom.operators.store import REMOVE, UPSERT, ChunkStore, expand_folders
+from chunkloom.session import materialize
 from chunkloom.sources.documents import Documents
 from chunkloom.streaming.changes import accept, action, latest
 
@@ -23,21 +24,23 @@ def index_documents(docs: DataFrame, params: ChunkParams, embedder: Embedder, po
 
 def apply_changes(
     store: ChunkStore,
-    batch_id: int,
     events: DataFrame,
     docs: Documents,
     params: ChunkParams,
     embedder: Embedder,
     policy: str = "mean",
     globs: Sequence[str] = (),
+    source: str = "",
+    source_batch: int | None = None,
 ) -> None:
     """Apply one micro-batch: re-chunk the files it creates or changes, drop those it removes.
 
-    The last event of a path decides, and only changed documents are read. A path that does not match ``globs`` is taken for a
+    The last event of a path decides, and only changed documents are read; these events are written
+    once for all that follows. A path that does not match ``globs`` is taken for a
     folder and stands for the known files below it; such events are rare, and only they
     make the path columns of documents and table be read.
     """
-    last = latest(accept(events)).select("path", action().alias("action"))
+    last = materialize(latest(accept(events)).select("path", action().alias("action")), "events")
     files = last.filter(glob_match(F.col("path"), globs)) if globs else last
     upserts = files.filter(F.col("action") == UPSERT).select("path")
     removes = files.filter(F.col("action") == REMOVE).select("path")
@@ -51,7 +54,7 @@ def apply_changes(
             removes = removes.unionByName(gone).distinct().join(upserts, "path", "left_anti")
     changed = docs.of(upserts)
     changes = upserts.withColumn("action", F.lit(UPSERT)).unionByName(removes.withColumn("action", F.lit(REMOVE)))
-    store.commit(batch_id, index_documents(changed, params, embedder, policy), changes)
+    store.commit(index_documents(changed, params, embedder, policy), changes, source, source_batch)
 
 
 def follow(
@@ -61,15 +64,16 @@ def follow(
     params: ChunkParams,
     embedder: Embedder,
     checkpoint: str,
-    first_batch: int = 1,
     policy: str = "mean",
     globs: Sequence[str] = (),
 ) -> None:
-    """Run a change stream over what has arrived. Micro-batch ``b`` is table batch
-    ``first_batch + b``; a replay after a failure overwrites the same batch."""
+    """Run a change stream over what has arrived. The table knows micro-batches by the stream's id, which
+    its checkpoint keeps, and their number: a replay after a failure is done once, a new checkpoint is
+    another stream."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        apply_changes(store, first_batch + batch_id, batch, docs, params, embedder, policy, globs)
+        named = store.spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+        apply_changes(store, batch, docs, params, embedder, policy, globs, named, batch_id)
 
     query = (
         events.writeStream.option("checkpointLocation", checkpoint)

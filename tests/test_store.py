@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.config import ChunkParams
 from chunkloom.operators import store
-from chunkloom.operators.embedding import HashEmbedder, check_dims
+from chunkloom.operators.embedding import HashEmbedder, check_dims, check_model
 from chunkloom.sources.documents import FileDocuments, TableDocuments
 from chunkloom.sources.files import paths_of_uris, root_path, scan_documents, scan_paths
 from chunkloom.streaming import changes, maintain
@@ -83,34 +83,39 @@ def test_table_life(spark, tmp_path):
     table = store.ChunkStore(spark, str(tmp_path / "t"), 8).open()
     assert table.live().count() == 0
     texts = {"/a": list("abcd"), "/b": list("xy"), "/c": ["q"]}
-    table.commit_base(0, indexed(spark, texts))
+    table.commit_base(indexed(spark, texts))
     assert content(table.live()) == content(indexed(spark, texts))
     assert table.live().schema["embedding"].dataType.simpleString() == "array<double>"
 
     texts["/a"] = ["new"]
-    table.commit(1, indexed(spark, {"/a": texts["/a"]}), changed(spark, ("/a", store.UPSERT)))
+    table.commit(indexed(spark, {"/a": texts["/a"]}), changed(spark, ("/a", store.UPSERT)), "s", 1)
     del texts["/b"]
-    table.commit(2, indexed(spark, {}), changed(spark, ("/b", store.REMOVE)))
+    table.commit(indexed(spark, {}), changed(spark, ("/b", store.REMOVE)))
     assert content(table.live()) == content(indexed(spark, texts))
 
     # The same batch again changes nothing.
-    table.commit(1, indexed(spark, {"/a": texts["/a"]}), changed(spark, ("/a", store.UPSERT)))
+    table.commit(indexed(spark, {"/a": texts["/a"]}), changed(spark, ("/a", store.UPSERT)), "s", 1)
     assert content(table.live()) == content(indexed(spark, texts))
 
     # A removed file comes back.
     texts["/b"] = ["again"]
-    table.commit(3, indexed(spark, {"/b": ["again"]}), changed(spark, ("/b", store.UPSERT)))
+    table.commit(indexed(spark, {"/b": ["again"]}), changed(spark, ("/b", store.UPSERT)))
     assert content(table.live()) == content(indexed(spark, texts))
 
     # Rows of a batch whose changes were not written yet are not seen.
-    indexed(spark, {"/c": ["half"], "/z": ["half"]}).write.parquet(f"{table.home}/chunks/batch_id=4")
+    indexed(spark, {"/c": ["half"], "/z": ["half"]}).write.parquet(f"{table.home}/chunks/batch_id=5")
     assert content(table.live()) == content(indexed(spark, texts))
 
-    table.compact(5)
+    assert table.compact() == 5
     assert content(table.live()) == content(indexed(spark, texts))
-    table.commit(6, indexed(spark, {"/c": ["fresh"]}), changed(spark, ("/c", store.UPSERT)))
+    table.commit(indexed(spark, {"/c": ["fresh"]}), changed(spark, ("/c", store.UPSERT)))
     texts["/c"] = ["fresh"]
     assert content(table.live()) == content(indexed(spark, texts))
+    assert table.vacuum() == [1, 2, 3, 4]
+    assert content(table.live()) == content(indexed(spark, texts))
+    # What was committed before the base is still not done again.
+    table.commit(indexed(spark, {"/a": ["replay"]}), changed(spark, ("/a", store.UPSERT)), "s", 1)
+    assert content(table.live()) == content(indexed(spark, texts))
 
     # Other dimensions open another table; the type of the vectors is checked.
     assert store.ChunkStore(spark, str(tmp_path / "t"), 16).open().live().count() == 0
@@ -119,6 +124,19 @@ def test_table_life(spark, tmp_path):
         store.ChunkStore(spark, str(tmp_path / "t"), 4).open()
 
 
+def test_table_keeps_model_and_policy(spark, tmp_path):
+    made = {"model": MODEL.name, "policy": "mean"}
+    table = store.ChunkStore(spark, str(tmp_path / "t"), 8, **made).open()
+    table.commit_base(indexed(spark, {"/a": ["x"]}))
+    back = store.ChunkStore(spark, str(tmp_path / "t"), 8, **made).open().live()
+    check_model(back, MODEL, "mean")
+    for other in ({"model": "other"}, {"policy": "concat"}):
+        with pytest.raises(ValueError):
+            store.ChunkStore(spark, str(tmp_path / "t"), 8, **{**made, **other}).open()
+    with pytest.raises(ValueError):
+        check_model(back, MODEL, "concat")
+
+
 def test_deletes_and_upserts(spark):
     old = spark.createDataFrame([("1", "/d/a"), ("2", "/d2/a"), ("3", "/d_/x"), ("4", "/d")], "id string, path string")
     assert rows(store.delete_under(old, ["/d"]), "id") == [("2",), ("3",)]
@@ -265,7 +283,7 @@ def test_incremental_table(spark, tmp_path):
     texts |= {f"/q/f{i}.txt": ["q"] * i for i in range(1, 4)}
     docs = TableDocuments(documents(spark, texts))
     table = store.ChunkStore(spark, str(tmp_path / "t"), 8).open()
-    table.commit_base(0, indexed(spark, texts))
+    table.commit_base(indexed(spark, texts))
     feed = str(tmp_path / "feed")
     steps = [
         [(1, "/p/f0.txt", "modify"), (2, "/p/f1.txt", "remove"), (3, "/p/f2.txt", "access")],
@@ -277,15 +295,17 @@ def test_incremental_table(spark, tmp_path):
         spark.createDataFrame(data, EVENT).coalesce(1).write.mode("append").parquet(feed)
         stream = changes.read_feed(spark, feed, EVENT, files_per_trigger=1)
         maintain.follow(stream, table, docs, PARAMS, MODEL, str(tmp_path / "check"), globs=["**/*.txt"])
+        if n == 1:
+            table.compact()  # between two runs of one checkpoint
     gone = {"/p/f1.txt", "/p/f4.txt", "/q/f1.txt", "/q/f2.txt", "/q/f3.txt"}
     left = {p: t for p, t in texts.items() if p not in gone}
     assert content(table.live()) == content(indexed(spark, left))
     # The last micro-batch once more.
     data = [(i, p, k, T0 + dt.timedelta(seconds=i)) for i, p, k in steps[-1]]
-    maintain.apply_changes(table, 3, spark.createDataFrame(data, EVENT), docs, PARAMS, MODEL, globs=["**/*.txt"])
+    maintain.apply_changes(table, spark.createDataFrame(data, EVENT), docs, PARAMS, MODEL, globs=["**/*.txt"], source="once", source_batch=3)
     assert content(table.live()) == content(indexed(spark, left))
     # The removed folder comes back.
     back = [(9, "/q", "create", T0 + dt.timedelta(hours=1))]
-    maintain.apply_changes(table, 4, spark.createDataFrame(back, EVENT), docs, PARAMS, MODEL, globs=["**/*.txt"])
+    maintain.apply_changes(table, spark.createDataFrame(back, EVENT), docs, PARAMS, MODEL, globs=["**/*.txt"], source="once", source_batch=4)
     left |= {p: t for p, t in texts.items() if p.startswith("/q/")}
     assert content(table.live()) == content(indexed(spark, left))
