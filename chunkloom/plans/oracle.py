@@ -600,11 +600,7 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "changes_stream": _with("accepted", f"SELECT event_id, path, kind, {_stamp('ts')} AS ts FROM accepted"),
     "changes_debounced": _with("bursts", f"SELECT {_BURSTS} FROM bursts"),
-    "changes_debounced_stream": _with(
-        "bursts",
-        f"""SELECT {_BURSTS} FROM bursts
-        WHERE last_ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM accepted) - INTERVAL 10 MINUTE""",
-    ),
+    "changes_debounced_stream": _with("bursts", f"SELECT {_BURSTS} FROM bursts"),
     "changes_latest": _with(
         "accepted",
         f"""SELECT path, kind, event_id, {_stamp("ts")} AS ts,

@@ -577,8 +577,12 @@ def changes_debounced(spark, sf_dir):
 
 @query
 def changes_debounced_stream(spark, sf_dir):
-    """By session windows; bursts still open at the watermark are not emitted."""
-    stream = changes.debounce_stream(changes.accept(_event_stream(spark, sf_dir)), "1 hour")
+    """By session windows. The feed has an end; a heartbeat past it closes the bursts that are still open."""
+    folder = scratch(spark, "heartbeats")
+    last = t.table(spark, sf_dir, "events").agg(F.max("ts").cast("timestamp")).first()[0]
+    changes.beat(spark, folder, F.lit(last) + F.expr("interval 1 hour") + F.expr(f"interval {changes.LATE}") + F.expr("interval 1 second"))
+    events = changes.with_heartbeats(changes.accept(_event_stream(spark, sf_dir)), folder)
+    stream = changes.debounce_stream(events, "1 hour")
     return _burst_columns(spark.read.parquet(_drained(spark, stream, "bursts")))
 
 

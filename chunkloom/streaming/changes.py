@@ -100,7 +100,8 @@ def debounce(events: DataFrame, gap: str, segment: str = "1 day") -> DataFrame:
 
 def debounce_stream(events: DataFrame, gap: str, late: str = LATE) -> DataFrame:
     """Streaming form, by session windows. A burst is emitted once the watermark has passed
-    its end, so bursts still open stay in the state."""
+    its end. Bursts still open stay in the state until later events, or a heartbeat, move the
+    watermark on."""
     return (
         events.withWatermark("ts", late)
         .groupBy("path", F.session_window("ts", gap).alias("burst"))
@@ -110,10 +111,30 @@ def debounce_stream(events: DataFrame, gap: str, late: str = LATE) -> DataFrame:
             F.count("*").alias("events"),
             F.max_by("kind", F.struct("ts", "event_id")).alias("kind"),
         )
+        # Heartbeats go by an aggregate: a filter by path would be pushed below the watermark.
+        .filter(F.col("kind").isNotNull())
         .drop("burst")
     )
 
 
+def with_heartbeats(events: DataFrame, folder: str) -> DataFrame:
+    """A stream of events joined by the heartbeats written to ``folder``: events without a path, which move the
+    watermark on when the feed is silent or has ended, so that open bursts come out."""
+    spark = events.sparkSession
+    columns = events.select("event_id", "path", "kind", "ts")
+    beats = spark.readStream.schema(columns.schema).parquet(folder)
+    return columns.unionByName(beats)
+
+
+def beat(spark: SparkSession, folder: str, at: Column) -> None:
+    """Write one heartbeat that says that nothing before ``at`` is still to come."""
+    none = F.lit(None)
+    row = spark.range(1).select(
+        none.cast("bigint").alias("event_id"), none.cast("string").alias("path"), none.cast("string").alias("kind"), at.alias("ts")
+    )
+    row.write.mode("append").parquet(folder)
+
+
 def deduplicate(events: DataFrame, late: str = LATE) -> DataFrame:
     """Repeated deliveries of one event once; on a stream the state is bounded by the watermark.
 

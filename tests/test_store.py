@@ -270,6 +270,12 @@ def test_stream_equals_batch(spark, tmp_path):
     end = max(e[3] for e in events if e[2] in changes.ACCEPTED) - dt.timedelta(minutes=10)
     want = [b for b in bursts(events, dt.timedelta(hours=2)) if b[2] + dt.timedelta(hours=2) <= end]
     assert local(got) == seconds(want)
+    # A heartbeat past the end brings out the bursts that were still open.
+    changes.beat(spark, str(tmp_path / "beats"), F.lit(T0 + dt.timedelta(days=30)))
+    closed = changes.debounce_stream(changes.with_heartbeats(stream, str(tmp_path / "beats")), "2 hours")
+    changes.drain(closed, str(tmp_path / "b2"), str(tmp_path / "bc2"))
+    got = spark.read.parquet(str(tmp_path / "b2")).select("path", "first_ts", "last_ts", "events", "kind")
+    assert local(got) == seconds(bursts(events, dt.timedelta(hours=2)))
     state = changes.path_state(stream)
     changes.drain(state, str(tmp_path / "s"), str(tmp_path / "sc"), "update")
     static = changes.path_state(changes.accept(spark.createDataFrame(events, EVENT)))
