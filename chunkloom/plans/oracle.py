@@ -117,9 +117,9 @@ _VIEWS = {
                    unnest(['Look for an existing symbol first.', 'Keep one symbol per concern.']) AS text
             FROM (VALUES ('semantic', 0), ('fuzzy', 1)) AS names(list, section))
         UNION ALL
-        SELECT list, section, 2, 'Found: [' || string_agg(name, ', ' ORDER BY path, start_line, symbol_id) || '].'
+        SELECT list, section, 2, 'Sources 0 to 4 open lines with ' || string_agg(name, ', ' ORDER BY path, start_line, symbol_id) || '; quote one of them.'
         FROM request WHERE {rule0} GROUP BY list, section
-        UNION ALL SELECT DISTINCT list, section, 3, 'Derive a debug form.' FROM request WHERE {rule0}
+        UNION ALL SELECT DISTINCT list, section, 3, 'Capitalised openings stay as they are.' FROM request WHERE {rule0}
         UNION ALL
         SELECT list, section, 4, 'Names ' || string_agg(name, ', ' ORDER BY path, start_line, symbol_id) || ' of '
                || string_agg(kind, ', ' ORDER BY path, start_line, symbol_id) || '.'
@@ -545,9 +545,9 @@ ORACLE_SQL: dict[str, str] = {
     + " UNION ALL ".join(
         [
             _each(0, 0, 1, "names"),
-            _text(0, 0, 0, "Found: ["),
-            _text(0, 0, 2, "]."),
-            _text(0, 1, 0, "Derive a debug form."),
+            _text(0, 0, 0, "Sources 0 to 4 open lines with "),
+            _text(0, 0, 2, "; quote one of them."),
+            _text(0, 1, 0, "Capitalised openings stay as they are."),
             _text(1, 0, 0, "Names "),
             _each(1, 0, 1, "names"),
             _text(1, 0, 2, " of "),

@@ -24,13 +24,13 @@ RULES = Ruleset(
     common=("Look for an existing symbol first.", "Keep one symbol per concern."),
     depends_on=(
         Rule(
-            kind=(".*Struct.*",),
+            kind=("^Struct$",),
             name=("^[A-M]",),
             path=("/src[0-4]/**",),
             code=(".*",),
             rules=(
-                "Found: [{% for s in symbols %}{{ s.name }}{% if not loop.last %}, {% endif %}{% endfor %}].",
-                "Derive a debug form.",
+                "Sources 0 to 4 open lines with {symbols}; quote one of them.",
+                "Capitalised openings stay as they are.",
             ),
         ),
         Rule(

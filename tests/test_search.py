@@ -165,7 +165,7 @@ def test_own_embedder(spark):
 RULES = Ruleset(
     ("Common.",),
     (
-        Rule((".*Struct.*",), (".*",), ("**",), (".*",), ("[\n{% for symbol in symbols %}\n  {{ symbol.name }}{% if not loop.last %}, {% endif %}\n{% endfor %}].",)),
+        Rule(("^St",), ("t",), ("**",), (".*",), ("Seen: {% for hit in symbols %}{{ hit.kind }} {{ hit.name }}{% if not loop.last %} + {% endif %}{% endfor %}",)),
     ),
 )
 
@@ -204,7 +204,7 @@ def test_code_reuse_search(spark):
     found = code_reuse_search(corpus, asked, ["PRules"], RULES, model, params)
     assert rows(found.semantic, "symbol_id") == [(1,)]
     assert rows(found.fuzzy, "symbol_id", "hover", "code") == [(3, "parses", "fn parse_rules() {\n}")]
-    assert rows(found.semantic_rules) == [(0, "Common."), (1, "[\n\n  Socket&lt;T&gt;\n].")]
+    assert rows(found.semantic_rules) == [(0, "Common."), (1, "Seen: Struct Socket&lt;T&gt;")]
     assert rows(found.fuzzy_rules) == [(0, "Common.")]
     text = as_document(found.blocks()).first().document
     assert text.index("## Semantic Rules") < text.index("- **Name:** `Socket<T>`") < text.index("## Fuzzy Rules")
