@@ -20,8 +20,13 @@ ORACLE_SQL = None
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, without the lines that their host repeats too often."""
     ship(spark)
-    judged = line_quality(docs).where("kept").select(*docs.columns, "removed_lines")
-    return without_lines(judged).drop("removed_lines").withColumn("n_chars", F.length("text").cast("long"))
+    # The verdict hangs on host and text alone; texts are joined with it, not stored beside it.
+    key = F.sha2(F.concat_ws("\n", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "text"), 256).alias("key")
+    judged = line_quality(docs.select("source", "text", key), keep=["key"]).where("kept")
+    judged = judged.groupBy("key").agg(F.first("removed_lines").alias("removed_lines"))
+    kept = docs.select(F.struct(*docs.columns).alias("doc"), key).join(judged, "key")
+    kept = without_lines(kept.select("doc.*", "removed_lines")).select(*docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
