@@ -182,7 +182,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, p: NearParams, text: str, doc_i
 def _tile_pairs(rows: DataFrame, group: str, size: int, fields: list[str]) -> DataFrame:
     """Pairs (left, right) of tiles of one group, each a list of structs of ``fields``.
 
-    A group is dealt by hash into tiles of about ``size`` rows, so its pairs spread over tasks.
+    A group is dealt by hash into tiles of about ``size`` rows; its pairs are dealt over the tasks, so that a
+    large group's pairs do not meet in one.
     """
     tiles = rows.groupBy(group).agg(F.ceil(F.count("*") / size).alias("tiles"))
     tiles = (
@@ -191,7 +192,8 @@ def _tile_pairs(rows: DataFrame, group: str, size: int, fields: list[str]) -> Da
         .agg(F.collect_list(F.struct(*fields)).alias("rows"))
     )
     right = tiles.select(group, F.col("tile").alias("other"), F.col("rows").alias("right"))
-    return tiles.withColumnRenamed("rows", "left").join(right, group).where("tile <= other").select("left", "right")
+    pairs = tiles.withColumnRenamed("rows", "left").join(right, group).where("tile <= other")
+    return pairs.repartition(group, "tile", "other").select("left", "right")
 
 
 def forest(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
