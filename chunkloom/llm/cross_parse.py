@@ -157,11 +157,13 @@ def learned(labelled: DataFrame, p: ParseParams = ParseParams(), text: str = "te
     by ``ParseParams`` for each language.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = rows.groupBy("lang").count().collect()  # a row per language
+    if not counts:
+        return Languages({})
+    chance = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], 2.0 * p.texts / r["count"])))
     unit = F.xxhash64("text")
     drawn = (
-        rows.join(counts, "lang")
-        .where(unit / F.lit(2.0**64) + 0.5 < 2 * p.texts / F.col("n"))
+        rows.where(unit / F.lit(2.0**64) + 0.5 < F.element_at(chance, F.col("lang")))
         .select("lang", unit.alias("unit"), F.substring("text", 1, 2 * p.take).alias("text"))
         .dropDuplicates(["lang", "unit"])
     )
