@@ -21,18 +21,23 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, list[np.ndarray]] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the hash base and of its inverse modulo 2^64."""
-    if not _powers or len(_powers["up"]) < n:
-        size = max(n, BLOCK + BLOCK // 4)
-        for key, base in (("up", BASE), ("down", INVERSE)):
+    """The first ``n`` powers of the hash base and of its inverse modulo 2^64; those for a block are kept."""
+    size = max(n, BLOCK + BLOCK // 4)
+    if size not in _powers:
+        made = []
+        for base in (BASE, INVERSE):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1
-            _powers[key] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"][:n]
+            made.append(np.multiply.accumulate(steps))
+        if size > BLOCK + BLOCK // 4:
+            return made[0][:n], made[1][:n]
+        _powers[size] = made
+    up, down = _powers[size]
+    return up[:n], down[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
