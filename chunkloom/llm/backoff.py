@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkloom.llm.repeats import SHARE, gathered, pack, unpack
+from chunkloom.llm.repeats import pack, unpack
 from chunkloom.llm.text import BLOCK, LOWER, blocks, mix, prefix_hashes, span_hashes, word_spans
 from chunkloom.session import materialize
 
-#: Bits of an n-gram's hash that are kept besides its bucket.
+#: Bits of an n-gram's hash that are kept besides its bucket, and bytes of text per part and bucket.
 REST = np.uint64(40)
+SHARE = 5 << 20
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,17 @@ def log(x: np.ndarray | float) -> np.ndarray:
     return np.rint(1e6 * np.log(x)).astype(np.int64)
 
 
+def slim(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts as bytes, and those of 255 or more in full."""
+    return np.minimum(counts, 255).astype(np.uint8), counts[counts >= 255].astype(np.int64)
+
+
+def full(small: np.ndarray, large: np.ndarray) -> np.ndarray:
+    out = small.astype(np.int64)
+    out[small == 255] = large
+    return out
+
+
 def part_words(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-case words of a column of texts, and each text's first word."""
     found, counts = [], [np.zeros(1, np.int64)]
@@ -80,11 +92,11 @@ def _listed(table: pa.Table, order: int, buckets: int) -> pa.Table:
     bucket = (distinct >> REST).astype(np.int64)
     held, first = np.unique(bucket, return_index=True)
     rows = []
-    for at, end in zip(first, np.append(first[1:], len(distinct)), strict=True):
+    for at, end in zip(first, np.append(first[1:], len(distinct))[: len(first)], strict=True):
         rest = distinct[at:end] & np.uint64((1 << 40) - 1)
         steps = np.diff(rest, prepend=rest[:1])
         wide = steps >= 1 << 32  # steps of sorted hashes fit 32 bits but for very short lists
-        rows.append(pack(rest[:1], steps.astype(np.uint32), np.flatnonzero(wide), steps[wide], counts[at:end]))
+        rows.append(pack(rest[:1], steps.astype(np.uint32), np.flatnonzero(wide), steps[wide], *slim(counts[at:end])))
     part = [table.column("part")[0].as_py()] * len(rows)
     return pa.table({"bucket": pa.array(held, pa.int32()), "part": pa.array(part, pa.int32()), "listed": pa.array(rows, pa.binary())})
 
@@ -93,14 +105,14 @@ def _totals(table: pa.Table) -> pa.Table:
     """A bucket's totals for each part's list."""
     lists, counts = [], []
     for raw in table.column("listed"):
-        start, steps, at, wide, n = unpack(raw.as_py(), "u8", "u4", "i8", "u8", "i8")
+        start, steps, at, wide, *n = unpack(raw.as_py(), "u8", "u4", "i8", "u8", "u1", "i8")
         steps = steps.astype(np.uint64)
         steps[at] = wide
         lists.append(start[0] + np.cumsum(steps))
-        counts.append(n)
+        counts.append(full(*n))
     keys, where = np.unique(np.concatenate(lists), return_inverse=True)
     total = np.bincount(where, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)[where]
-    rows = [x.tobytes() for x in np.split(total, np.cumsum([len(x) for x in lists])[:-1])]
+    rows = [pack(*slim(x)) for x in np.split(total, np.cumsum([len(x) for x in lists])[:-1])]
     return pa.table({"part": table.column("part"), "bucket": table.column("bucket"), "totals": pa.array(rows, pa.binary())})
 
 
@@ -110,12 +122,15 @@ ADDED = [T.StructField(n, T.LongType()) for n in ("n_words", "level_sum", *(f"le
 def _scored(texts: pa.Table, answers: pa.Table, names: list[str], p: BackoffParams, buckets: int) -> pa.Table:
     keys, there, words, bounds = _keys(texts, p.order, buckets)
     answers = answers.sort_by("bucket")
-    totals = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in answers.column("totals")] or [np.zeros(0, np.int64)])
-    joined = np.unique(np.concatenate([k[ok] for k, ok in zip(keys, there, strict=True)]))
-    count = []
-    for key, ok in zip(keys, there, strict=True):
+    totals = [full(*unpack(x.as_py(), "u1", "i8")) for x in answers.column("totals")]
+    where = np.unique(np.concatenate([k[ok] for k, ok in zip(keys, there, strict=True)]), return_inverse=True)[1]
+    joined = np.concatenate(totals)[where] if len(where) else np.zeros(0, np.int64)
+    del keys, where
+    count, at = [], 0
+    for ok in there:
         found = np.zeros(len(words), np.int64)
-        found[ok] = totals[np.searchsorted(joined, key[ok])]
+        found[ok] = joined[at : at + ok.sum()]
+        at += int(ok.sum())
         count.append(found)
     level = np.ones(len(words), np.int64)
     for n in range(2, p.order + 1):
