@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Stretches and pairs that a worker remembers; what is beyond is computed anew.
-REMEMBERED = 300_000
+#: Stretches of one generation that a worker remembers; what is beyond is computed anew.
+REMEMBERED = 150_000
 
 
 class PieceTable:
@@ -54,10 +54,15 @@ class PieceTable:
         self.stretch = re.compile(f"[{apart}]|{MARK}*[^{MARK}{apart}]+|{MARK}+" if apart else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
-            self.automaton.add_word(piece, piece)
+            self.automaton.add_word(piece, (piece, len(piece)))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.single = {x for x in self.ids if len(x) == 1}
+        self.id_text = {x: str(k) for x, k in self.ids.items()}
+        self.surface = {x: x.replace(MARK, " ") for x in self.ids}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.pairs_known = 0
         self.known: dict[str, tuple[str, int, str]] = {}
+        self.old: dict[str, tuple[str, int, str]] = {}
 
     def merged(self, text: str) -> list[str]:
         """The segmentation by merging neighbours, best score first, then leftmost."""
@@ -74,31 +79,32 @@ class PieceTable:
 
     def compatible(self, left: str, right: str) -> bool:
         """Whether ``left`` (nothing at a start) may stand before ``right``."""
-        key = (left, right)
-        if (found := self.pairs.get(key)) is None:
-            if len(self.pairs) >= 2 * REMEMBERED:
-                self.pairs.clear()
-            found = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
+        if self.pairs_known >= 4 * REMEMBERED:
+            self.pairs.clear()
+            self.pairs_known = 0
+        self.pairs_known += 1
+        found = self.merged(left + right) == ([left, right] if left else [right])
+        self.pairs.setdefault(left, {})[right] = found
         return found
 
     def tokens(self, text: str) -> list[str]:
         """Pieces (or lone characters) of a stretch, by the prefix table."""
         if not text.strip(MARK):  # all pieces of marks have one score: merging order decides
             return self.merged(text)
-        ending: list[list[str]] = [[] for _ in text]
-        for at, piece in self.automaton.iter(text):
-            ending[at].append(piece)
-        last: list[str | None] = [""]
-        for at, found in enumerate(ending, 1):
-            if text[at - 1] not in self.ids:
-                found.append(text[at - 1])
-            chosen = None
-            for piece in found:
-                before = last[at - len(piece)]
-                if before is not None and self.compatible(before, piece):
-                    chosen = piece
-                    break
-            last.append(chosen)
+        last: list[str | None] = [""] + [None] * len(text)
+        if self.single.issuperset(text):
+            ending = self.automaton.iter(text)
+        else:  # a character without a piece is its own token
+            lone = [(at, (c, 1)) for at, c in enumerate(text) if c not in self.ids]
+            ending = sorted([*self.automaton.iter(text), *lone], key=lambda x: (x[0], -x[1][1]))
+        pairs = self.pairs
+        for at, (piece, size) in ending:  # ends ascend; of one end, longer pieces come first
+            if last[at + 1] is not None or (before := last[at + 1 - size]) is None:
+                continue
+            known = pairs.get(before)
+            fits = None if known is None else known.get(piece)
+            if self.compatible(before, piece) if fits is None else fits:
+                last[at + 1] = piece
         out, at = [], len(text)
         while at:
             piece = last[at]
@@ -106,7 +112,8 @@ class PieceTable:
                 return self.merged(text)
             out.append(piece)
             at -= len(piece)
-        return out[::-1]
+        out.reverse()
+        return out
 
     def ids_of(self, tokens: Sequence[str]) -> list[int]:
         out: list[int] = []
@@ -143,24 +150,35 @@ class PieceTable:
             start = start and not out
         return "".join(out).replace(MARK, " ")
 
-    def remembered(self, part: str) -> tuple[str, int, str]:
-        """A stretch's ids as text, their number, and what they decode to inside a text."""
-        if (found := self.known.get(part)) is None:
-            ids = self.ids_of(self.tokens(part))
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            found = self.known[part] = (" ".join(map(str, ids)), len(ids), self.decode(ids, start=False))
+    def told(self, part: str) -> tuple[str, int, str]:
+        """A stretch's ids as text, their number, and what they decode to inside a text.
+
+        Two generations are kept: a full one becomes the old one, from which what is used again comes back.
+        """
+        if (found := self.old.get(part)) is None:
+            tokens = self.tokens(part)
+            try:
+                found = " ".join([self.id_text[t] for t in tokens]), len(tokens), "".join([self.surface[t] for t in tokens])
+            except KeyError:
+                ids = self.ids_of(tokens)
+                found = " ".join(map(str, ids)), len(ids), self.decode(ids, start=False)
+        if len(self.known) >= REMEMBERED:
+            self.old, self.known = self.known, {}
+        self.known[part] = found
         return found
 
     def whole(self, text: str) -> tuple[str, int, str]:
         """Ids as text, their number and the decoded text of a whole text, with an end id."""
-        found = [self.remembered(part) for part in self.stretches(text)]
-        if not found:
+        parts = self.stretches(text)
+        if not parts:
             return str(self.end), 1, ""
-        decoded = "".join(x[2] for x in found)
+        get = self.known.get
+        found = [get(part) or self.told(part) for part in parts]
+        ids, counts, decoded = zip(*found, strict=True)
+        text = "".join(decoded)
         if self.prefix:
-            decoded = decoded.removeprefix(" ")
-        return " ".join([x[0] for x in found] + [str(self.end)]), sum(x[1] for x in found) + 1, decoded
+            text = text.removeprefix(" ")
+        return f"{' '.join(ids)} {self.end}", sum(counts) + 1, text
 
 
 _tables: dict[bytes, PieceTable] = {}
