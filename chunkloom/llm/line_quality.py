@@ -1,8 +1,8 @@
 """Quality rules: base counts of a text, and lines that too many documents of a host repeat.
 
 Lines are normalised to their lower-case words and hashed. Per host (the ``source`` column) a
-line's documents are counted; copies of one document count once, since a document is told by the
-smallest hash among its *other* lines. Lines found in more than ``share`` of the host's documents,
+line's documents are counted; copies of one document count once, since a document is told by a
+hash of all its distinct lines. Lines found in more than ``share`` of the host's documents,
 and in ``min_docs`` at least, are removed; a document that keeps too few words is rejected.
 """
 
@@ -120,13 +120,16 @@ def _measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray | pa
     held = owner[order][fresh]
     hashes = normal[order][fresh].view(np.int64)
     counts = np.bincount(group, weights=(last - first)[order]).astype(np.int64) if len(group) else group
-    cuts = pa.array(np.searchsorted(held, np.arange(texts + 1)), pa.int32())
+    cuts = np.searchsorted(held, np.arange(texts + 1))
+    line_set = _runs(normal[order][fresh], cuts[:-1], cuts[1:]).view(np.int64)
+    cuts = pa.array(cuts, pa.int32())
     return {
         "n_words": n_words,
         "word_chars": _sums(lead & ~SPACE[data], offsets),
         "n_symbols": _sums(SYMBOLS[data], offsets),
         "n_dup_lines": n_dup_lines,
         "n_repeat_words": _sums(np.cumsum(cover)[:-1] > 0, bounds),
+        "line_set": line_set,
         "lines": pa.ListArray.from_arrays(cuts, pa.array(hashes, pa.int64())),
         "line_words": pa.ListArray.from_arrays(cuts, pa.array(counts, pa.int64())),
     }
@@ -135,14 +138,15 @@ def _measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray | pa
 MEASURES = T.StructType(
     [
         T.StructField(name, T.LongType())
-        for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+        for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_set")
     ]
     + [T.StructField(name, T.ArrayType(T.LongType())) for name in ("lines", "line_words")]
 )
 
 
 def measured(docs: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and, per text, its counts, distinct normalised lines and their words."""
+    """The columns ``keep`` of ``docs`` and, per text, its counts, a hash of its set of
+    normalised lines, these lines and their words."""
     names = [*keep, *MEASURES.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,12 +169,11 @@ def frequent_lines(texts: DataFrame, limits: LineLimits) -> tuple[DataFrame, Dat
     counts, so that a line found everywhere is no single task.
     """
     hosts = texts.groupBy("host").agg(F.count("*").alias("host_docs"))
-    rows = join_groups(texts.select("row_id", "host", "lines", "line_words"), hosts, "host", "row_id").select(
+    rows = join_groups(texts.select("row_id", "host", "line_set", "lines", "line_words"), hosts, "host", "row_id").select(
         "row_id",
         "host",
         "host_docs",
-        F.array_min("lines").alias("low"),
-        F.array_min(F.array_except("lines", F.array(F.array_min("lines")))).alias("next"),
+        "line_set",
         F.explode(F.arrays_zip("lines", "line_words")).alias("of"),
     )
     lines = rows.select(
@@ -179,11 +182,11 @@ def frequent_lines(texts: DataFrame, limits: LineLimits) -> tuple[DataFrame, Dat
         F.xxhash64("host", "of.lines").alias("line_key"),
         F.col("of.lines").alias("line"),
         F.col("of.line_words").alias("words"),
-        F.coalesce(F.when(F.col("of.lines") == F.col("low"), F.col("next")).otherwise(F.col("low")), F.lit(0)).alias("other"),
+        "line_set",
     )
     limit = F.greatest(F.lit(limits.min_docs - 1).cast("double"), F.col("host_docs") * F.lit(limits.share))
     hot = (
-        lines.groupBy("line_key", "other")
+        lines.groupBy("line_key", "line_set")
         .agg(F.max("host_docs").alias("host_docs"))
         .groupBy("line_key")
         .agg(F.count("*").alias("line_docs"), F.max("host_docs").alias("host_docs"))
@@ -224,7 +227,7 @@ def line_quality(
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     depleted = (left < limits.min_words) | (left < F.col("n_words") * limits.keep_share)
     return (
-        texts.drop("lines", "line_words", "host")
+        texts.drop("line_set", "lines", "line_words", "host")
         .join(removed, "row_id", "left")
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
         .withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<long>")))

@@ -61,6 +61,23 @@ def test_lines_of_a_host(spark):
     assert left[3] == body(3) and left[100] == f"{boiler}\n{body(100)}" and left[200] == "short text left"
 
 
+def test_lines_that_are_repeated_together(spark):
+    """Blocks of shared lines around one own line, and copies: distinct line sets are counted, by brute force."""
+    shared = [" ".join(f"Part{k}of{j}" for j in range(6)) for k in range(10)]
+    texts = []
+    for k in range(600):
+        block = shared[: 9 if k % 20 == 0 else 0] + shared[9:] * (k % 40 == 1)  # in 30 and in 15 documents
+        texts += ["\n".join([*block, body(k)])] * (1 + k % 3)
+    frame = spark.createDataFrame([(k, x, "a") for k, x in enumerate(texts)], "doc_id int, text string, source string").repartition(4)
+    limits = LineLimits(min_docs=20, share=0.01)
+    sets = {frozenset(x.lower().split("\n")) for x in texts}
+    count = Counter(line for lines in sets for line in lines)
+    hot = {line for line, n in count.items() if n >= limits.min_docs and n > limits.share * len(texts)}
+    assert len(hot) == 9
+    for r in line_quality(frame, limits).collect():
+        assert r.removed_words == sum(len(x.split()) for x in set(r.text.lower().split("\n")) & hot), r.doc_id
+
+
 def test_no_rows_and_clashing_names(spark):
     assert line_quality(spark.createDataFrame([], "doc_id int, text string, source string")).count() == 0
     frame = spark.createDataFrame([(1, "a b", "s", 3, 4)], "doc_id int, text string, source string, n_words int, line int")
