@@ -1,8 +1,8 @@
 """Stupid-backoff scores of whole texts against the n-gram counts of all of them.
 
 Texts are dealt into parts of bounded size. A part lists its distinct n-grams of all orders with their
-local counts, by hash; the lists are the map-side combine of the count tables, which are partitioned by
-hash into buckets. A bucket adds up its n-grams over all parts and sends every part the totals of
+local counts, by 64-bit hash; the lists are the map-side combine of the count tables, whose buckets are
+ranges of hashes. A bucket adds up its n-grams over all parts and sends every part the totals of
 what it listed, in the order of the list. Parts then join the totals to their exploded n-grams and sum per
 document. A word that every document uses is one entry per part, so no key is hot.
 
@@ -25,8 +25,7 @@ from chunkloom.llm.repeats import pack, unpack
 from chunkloom.llm.text import BLOCK, LOWER, blocks, mix, prefix_hashes, span_hashes, word_spans
 from chunkloom.session import materialize
 
-#: Bits of an n-gram's hash that are kept besides its bucket, and bytes of text per part and bucket.
-REST = np.uint64(40)
+#: Bytes of text per part and bucket.
 SHARE = 5 << 20
 
 
@@ -78,25 +77,35 @@ def n_grams(words: np.ndarray, bounds: np.ndarray, order: int) -> list[tuple[np.
     return out
 
 
-def _keys(table: pa.Table, order: int, buckets: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+def delta(keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted hashes as the first one and steps: four low bytes, two single high ones, and steps of 2^48 or more in full."""
+    steps = np.diff(keys, prepend=keys[:1])
+    wide = steps >= 1 << 48  # for short lists only
+    high = (steps >> np.uint64(32)).astype(np.uint16)
+    return keys[:1], steps.astype(np.uint32), high.astype(np.uint8), (high >> 8).astype(np.uint8), np.flatnonzero(wide), steps[wide]
+
+
+def undelta(start: np.ndarray, low: np.ndarray, mid: np.ndarray, high: np.ndarray, at: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    steps = low.astype(np.uint64) | (mid.astype(np.uint64) << np.uint64(32)) | (high.astype(np.uint64) << np.uint64(40))
+    steps[at] = wide
+    return start[0] + np.cumsum(steps)
+
+
+def _keys(table: pa.Table, order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
     words, bounds = part_words(table.column("text"))
     grams = n_grams(words, bounds, order)
-    keys = [((h >> REST) % np.uint64(buckets) << REST) | (h & np.uint64((1 << 40) - 1)) for h, _ in grams]
-    return keys, [ok for _, ok in grams], words, bounds
+    return [h for h, _ in grams], [ok for _, ok in grams], words, bounds
 
 
 def _listed(table: pa.Table, order: int, buckets: int) -> pa.Table:
     """A part's distinct n-grams with counts, a row per bucket."""
-    keys, there, _, _ = _keys(table, order, buckets)
+    keys, there, _, _ = _keys(table, order)
     distinct, counts = np.unique(np.concatenate([k[ok] for k, ok in zip(keys, there, strict=True)]), return_counts=True)
-    bucket = (distinct >> REST).astype(np.int64)
+    bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # grows with the hash
     held, first = np.unique(bucket, return_index=True)
     rows = []
     for at, end in zip(first, np.append(first[1:], len(distinct))[: len(first)], strict=True):
-        rest = distinct[at:end] & np.uint64((1 << 40) - 1)
-        steps = np.diff(rest, prepend=rest[:1])
-        wide = steps >= 1 << 32  # steps of sorted hashes fit 32 bits but for very short lists
-        rows.append(pack(rest[:1], steps.astype(np.uint32), np.flatnonzero(wide), steps[wide], *slim(counts[at:end])))
+        rows.append(pack(*delta(distinct[at:end]), *slim(counts[at:end])))
     part = [table.column("part")[0].as_py()] * len(rows)
     return pa.table({"bucket": pa.array(held, pa.int32()), "part": pa.array(part, pa.int32()), "listed": pa.array(rows, pa.binary())})
 
@@ -105,11 +114,9 @@ def _totals(table: pa.Table) -> pa.Table:
     """A bucket's totals for each part's list."""
     lists, counts = [], []
     for raw in table.column("listed"):
-        start, steps, at, wide, *n = unpack(raw.as_py(), "u8", "u4", "i8", "u8", "u1", "i8")
-        steps = steps.astype(np.uint64)
-        steps[at] = wide
-        lists.append(start[0] + np.cumsum(steps))
-        counts.append(full(*n))
+        *coded, small, large = unpack(raw.as_py(), "u8", "u4", "u1", "u1", "i8", "u8", "u1", "i8")
+        lists.append(undelta(*coded))
+        counts.append(full(small, large))
     keys, where = np.unique(np.concatenate(lists), return_inverse=True)
     total = np.bincount(where, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)[where]
     rows = [pack(*slim(x)) for x in np.split(total, np.cumsum([len(x) for x in lists])[:-1])]
@@ -119,8 +126,8 @@ def _totals(table: pa.Table) -> pa.Table:
 ADDED = [T.StructField(n, T.LongType()) for n in ("n_words", "level_sum", *(f"level_{k}" for k in range(1, 10)))]
 
 
-def _scored(texts: pa.Table, answers: pa.Table, names: list[str], p: BackoffParams, buckets: int) -> pa.Table:
-    keys, there, words, bounds = _keys(texts, p.order, buckets)
+def _scored(texts: pa.Table, answers: pa.Table, names: list[str], p: BackoffParams) -> pa.Table:
+    keys, there, words, bounds = _keys(texts, p.order)
     answers = answers.sort_by("bucket")
     totals = [full(*unpack(x.as_py(), "u1", "i8")) for x in answers.column("totals")]
     where = np.unique(np.concatenate([k[ok] for k, ok in zip(keys, there, strict=True)]), return_inverse=True)[1]
@@ -174,7 +181,7 @@ def backoff_scores(
     scored = (
         rows.groupBy("part")
         .cogroup(totals.groupBy("part"))
-        .applyInArrow(lambda a, b: _scored(a, b, ["doc"], p, n), schema)
+        .applyInArrow(lambda a, b: _scored(a, b, ["doc"], p), schema)
     )
     scored = materialize(scored, "scored")
     words = scored.agg(F.sum("n_words")).first()[0] or 1

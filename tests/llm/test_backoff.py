@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from chunkloom.llm import backoff
-from chunkloom.llm.backoff import BackoffParams, backoff_scores, full, slim
+from chunkloom.llm.backoff import BackoffParams, backoff_scores, delta, full, slim, undelta
 
 
 def by_hand(docs, p):
@@ -56,3 +56,23 @@ def test_no_rows_and_clashing_columns(spark):
 def test_slim_counts():
     counts = np.array([1, 254, 255, 256, 10**12, 3])
     assert full(*slim(counts)).tolist() == counts.tolist()
+
+
+def test_words_whose_hashes_differ_in_the_high_bits_only(spark):
+    """The hashes of each pair have equal low 40 bits."""
+    docs = [(1, "w260662 w508423"), (2, "w183425 a w3641368 w260662"), (3, "w102424 w2994667 w102424 a")]
+    frame = spark.createDataFrame(docs, "doc_id int, text string")
+    p = BackoffParams()
+    got = [(r.doc_id, r.n_words, r.level_1, r.level_2, r.level_3, r.score_micro) for r in backoff_scores(frame, p).collect()]
+    assert sorted(got) == by_hand(docs, p)
+
+
+def test_steps_of_hashes():
+    rng = np.random.default_rng(1)
+    for keys in (
+        np.array([0, 1, 1 << 32, 1 << 40, (1 << 48) + 5, (1 << 63) + 9, (1 << 64) - 1], dtype=np.uint64),
+        np.array([(1 << 64) - 1], dtype=np.uint64),
+        np.unique(rng.integers(0, 1 << 64, 5000, dtype=np.uint64)),
+        np.unique(rng.integers(0, 1 << 50, 5000, dtype=np.uint64)),
+    ):
+        assert (undelta(*delta(keys)) == keys).all()
