@@ -27,11 +27,13 @@ GAP = 0
 
 @dataclass(frozen=True)
 class ParseParams:
-    """The sample per language: about ``texts`` documents, ``take`` letters of each and ``letters`` in all."""
+    """The sample per language: ``texts`` different texts or more if it has them (all if not), ``take`` letters of
+    each, from ``windows`` places spread over the whole text, and ``letters`` in all."""
 
     texts: int = 400
     take: int = 2000
     letters: int = 60_000
+    windows: int = 8
 
 
 def code_points(text: str) -> np.ndarray:
@@ -50,6 +52,17 @@ def letters_only(points: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.
     return np.where(letter, points, GAP)[keep], kept[edges]
 
 
+def spread(found: np.ndarray, take: int, windows: int) -> np.ndarray:
+    """At most ``take`` letters of a text: all of them, or evenly spaced windows, the first one at its start
+    and the last one at its end, with a gap after each."""
+    windows = max(1, min(windows, take))
+    if len(found) <= take or windows == 1:
+        return np.append(found[:take], np.uint32(GAP))
+    each = take // windows
+    starts = np.linspace(0, len(found) - each, windows).astype(np.int64)
+    return np.concatenate([np.append(found[k : k + each], np.uint32(GAP)) for k in starts])
+
+
 def automaton(codes: Sequence[int]) -> list[dict[int, int]]:
     """Transitions of the suffix automaton of a sequence; state 0 is its start."""
     moves: list[dict[int, int]] = [{}]
@@ -153,25 +166,35 @@ class Languages:
 def learned(labelled: DataFrame, p: ParseParams = ParseParams(), text: str = "text", lang: str = "lang") -> Languages:
     """Languages from labelled texts. Rows without text or language are left out; equal texts count once.
 
-    Texts are drawn by their hash, in proportion to what a language has; what reaches the driver is bounded
-    by ``ParseParams`` for each language.
+    Texts are drawn by their hash, with the chance that the number of different texts of their language gives, and
+    cut to windows where they are read; what reaches the driver is bounded by ``ParseParams`` for each language.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = rows.groupBy("lang").count().collect()  # a row per language
+    unit = F.xxhash64("text")
+    counts = rows.select("lang", unit.alias("unit")).distinct().groupBy("lang").count().collect()  # a row per language
     if not counts:
         return Languages({})
     chance = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], 2.0 * p.texts / r["count"])))
-    unit = F.xxhash64("text")
-    drawn = (
-        rows.where(unit / F.lit(2.0**64) + 0.5 < F.element_at(chance, F.col("lang")))
-        .select("lang", unit.alias("unit"), F.substring("text", 1, 2 * p.take).alias("text"))
-        .dropDuplicates(["lang", "unit"])
-    )
+    drawn = rows.where(unit / F.lit(2.0**64) + 0.5 < F.element_at(chance, F.col("lang"))).select("lang", unit.alias("unit"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()  # copies are cut once in a task
+        for batch in batches:
+            fresh, cuts = [], []
+            for k, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if key not in seen:
+                    seen.add(key)
+                    points = code_points(batch.column(2)[k].as_py())
+                    found, _ = letters_only(points, np.array([0, len(points)]))
+                    fresh.append(k)
+                    cuts.append(spread(found, p.take, p.windows).astype("<u4").tobytes())
+            kept = batch.select([0, 1]).take(pa.array(fresh, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cuts, pa.binary())], names=["lang", "unit", "cut"])
+
+    cut = drawn.mapInArrow(run, T.StructType([*drawn.schema.fields[:2], T.StructField("cut", T.BinaryType())]))
     samples: dict[str, list[np.ndarray]] = {}
-    for row in sorted(drawn.collect()):
-        points = code_points(row["text"])
-        found, _ = letters_only(points, np.array([0, len(points)]))
-        samples.setdefault(row["lang"], []).append(np.append(found[: p.take], np.uint32(GAP)))
+    for row in sorted(cut.dropDuplicates(["lang", "unit"]).collect()):
+        samples.setdefault(row["lang"], []).append(np.frombuffer(row["cut"], "<u4"))
     return Languages({k: np.concatenate(v)[: p.letters].astype(np.uint32) for k, v in samples.items()})
 
 

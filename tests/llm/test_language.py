@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from chunkloom.llm import cross_parse
-from chunkloom.llm.cross_parse import Languages, ParseParams, automaton, languages_of, learned
+from chunkloom.llm.cross_parse import Languages, ParseParams, automaton, languages_of, learned, spread
 from chunkloom.llm.queries import op7_cross_parsing
 
 
@@ -67,3 +67,31 @@ def test_held_out_accuracy(spark):
     rows = op7_cross_parsing(spark, sf).where("held_out").join(truth, "doc_id").collect()
     assert len(rows) > 200
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.97
+
+
+def test_languages_with_few_texts_in_many_copies(spark):
+    """Every one of the different texts is learned, however often each is repeated."""
+    few = [f"{chr(97 + k)}qz{chr(98 + k)}xv" for k in range(5)]
+    rows = [(few[k % 5], "few") for k in range(4000)] + [(f"moth{k} lantern", "many") for k in range(300)]
+    model = learned(spark.createDataFrame(rows, "text string, lang string").repartition(4), ParseParams(texts=10))
+    asked = spark.createDataFrame([(k, t) for k, t in enumerate(few)], "doc_id int, text string")
+    got = languages_of(asked, model).collect()
+    assert {r.lang_pred for r in got} == {"few"}
+    # One phrase per text: the whole text is in the sample.
+    letters = np.array([ord(c) for t in few for c in t], np.uint32)
+    assert model.phrases(letters, np.arange(6) * 6)[model.names.index("few")].tolist() == [1] * 5
+
+
+def test_letters_come_from_whole_texts(spark):
+    start, end = "a" * 5000, "omega" * 1000
+    model = learned(spark.createDataFrame([(start + end, "x")], "text string, lang string"))
+    letters = np.array([ord(c) for c in "omegaomega"], np.uint32)
+    assert model.phrases(letters, np.array([0, 10])).tolist() == [[1]]
+
+
+def test_spread():
+    text = np.arange(1, 1001, dtype=np.uint32)
+    assert spread(text[:80], 80, 8).tolist() == [*range(1, 81), 0]
+    got = spread(text, 80, 8)
+    assert got[:11].tolist() == [*range(1, 11), 0] and got[-11:].tolist() == [*range(991, 1001), 0]
+    assert (got > 0).sum() == 80 and (got == 0).sum() == 8
