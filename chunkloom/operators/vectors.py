@@ -292,7 +292,51 @@ def nearest_in_cells(
         near = np.argsort(dist, axis=1, kind="stable")[:, :probes]
         mask = np.zeros(dist.shape, bool)
         np.put_along_axis(mask, near, True, axis=1)
-        wanted = [int(c) for c in np.flatnonzero(mask.any(axis=0))]
-        rows = base.filter(F.col("cell").isin(wanted))
-        scans.append(_scan(rows, ids, vectors, kind, k, metric, id_col, mask))
+        scans.append(_probe(base, ids, vectors, kind, k, metric, id_col, mask))
+    return _top(scans or [_empty(base, queries)], k, id_col)
+
+
+def _probe(base, ids, vectors, kind, k, metric, id_col, mask: np.ndarray) -> DataFrame:
+    wanted = [int(c) for c in np.flatnonzero(mask.any(axis=0))]
+    return _scan(base.filter(F.col("cell").isin(wanted)), ids, vectors, kind, k, metric, id_col, mask)
+
+
+def cell_radii(cells: DataFrame, centroids: np.ndarray) -> np.ndarray:
+    """The largest distance of a row from its centroid, per cell; minus infinity for an empty cell. Runs a job."""
+    dims = centroids.shape[1]
+
+    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        radii = np.full(len(centroids), -np.inf)
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            np.maximum.at(radii, cell, _pairwise(_matrix(batch.column("embedding"), dims), centroids[cell], "l2"))
+        held = np.flatnonzero(radii >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(radii[held])], ["cell", "radius"])
+
+    radii = np.full(len(centroids), -np.inf)
+    found = cells.select("cell", "embedding").mapInArrow(largest, "cell int, radius double")
+    for row in found.groupBy("cell").agg(F.max("radius").alias("radius")).collect():
+        radii[row.cell] = row.radius
+    return radii
+
+
+def nearest_by_bound(
+    base: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int, probes: int = 1, id_col: str = "id"
+) -> DataFrame:
+    """The k nearest rows by l2 with cells passed over only if nothing in them can be a hit: equals ``nearest``.
+
+    The ``probes`` nearest cells give each query a distance that its k-th hit does not exceed; by the
+    triangle inequality a cell whose centroid is further away than that and the cell's radius holds none.
+    Runs the jobs of the radii and of that first search.
+    """
+    radii = cell_radii(base, centroids)
+    first = nearest_in_cells(base, queries, centroids, k, probes, "l2", id_col).groupBy("query_id")
+    within = {r.query_id: r.far for r in first.agg(F.count("*").alias("n"), F.max("distance").alias("far")).collect() if r.n >= k}
+    kind, scans = queries.schema["query_id"].dataType, []
+    for ids, vectors in _blocks(queries):
+        bound = np.array([within.get(i, np.inf) for i in ids.to_pylist()])
+        scale = np.sqrt((vectors**2).sum(1).max()) + np.sqrt((centroids**2).sum(1).max())
+        mask = _all_pairs(vectors, centroids, "l2") <= bound[:, None] + radii[None, :] + 1e-6 * scale
+        mask &= np.isfinite(radii)
+        scans.append(_probe(base, ids, vectors, kind, k, "l2", id_col, mask))
     return _top(scans or [_empty(base, queries)], k, id_col)

@@ -466,6 +466,12 @@ ORACLE_SQL: dict[str, str] = {
     "knn_ivf": _in_cells("label"),
     "knn_ivf_seeded": _in_cells("vec_id % 12"),
     "knn_ivf_all_cells": _knn("list_distance(vec, e)"),
+    "knn_ivf_rows": """SELECT query_id, id, rank, round(d, 6) + 0.0 AS distance FROM (
+        SELECT query_id, id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM (
+            SELECT q.vec_id::BIGINT AS query_id, v.vec_id AS id,
+                   round(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS d
+            FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id % 20 = 0))
+        WHERE rank <= 10""",
     "union_hits": _with("hits", "SELECT query_id, rank, path, start_line, end_line FROM hits"),
     "distinct_paths": _with("hits", "SELECT DISTINCT path FROM hits"),
     "symbols_of_hits": _with(

@@ -310,6 +310,15 @@ def knn_ivf_all_cells(spark, sf_dir):
     return _hit_columns(vectors.nearest_in_cells(cells, t.label_centers(spark, sf_dir), centers, 10, 16))
 
 
+@query
+def knn_ivf_rows(spark, sf_dir):
+    """Every row whose id is divisible by 20 asks all vectors; trained cells, passed over by a distance bound only."""
+    base = t.vectors(spark, sf_dir)
+    centers = vectors.train_cells(base, 16)
+    cells = vectors.assign_cells(base, centers)
+    return _hit_columns(vectors.nearest_by_bound(cells, t.row_questions(spark, sf_dir), centers, 10))
+
+
 def _hits(spark, sf_dir) -> DataFrame:
     return search.semantic_hits(
         t.embedded_chunks(spark, sf_dir), t.semantic_queries(spark, sf_dir), t.EMBEDDER, SearchParams()

@@ -150,6 +150,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
+def row_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 20 as a question."""
+    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 20 == 0)
+    return rows.select(F.col("vec_id").alias("query_id"), "embedding")
+
+
 def label_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean vector of each label as a question."""
     return _centers(table(spark, sf_dir, "embeddings"), F.col("label"))

@@ -10,6 +10,7 @@ from chunkloom.config import ChunkParams, SearchParams
 from chunkloom.operators import embedding, names, vectors
 from chunkloom.operators.chunking import chunk_lines
 from chunkloom.operators.render import as_document
+from chunkloom.plans import registry, tables
 from chunkloom.plans.search import Corpus, code_reuse_search
 from chunkloom.sources.rules import Rule, Ruleset
 
@@ -103,6 +104,34 @@ def test_cells(spark):
     assert len(of(3) & exact) / len(exact) > 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_recall_of_the_table_rows(spark, sf):
+    """Every row whose id is divisible by 20 asks the given embeddings: recall by brute force."""
+    queries = tables.row_questions(spark, f"/root/testdata/{sf}")
+    found = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, data = np.array([r.vec_id for r in found]), np.array([r.embedding for r in found], np.float64)
+    want = {
+        (int(ids[at]), int(ids[k]))
+        for at in np.flatnonzero(ids % 20 == 0)
+        for k in np.lexsort((ids, np.sqrt(((data - data[at]) ** 2).sum(1)).round(9)))[:10]
+    }
+    got = {(r.query_id, r.id) for r in registry.knn_ivf_rows(spark, f"/root/testdata/{sf}").collect()}
+    assert queries.count() * 10 == len(want) == len(got)
+    assert len(got & want) / len(want) >= 0.9
+
+
+def test_cells_are_passed_over_by_the_bound_only(spark):
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(8, 4)) * 20
+    data = (middles[rng.integers(0, 8, 400)] + rng.normal(size=(400, 4))).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, embedding array<float>")
+    queries = frame.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    cells = vectors.assign_cells(frame, middles)
+    key = lambda df: sorted((r.query_id, r["rank"], r.id) for r in df.collect())
+    for k in (5, 120):  # 120 rows are more than a cell has
+        assert key(vectors.nearest_by_bound(cells, queries, middles, k)) == key(vectors.nearest(frame, queries, k))
+
+
 def test_cells_prune_a_partitioned_table(spark, tmp_path):
     _, frame = vector_table(spark)
     centers = vectors.seed_cells(frame, 6)
