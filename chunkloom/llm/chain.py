@@ -161,19 +161,26 @@ class Chain:
 def trained(labelled: DataFrame, categories: Sequence[str], p: ChainParams = ChainParams(), text: str = "text") -> Chain:
     """A chain from rows with a text and a 0/1 (or null) column per category.
 
-    The sample is drawn by a hash of the text and has ``p.sample`` rows or few more; only it reaches the
-    driver. Folds go by the same hash, so copies share a fold. Without rows every chance is one half.
+    The sample is the ``p.sample`` different texts with the smallest hashes, or all; only it reaches the driver.
+    A text with copies counts once, with the mean of their labels. Folds go by the same hash. Without rows
+    every chance is one half.
     """
     some = F.lit(False)
     for name in categories:
         some = some | F.col(name).isNotNull()
     rows = labelled.where(F.col(text).isNotNull() & some)
-    total = rows.count()
-    unit = F.xxhash64(text)
-    drawn = rows.where(unit / F.lit(2.0**64) + 0.5 < p.sample / max(1, total)).select(
-        unit.alias("unit"), F.col(text).alias("text"), *(F.col(c).cast("double").alias(f"y{k}") for k, c in enumerate(categories))
+    rows = rows.select(
+        F.xxhash64(text).alias("unit"), F.col(text).alias("text"), *(F.col(c).cast("double").alias(f"y{k}") for k, c in enumerate(categories))
     )
-    table = drawn.toArrow().sort_by("unit")
+    means = [F.avg(f"y{k}").alias(f"y{k}") for k in range(len(categories))]
+    drawn = rows.groupBy("unit").agg(*means).orderBy("unit").limit(p.sample).toArrow()
+    if drawn.num_rows:
+        # The limit is exact, and a smaller hash is always in it: texts are picked by the largest hash drawn.
+        last = max(drawn.column("unit").to_pylist())
+        texts = rows.where(F.col("unit") <= F.lit(last)).select("unit", "text").dropDuplicates(["unit"])
+    else:
+        texts = rows.select("unit", "text").limit(0)
+    table = drawn.join(texts.toArrow(), "unit").sort_by("unit")
     labels = {c: table.column(f"y{k}").to_numpy().astype(float) for k, c in enumerate(categories)}
     fold = np.mod(table.column("unit").to_numpy(), p.folds)
     return Chain.fitted(table.column("text").combine_chunks(), labels, fold, p)

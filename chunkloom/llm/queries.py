@@ -77,7 +77,7 @@ def op9_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = labels.select(F.col("doc_id").alias("labelled"), (1 - F.col("quality")).alias("low_quality"), "toxic")
     labelled = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("labelled"))
     chain = trained(labelled, ["low_quality", "toxic"], p)
-    return chain_scores(docs, chain, keep=["doc_id"]).withColumn("toxic", F.col("p_toxic") >= p.threshold)
+    return chain_scores(docs, chain, keep=["doc_id"]).withColumn("toxic", F.col("p_toxic") > p.threshold)
 
 
 def op10_prefix_table_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from chunkloom.llm import queries
 from chunkloom.llm.chain import Chain, ChainParams, chain_scores, trained
 
 
@@ -62,3 +63,27 @@ def test_odd_rows(spark):
     one = trained(frame, ["toxic"])
     assert len(chain_scores(frame, one).collect()) == 4
     assert chain_scores(frame.where("false"), one).count() == 0
+
+
+def test_the_sample_holds_different_texts(spark, monkeypatch):
+    """A group of copies is one text with the mean of its labels; the limit is exact."""
+    rows = [("copied text", k % 2, 1) for k in range(300)] + [(f"text {k}", k % 2, None) for k in range(100)]
+    frame = spark.createDataFrame(rows, "text string, low int, toxic int").repartition(4)
+    seen = {}
+
+    def fitted(texts, labels, fold, p):
+        seen.update(texts=texts.to_pylist(), labels=labels)
+
+    monkeypatch.setattr(Chain, "fitted", fitted)
+    trained(frame, ["low", "toxic"], ChainParams(sample=40))
+    assert len(seen["texts"]) == len(set(seen["texts"])) == 40
+    trained(frame, ["low", "toxic"], ChainParams(sample=1000))
+    at = seen["texts"].index("copied text")
+    assert len(seen["texts"]) == 101 and seen["labels"]["low"][at] == 0.5 and seen["labels"]["toxic"][at] == 1
+    assert np.isnan(seen["labels"]["toxic"]).sum() == 100
+
+
+def test_nothing_is_toxic_without_a_fitted_model(spark, monkeypatch):
+    none = trained(spark.createDataFrame([], "text string, low_quality int, toxic int"), ["low_quality", "toxic"])
+    monkeypatch.setattr(queries, "trained", lambda *_: none)
+    assert queries.op9_classifier_chain(spark, "/root/testdata/sf0.001").where("toxic").count() == 0
