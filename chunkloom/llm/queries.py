@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from chunkloom.llm.backoff import BACKOFF_SQL, backoff_scores
 from chunkloom.llm.chain import ChainParams, chain_scores, trained
 from chunkloom.llm.circulant import near_duplicates
+from chunkloom.llm.collocations import COLLOCATION_SQL, collocations
 from chunkloom.llm.cross_parse import languages_of, learned
+from chunkloom.llm.license_scan import license_labels, license_templates
 from chunkloom.llm.line_quality import line_quality
 from chunkloom.llm.mixture import mixture
 from chunkloom.llm.prefix_tokens import token_digests
 from chunkloom.llm.quantised import embedding_duplicates
 from chunkloom.llm.repeats import without_repeats
 from chunkloom.llm.splitters import SHARD_SQL, sharded
+from chunkloom.llm.variants import spelling_variants
 from chunkloom.session import ship
 
 
@@ -84,6 +87,18 @@ def op10_prefix_table_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"), piece_model())
 
 
+def op11_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_labels(_table(spark, sf_dir, "documents"), license_templates(spark), keep=["doc_id"])
+
+
+def op12_prefix_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_composed_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_interval_tree_repeats": op1_interval_tree_repeats,
     "op2_product_quantisation": op2_product_quantisation,
@@ -95,5 +110,12 @@ QUERIES = {
     "op8_golden_mix": op8_golden_mix,
     "op9_classifier_chain": op9_classifier_chain,
     "op10_prefix_table_tokens": op10_prefix_table_tokens,
+    "op11_diagonal_licenses": op11_diagonal_licenses,
+    "op12_prefix_collocations": op12_prefix_collocations,
+    "op13_composed_variants": op13_composed_variants,
+}
+SQL: dict[str, str] = {
+    "op5_stupid_backoff": BACKOFF_SQL,
+    "op6_sampled_splitters": SHARD_SQL,
+    "op12_prefix_collocations": COLLOCATION_SQL,
 }
-SQL: dict[str, str] = {"op5_stupid_backoff": BACKOFF_SQL, "op6_sampled_splitters": SHARD_SQL}

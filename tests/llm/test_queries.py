@@ -18,14 +18,15 @@ def con():
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(driver.queries())
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_a_row_per_row_of_the_table(spark, con, name):
     diff, count, _ = compare(spark, con, SF, name, QUERIES[name], SQL.get(name))
     assert diff == ""
-    assert count == spark.read.parquet(f"{SF}/{'embeddings' if name.startswith('op2') else 'documents'}.parquet").count()
+    if not name.startswith(("op12", "op13")):  # these return phrases and words
+        assert count == spark.read.parquet(f"{SF}/{'embeddings' if name.startswith('op2') else 'documents'}.parquet").count()
 
 
 def test_pipeline_stages(spark):
