@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words of texts as they stand; lower-casing A-Z moves no end of a word.
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Phrases that count as they stand (label, phrase).
@@ -76,12 +77,13 @@ def license_templates(spark: SparkSession) -> DataFrame:
     )
 
 
-def _lower(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(_lower(text), F.lit(f"({WORD})"), F.lit(1))
+def _key(gram: str) -> Column:
+    """A hash of a run of words. ``lower`` is fast and also merges other letters; A-Z alone counts where words are compared."""
+    return F.xxhash64(F.lower(gram))
 
 
 def _gram(words: str, at: Column, size: int) -> Column:
@@ -100,7 +102,7 @@ def template_grams(templates: DataFrame, p: ScanParams) -> DataFrame:
     rows = templates.select("template", "label", "exact", _words(F.col("text")).alias("words"))
     rows = rows.withColumn("size", F.size("words"))
     return _grams(rows, "words", p.words, "template", "label", "exact", "size").select(
-        F.xxhash64("gram").alias("key"), F.col("gram").alias("same"), "template", F.col("place").alias("j"), "label", "exact", "size"
+        _key("gram").alias("key"), F.translate("gram", UPPER, LOWER).alias("same"), "template", F.col("place").alias("j"), "label", "exact", "size"
     )
 
 
@@ -109,8 +111,8 @@ def diagonals(texts: DataFrame, templates: DataFrame, p: ScanParams) -> DataFram
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(p.block))
     parts = F.transform(starts, lambda at: F.struct(at.alias("at"), F.slice("words", at + 1, p.block + p.words - 1).alias("words")))
     blocks = texts.select("of", F.explode(parts).alias("part")).select("of", "part.at", "part.words")
-    found = _grams(blocks, "words", p.words, "of", "at").withColumn("key", F.xxhash64("gram"))
-    hits = found.join(template_grams(templates, p), "key").where("gram = same")
+    found = _grams(blocks, "words", p.words, "of", "at").withColumn("key", _key("gram"))
+    hits = found.join(template_grams(templates, p), "key").where(F.translate("gram", UPPER, LOWER) == F.col("same"))
     return hits.groupBy("of", "template", "label", "exact", "size", (F.col("at") + F.col("place") - F.col("j")).alias("diagonal")).agg(
         F.collect_set("j").alias("js")
     )
@@ -171,7 +173,7 @@ def license_labels(
     rows = docs.select(
         F.struct(F.lit(0).alias(""), *names).alias("doc"),
         F.md5(F.coalesce(F.col(text), F.lit(""))).alias("of"),
-        F.regexp_count(_lower(F.col(text)), F.lit(WORD)).cast("long").alias("n_words"),
+        F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("n_words"),
     )
     return rows.join(found, "of", "left").select(
         *(F.col("doc")[c].alias(c) for c in names), "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"),
