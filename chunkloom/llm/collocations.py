@@ -31,7 +31,7 @@ BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 STOP = BREAK.copy()
 STOP[[0x20, 0x09]] = True
 #: Bytes of text whose phrases are combined at once, and bits of the map of prefixes.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 BITS = 26
 SALTS = 64
 
@@ -86,7 +86,7 @@ def chunk_counts(texts: pa.Array, langs: pa.Array, sizes: tuple[int, ...], wante
         text = np.repeat(np.arange(first, end), np.diff(bounds))
         lang = codes[text]
         words = span_hashes(prefix_hashes(data), starts, ends)
-        breaks = np.cumsum(BREAK[data])
+        breaks = np.cumsum(BREAK[data], dtype=np.int32)
         joined = (text[1:] == text[:-1]) & (breaks[starts[1:]] == breaks[ends[:-1] - 1])
         found = [pa.record_batch([names.take(pa.array(at)), pa.array([""] * len(at)), pa.array(n.astype(np.int64))], names=["lang", "phrase", "n"])
                  for at, n in [np.unique(lang, return_counts=True)]] if wanted is None else []
@@ -127,19 +127,8 @@ def phrase_counts(docs: DataFrame, sizes: tuple[int, ...], least: int, wanted: n
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
         for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= CHUNK:
-                yield from chunked(held)
-                held, size = [], 0
-        yield from chunked(held)
-
-    def chunked(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if held:
-            table = pa.Table.from_batches(held).combine_chunks()
-            yield from chunk_counts(table.column("text").combine_chunks(), table.column("lang").combine_chunks(), sizes, shared.value)
+            yield from chunk_counts(batch.column("text"), batch.column("lang"), sizes, shared.value)
 
     counted = docs.select("lang", "text").mapInArrow(count, "lang string, phrase string, n long")
     total = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
