@@ -7,9 +7,11 @@ expands the prefixes whose bound reaches it, and those that could yet drop a phr
 three-word phrases with these prefixes only. Above the threshold everything is then known; a language
 is settled once ``top`` phrases survive there. Ties with the threshold lie above it.
 
-Counting cuts the texts into chunks whose distinct phrases are combined with numpy, then adds the phrases up by
-their text, so no word is a hot key. The prefixes of a round reach the tasks as a bit map of fixed
-size: a prefix that collides is expanded too, and exactly, so that the map's size is no limit.
+Counting is by chunks of texts whose distinct phrases are combined with numpy before they are added up, so no word
+is a hot key. Hashes are counted first; a hash sums up all phrases that share it, so none with enough
+occurrences is missed, and those marked are then counted by their words. Marks, of frequent hashes and of a round's
+prefixes, reach the tasks as a bit map of fixed size: what collides is counted too, and exactly, so that the
+map's size is no limit.
 """
 
 from __future__ import annotations
@@ -30,8 +32,9 @@ BREAK = np.zeros(256, dtype=bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 STOP = BREAK.copy()
 STOP[[0x20, 0x09]] = True
-#: Bytes of text whose phrases are combined at once, and bits of the map of prefixes.
+#: Bytes of text cut into phrases at once, hashes held before they are put together, and bits of a map.
 CHUNK = 1 << 20
+HELD = 1 << 20
 BITS = 26
 SALTS = 64
 
@@ -70,11 +73,9 @@ def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array
     ).cast(pa.string())
 
 
-def chunk_counts(texts: pa.Array, langs: pa.Array, sizes: tuple[int, ...], wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, n) of the distinct phrases of ``sizes`` words in each chunk, and per language ('' , words).
-
-    With ``wanted``, only phrases whose first two words are marked there.
-    """
+def chunks(texts: pa.Array, langs: pa.Array, sizes: int) -> Iterator[tuple]:
+    """Per chunk: languages, each word's language, bytes, starts and ends of words, and for phrases of 1, 2 ... ``sizes``
+    words the hash and whether there is one, by first word."""
     coded = langs.dictionary_encode()
     codes, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
     seeds = span_seeds(names)
@@ -88,25 +89,52 @@ def chunk_counts(texts: pa.Array, langs: pa.Array, sizes: tuple[int, ...], wante
         words = span_hashes(prefix_hashes(data), starts, ends)
         breaks = np.cumsum(BREAK[data], dtype=np.int32)
         joined = (text[1:] == text[:-1]) & (breaks[starts[1:]] == breaks[ends[:-1] - 1])
-        found = [pa.record_batch([names.take(pa.array(at)), pa.array([""] * len(at)), pa.array(n.astype(np.int64))], names=["lang", "phrase", "n"])
-                 for at, n in [np.unique(lang, return_counts=True)]] if wanted is None else []
         hashes, there = grown(seeds[lang], words), np.ones(len(words), dtype=bool)
-        for size in range(1, max(sizes) + 1):
-            if size > 1:
-                there = there[:-1] & joined[size - 2 :]
-                hashes = grown(hashes[:-1], words[size - 1 :])
-                if size == 2 and wanted is not None:
-                    there = there & marked(wanted, hashes)
-            if size not in sizes:
-                continue
-            at = np.flatnonzero(there)
-            _, one, n = np.unique(hashes[at], return_index=True, return_counts=True)
-            at = at[one]
-            reach = at[:, None] + np.arange(size)
-            found.append(
-                pa.record_batch([names.take(pa.array(lang[at])), gathered(data, starts[reach], ends[reach]), pa.array(n.astype(np.int64))], names=["lang", "phrase", "n"])
-            )
-        yield from (b for b in found if b.num_rows)
+        grams = [(hashes, there)]
+        for size in range(2, sizes + 1):
+            there = there[:-1] & joined[size - 2 :]
+            hashes = grown(hashes[:-1], words[size - 1 :])
+            grams.append((hashes, there))
+        yield names, lang, data, starts, ends, grams
+
+
+def hash_counts(docs: DataFrame, sizes: int) -> DataFrame:
+    """(key, n): how often each hash of phrases of up to ``sizes`` words occurs."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Tally()
+        for batch in batches:
+            for *_, grams in chunks(batch.column("text"), batch.column("lang"), sizes):
+                held.add(np.concatenate([h[ok] for h, ok in grams]))
+                if held.size >= HELD:
+                    yield from held.flush()
+        yield from held.flush()
+
+    counted = docs.select("lang", "text").mapInArrow(count, "key long, n long")
+    return counted.groupBy("key").agg(F.sum("n").alias("n"))
+
+
+class Tally:
+    """Hashes with counts, put together before they leave a task."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.parts.append(np.unique(hashes, return_counts=True))
+        self.size += len(self.parts[-1][0])
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            keys, counts = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            self.__init__()
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+            sums = np.add.reduceat(counts[order], first) if len(first) else counts
+            for k in range(0, len(first), 1 << 16):
+                yield pa.record_batch([pa.array(keys[first[k : k + (1 << 16)]].view(np.int64)), pa.array(sums[k : k + (1 << 16)].astype(np.int64))], names=["key", "n"])
 
 
 def span_seeds(names: pa.Array) -> np.ndarray:
@@ -122,39 +150,55 @@ def marked(wanted: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (wanted[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
 
-def phrase_counts(docs: DataFrame, sizes: tuple[int, ...], least: int, wanted: np.ndarray | None = None) -> DataFrame:
-    """(lang, phrase, n) of the phrases that occur ``least`` times or more; a language's words under the phrase ''."""
+def phrase_counts(docs: DataFrame, sizes: tuple[int, ...], least: int, wanted: np.ndarray, head: int | None = None) -> DataFrame:
+    """(lang, phrase, n) of the phrases of ``sizes`` words that occur ``least`` times or more, and a language's words under
+    the phrase ''. Only phrases that are marked in ``wanted`` are counted; with ``head``, those whose first ``head`` words are."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = ["lang", "phrase", "n"]
         for batch in batches:
-            yield from chunk_counts(batch.column("text"), batch.column("lang"), sizes, shared.value)
+            for names, lang, data, starts, ends, grams in chunks(batch.column("text"), batch.column("lang"), max(sizes)):
+                at, n = np.unique(lang, return_counts=True)
+                yield pa.record_batch([names.take(pa.array(at)), pa.array([""] * len(at)), pa.array(n.astype(np.int64))], names=fields)
+                for size in sizes:
+                    hashes, there = grams[size - 1]
+                    told = grams[(head or size) - 1][0][: len(hashes)]
+                    at = np.flatnonzero(there)
+                    at = at[marked(shared.value, told[at])]
+                    if not len(at):
+                        continue
+                    _, one, n = np.unique(hashes[at], return_index=True, return_counts=True)
+                    at = at[one]
+                    words = at[:, None] + np.arange(size)
+                    yield pa.record_batch([names.take(pa.array(lang[at])), gathered(data, starts[words], ends[words]), pa.array(n.astype(np.int64))], names=fields)
 
     counted = docs.select("lang", "text").mapInArrow(count, "lang string, phrase string, n long")
     total = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     return total.where((F.col("n") >= least) | (F.col("phrase") == ""))
 
 
-def prefix_bits(prefixes: DataFrame) -> np.ndarray:
-    """The bit map of (lang, phrase) two-word phrases: 2^BITS bits, gathered as 64-bit words."""
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            coded = batch.column("lang").dictionary_encode()
-            seeds = span_seeds(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
-            for first, end, data, offsets in blocks(batch.column("phrase"), CHUNK):
-                starts, ends, _ = word_spans(data, offsets, STOP)
-                words = span_hashes(prefix_hashes(data), starts, ends).reshape(-1, 2)
-                at = grown(grown(seeds[first:end], words[:, 0]), words[:, 1]) >> np.uint64(64 - BITS)
-                yield pa.record_batch([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((at & np.uint64(63)).astype(np.int32))], names=["at", "bit"])
-
-    found = prefixes.select("lang", "phrase").mapInArrow(places, "at long, bit int")
-    words = found.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+def bit_map(keys: DataFrame) -> np.ndarray:
+    """The bits of the hashes ``key``: 2^BITS of them, gathered as 64-bit words, whatever the number of hashes."""
+    at = F.shiftrightunsigned("key", 64 - BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - BITS}) & 63L as int))")
+    words = keys.groupBy(F.shiftrightunsigned(at, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
     out = np.zeros(1 << (BITS - 6), dtype=np.int64)
     out[words.column("at").to_numpy()] = words.column("bits").to_numpy()
     return out.view(np.uint8)
 
 
+def prefix_bits(prefixes: DataFrame) -> np.ndarray:
+    """The bit map of (lang, phrase) two-word phrases."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for *_, grams in chunks(batch.column("phrase"), batch.column("lang"), 2):
+                yield pa.record_batch([pa.array(grams[1][0][grams[1][1]].view(np.int64))], names=["key"])
+
+    return bit_map(prefixes.select("lang", "phrase").mapInArrow(hashes, "key long"))
+
+
 def _ratio(top: Column, bottom: Column) -> Column:
     """floor(1000000 * top / bottom), exact."""
     return F.call_function("div", (top * F.lit(1000000).cast("decimal(7,0)")).cast("decimal(38,0)"), bottom.cast("decimal(38,0)"))
@@ -200,7 +244,8 @@ def collocations(docs: DataFrame, p: CollocationParams = CollocationParams(), te
     other columns are ignored.
     """
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    small = materialize(phrase_counts(rows, (1, 2), p.least), "phrases")
+    often = bit_map(hash_counts(rows, 2).where(F.col("n") >= p.least))
+    small = materialize(phrase_counts(rows, (1, 2), p.least, often), "phrases")
     words = small.where("phrase = ''").select("lang", F.col("n").alias("words"))
     pairs = scored(small.where("phrase like '% %'"), small, 1)
     # What begins with the pair has a score of at most floor(10^6 a / l) and at most a occurrences.
@@ -220,7 +265,7 @@ def collocations(docs: DataFrame, p: CollocationParams = CollocationParams(), te
         fresh = limited.where(_above("bound")).select("lang", "phrase").unionAll(before.select("lang", "phrase")).distinct()
         fresh = materialize(fresh.join(expanded, ["lang", "phrase"], "left_anti"), "frontier")
         expanded = expanded.unionAll(fresh)
-        more = scored(phrase_counts(rows, (3,), p.least, prefix_bits(fresh)).where("phrase <> ''"), small, 2)
+        more = scored(phrase_counts(rows, (3,), p.least, prefix_bits(fresh), head=2).where("phrase <> ''"), small, 2)
         triples = materialize(triples.unionAll(more).distinct(), "triples")  # a collision may count a triple twice
         inside = triples.select("lang", _head(2).alias("phrase"), "a").unionAll(triples.select("lang", _tail(2).alias("phrase"), "a"))
         inside = inside.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
