@@ -235,15 +235,15 @@ _SYMBOL = "symbol_id, path, name, kind, start_line, end_line"
 _BURSTS = f"path, {_stamp('first_ts')} AS first_ts, {_stamp('last_ts')} AS last_ts, events, kind"
 
 
-def _knn(distance: str, extra: str = "TRUE") -> str:
-    return _with(
-        "centers",
-        f"""SELECT query_id, id, rank, round(d, 6) + 0.0 AS distance FROM (
-            SELECT query_id, id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM (
-                SELECT query_id::BIGINT AS query_id, vec_id AS id, round({distance}, 9) AS d
-                FROM centers CROSS JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) WHERE {extra}))
-        WHERE rank <= 10""",
-    )
+_ROW_QUESTIONS = "SELECT vec_id::BIGINT AS query_id, embedding::DOUBLE[] AS vec FROM embeddings WHERE vec_id % 20 = 0"
+
+
+def _knn(distance: str) -> str:
+    return f"""SELECT query_id, id, rank, round(d, 6) + 0.0 AS distance FROM (
+        SELECT query_id, id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM (
+            SELECT query_id, vec_id AS id, round({distance}, 9) AS d
+            FROM ({_ROW_QUESTIONS}) CROSS JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)))
+        WHERE rank <= 10"""
 
 
 def _centers(group: str) -> str:
@@ -253,16 +253,16 @@ def _centers(group: str) -> str:
         GROUP BY query_id, dim) GROUP BY query_id"""
 
 
-def _in_cells(group: str) -> str:
-    """Search in the 3 nearest cells, which lie around the means of groups of vectors."""
-    return f"""WITH centers AS MATERIALIZED ({_centers("label")}),
+def _in_cells(group: str, probes: int) -> str:
+    """Search in the nearest cells, which lie around the means of groups of vectors."""
+    return f"""WITH centers AS MATERIALIZED ({_ROW_QUESTIONS}),
 base AS MATERIALIZED (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
 seeds AS MATERIALIZED (SELECT row_number() OVER (ORDER BY query_id) AS cell, vec AS s FROM ({_centers(group)})),
 assigned AS MATERIALIZED (SELECT id, arg_min(cell, (round(list_distance(e, s), 9), cell)) AS cell
     FROM base CROSS JOIN seeds GROUP BY id),
 probed AS MATERIALIZED (SELECT query_id, cell FROM (
     SELECT query_id, cell, row_number() OVER (PARTITION BY query_id
-        ORDER BY round(list_distance(vec, s), 9), cell) AS r FROM centers CROSS JOIN seeds) WHERE r <= 3)
+        ORDER BY round(list_distance(vec, s), 9), cell) AS r FROM centers CROSS JOIN seeds) WHERE r <= {probes})
 SELECT query_id, id, rank, round(d, 6) + 0.0 AS distance FROM (
     SELECT query_id, id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM (
         SELECT c.query_id::BIGINT AS query_id, b.id, round(list_distance(c.vec, b.e), 9) AS d
@@ -463,15 +463,12 @@ ORACLE_SQL: dict[str, str] = {
     "knn_l2": _knn("list_distance(vec, e)"),
     "knn_cosine": _knn("1 - list_cosine_similarity(vec, e)"),
     "knn_dot": _knn("-list_inner_product(vec, e)"),
-    "knn_ivf": _in_cells("label"),
-    "knn_ivf_seeded": _in_cells("vec_id % 12"),
+    "knn_ivf": _in_cells("label", 8),
+    "knn_ivf_seeded": _in_cells("vec_id % 12", 9),
     "knn_ivf_all_cells": _knn("list_distance(vec, e)"),
-    "knn_ivf_rows": """SELECT query_id, id, rank, round(d, 6) + 0.0 AS distance FROM (
-        SELECT query_id, id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM (
-            SELECT q.vec_id::BIGINT AS query_id, v.vec_id AS id,
-                   round(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS d
-            FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id % 20 = 0))
-        WHERE rank <= 10""",
+    "knn_ivf_pq": _knn("list_distance(vec, e)"),
+    "knn_join": _knn("list_distance(vec, e)"),
+    "knn_ivf_rows": _knn("list_distance(vec, e)"),
     "union_hits": _with("hits", "SELECT query_id, rank, path, start_line, end_line FROM hits"),
     "distinct_paths": _with("hits", "SELECT DISTINCT path FROM hits"),
     "symbols_of_hits": _with(

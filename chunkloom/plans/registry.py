@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.config import ChunkParams, PlacerParams, SearchParams
 from chunkloom.functions import kinds, patterns, paths, text
-from chunkloom.operators import chunking, embedding, names, placement, render, rules, store, symbols, vectors
+from chunkloom.operators import chunking, embedding, names, placement, render, rules, store, symbols, vector_join, vectors
 from chunkloom.operators.lines import numbered_lines
 from chunkloom.plans import place, search
 from chunkloom.plans import tables as t
@@ -258,8 +258,8 @@ def embed_dim_check(spark, sf_dir):
 
 
 def _nearest(spark, sf_dir, metric: str) -> DataFrame:
-    hits = vectors.nearest(t.vectors(spark, sf_dir), t.label_centers(spark, sf_dir), 10, metric)
-    return _hit_columns(hits)
+    """Every row whose id is divisible by 20 asks all vectors, in all these queries."""
+    return _hit_columns(vectors.nearest(t.vectors(spark, sf_dir), t.row_questions(spark, sf_dir), 10, metric))
 
 
 def _hit_columns(hits: DataFrame) -> DataFrame:
@@ -284,21 +284,21 @@ def knn_dot(spark, sf_dir):
 
 @query
 def knn_ivf(spark, sf_dir):
-    """Cells around the label means, the table written by cell, 3 cells probed and read."""
-    base, means = t.vectors(spark, sf_dir), t.label_centers(spark, sf_dir)
-    centers = vectors.stored_cells(means.orderBy("query_id"))
+    """Cells around the label means, the table written by cell, 8 of 10 cells probed and read."""
+    base = t.vectors(spark, sf_dir)
+    centers = vectors.stored_cells(t.label_centers(spark, sf_dir).orderBy("query_id"))
     folder = scratch(spark, "cells")
     vectors.assign_cells(base, centers).write.partitionBy("cell").parquet(folder)
-    return _hit_columns(vectors.nearest_in_cells(spark.read.parquet(folder), means, centers, 10, 3))
+    return _hit_columns(vectors.nearest_in_cells(spark.read.parquet(folder), t.row_questions(spark, sf_dir), centers, 10, 8))
 
 
 @query
 def knn_ivf_seeded(spark, sf_dir):
-    """The same search within a scan, its cells around the means of ids by remainder."""
+    """The same search within a scan, 9 of 12 cells, which lie around the means of ids by remainder."""
     base = t.vectors(spark, sf_dir)
     centers = vectors.stored_cells(t.remainder_centers(spark, sf_dir).orderBy("query_id"))
     cells = vectors.assign_cells(base, centers)
-    return _hit_columns(vectors.nearest_in_cells(cells, t.label_centers(spark, sf_dir), centers, 10, 3))
+    return _hit_columns(vectors.nearest_in_cells(cells, t.row_questions(spark, sf_dir), centers, 10, 9))
 
 
 @query
@@ -307,7 +307,20 @@ def knn_ivf_all_cells(spark, sf_dir):
     base = t.vectors(spark, sf_dir)
     centers = vectors.train_cells(base, 16)
     cells = vectors.assign_cells(base, centers)
-    return _hit_columns(vectors.nearest_in_cells(cells, t.label_centers(spark, sf_dir), centers, 10, 16))
+    return _hit_columns(vectors.nearest_in_cells(cells, t.row_questions(spark, sf_dir), centers, 10, 16))
+
+
+@query
+def knn_ivf_pq(spark, sf_dir):
+    """The coded index: a vector is measured only if its code cannot rule it out."""
+    index = vector_join.build_index(t.vectors(spark, sf_dir))
+    return _hit_columns(vector_join.nearest_in_index(index, t.row_questions(spark, sf_dir), 10))
+
+
+@query
+def knn_join(spark, sf_dir):
+    """Two distributed tables in tiles, with bounds exchanged between two rounds; nothing passes through the driver."""
+    return _hit_columns(vector_join.nearest_join(t.vectors(spark, sf_dir), t.row_questions(spark, sf_dir), 10))
 
 
 @query
