@@ -263,7 +263,7 @@ def _nearest(spark, sf_dir, metric: str) -> DataFrame:
 
 
 def _hit_columns(hits: DataFrame) -> DataFrame:
-    rounded = (F.round("distance", 6) + F.lit(0.0)).alias("distance")
+    rounded = (F.round(F.round("distance", 9), 6) + F.lit(0.0)).alias("distance")
     return longs(hits, "query_id", "rank").select("query_id", "id", "rank", rounded)
 
 
