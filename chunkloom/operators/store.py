@@ -143,18 +143,23 @@ class ChunkStore:
         got = self._read("changes", CHANGES_SCHEMA)
         return got if got is not None else self.spark.createDataFrame([], CHANGES_SCHEMA)
 
+    def committed(self, source: str, source_batch: int | None) -> int | None:
+        """The number under which ``source`` has committed its batch before."""
+        if source_batch is None:
+            return None
+        again = self.changes().filter((F.col("source") == source) & (F.col("source_batch") == source_batch))
+        row = again.select("batch_id").first()
+        return None if row is None else row[0]
+
     def commit(self, chunks: DataFrame, changes: DataFrame, source: str = "", source_batch: int | None = None) -> int:
         """Write a batch: the new rows, then ``(path, action)`` of every path it changed. Returns its number.
 
         With ``source_batch``, a batch that ``source`` has committed before is left as it is.
         """
         self._check(chunks.schema["embedding"].metadata or {})
-        done = self.changes()
-        if source_batch is not None:
-            again = done.filter((F.col("source") == source) & (F.col("source_batch") == source_batch))
-            if (row := again.select("batch_id").first()) is not None:
-                return row[0]
-        batch_id = (done.agg(F.max("batch_id")).first()[0] or 0) + 1
+        if (before := self.committed(source, source_batch)) is not None:
+            return before
+        batch_id = self.version() + 1
         rows = chunks.select(*[F.col(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in self.schema()])
         rows.write.mode("overwrite").parquet(f"{self.home}/chunks/batch_id={batch_id}")
         named = F.lit(source).alias("source"), F.lit(source_batch).cast("bigint").alias("source_batch")
@@ -168,21 +173,35 @@ class ChunkStore:
         marker = self.spark.range(1).select(F.lit("").alias("path"), F.lit(BASE).alias("action"))
         return self.commit(chunks, marker)
 
-    def _base(self) -> int:
-        row = self.changes().filter(F.col("action") == BASE).agg(F.max("batch_id")).first()
+    def _base(self, version: int | None = None) -> int:
+        found = self.changes().filter(F.col("action") == BASE)
+        if version is not None:
+            found = found.filter(F.col("batch_id") <= version)
+        row = found.agg(F.max("batch_id")).first()
         return -1 if row is None or row[0] is None else int(row[0])
 
-    def live(self) -> DataFrame:
-        """The current rows.
+    def version(self) -> int:
+        """The number of the newest batch; 0 for a new table."""
+        return int(self.changes().agg(F.max("batch_id")).first()[0] or 0)
+
+    def live(self, version: int | None = None) -> DataFrame:
+        """The current rows, or those that were current at a ``version``."""
+        return self.live_part("chunks", self.schema(), version)
+
+    def live_part(self, part: str, schema: T.StructType, version: int | None = None) -> DataFrame:
+        """The current rows of ``chunks`` or of a table kept beside it by the same batches.
 
         Only paths changed after the base are looked up; that side is small between two
         compactions and AQE broadcasts it when its measured size allows, so the base is
-        read without a shuffle.
+        read without a shuffle. Filters by path reach the scan.
         """
-        rows = self._read("chunks", self.schema().add("batch_id", T.LongType()))
+        rows = self._read(part, T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())]))
         if rows is None:
-            return self.spark.createDataFrame([], self.schema())
-        base, changes = self._base(), self.changes()
+            return self.spark.createDataFrame([], schema)
+        changes = self.changes()
+        if version is not None:
+            changes = changes.filter(F.col("batch_id") <= version)
+        base = self._base(version)
         changes = changes.filter(F.col("batch_id") >= base)
         committed = changes.select("batch_id").distinct()
         last = (
@@ -198,20 +217,21 @@ class ChunkStore:
             .join(committed, "batch_id", "left_semi")
             .join(last, "path", "left")
             .filter(current)
-            .select(*self.schema().fieldNames())
+            .select(*schema.fieldNames())
         )
 
     def compact(self) -> int:
         """Write the current rows as a new base."""
         return self.commit_base(clustered(self.live()))
 
-    def vacuum(self) -> list[int]:
+    def vacuum(self, parts: Sequence[str] = ("chunks",)) -> list[int]:
         """Remove the rows of batches before the base, which no new reader looks at; their list of changes stays,
         so that what they committed is not done again. Readers that began before the base must be over."""
         base = self._base()
         old = self.changes().filter(F.col("batch_id") < base).select("batch_id").distinct().collect()
         hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
         for row in old:
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.home}/chunks/batch_id={row[0]}")
-            path.getFileSystem(hadoop).delete(path, True)
+            for part in parts:
+                path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.home}/{part}/batch_id={row[0]}")
+                path.getFileSystem(hadoop).delete(path, True)
         return sorted(row[0] for row in old)

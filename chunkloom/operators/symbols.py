@@ -133,6 +133,18 @@ def of_paths(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted.select("path").distinct(), "path", "left_semi")
 
 
+def of_few_paths(rows: DataFrame, wanted: DataFrame, few: int = 1000) -> DataFrame:
+    """``of_paths`` for a request's result: the paths, which its limits bound, become a filter of the scan, so that
+    a table clustered by path reads the row groups that hold them. More than ``few`` are met by a join
+    within their range. Runs a job over ``wanted``."""
+    names = wanted.select("path").distinct()
+    found = [r.path for r in names.limit(few + 1).collect()]
+    if len(found) <= few:
+        return rows.filter(F.col("path").isin(found))
+    first, last = names.agg(F.min("path"), F.max("path")).first()
+    return of_paths(rows.filter(F.col("path").between(first, last)), names)
+
+
 def next_symbols(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
     """The symbols that directly follow a chunk when both are ordered by start line per file.
 

@@ -253,6 +253,20 @@ def _centers(group: str) -> str:
         GROUP BY query_id, dim) GROUP BY query_id"""
 
 
+def _after_changes(sql: str) -> str:
+    """The same over the documents that the change feed leaves: those whose last event does not remove them."""
+    docs, feed, accepted = (_VIEWS[name][0] for name in ("docs", "feed", "accepted"))
+    left = f"""all_docs AS MATERIALIZED ({docs}),
+feed AS MATERIALIZED ({feed.replace("JOIN docs", "JOIN all_docs")}),
+accepted AS MATERIALIZED ({accepted}),
+docs AS MATERIALIZED (SELECT * FROM all_docs WHERE path NOT IN (
+    SELECT path FROM accepted GROUP BY path HAVING arg_max(kind, (ts, event_id)) = 'remove'))"""
+    whole = f"docs AS MATERIALIZED ({docs})"
+    if whole not in sql:
+        raise ValueError("the query does not read docs")
+    return sql.replace(whole, left)
+
+
 def _in_cells(group: str, probes: int) -> str:
     """Search in the nearest cells, which lie around the means of groups of vectors."""
     return f"""WITH centers AS MATERIALIZED ({_ROW_QUESTIONS}),
@@ -623,6 +637,10 @@ ORACLE_SQL: dict[str, str] = {
         JOIN means ON owner = 'c' || id""",
     ),
     "code_reuse_search": _with("request", "SELECT list, path, symbol_id, name, start_line FROM request"),
+    "search_stored": _with("request", "SELECT list, path, symbol_id, name, start_line FROM request"),
+    "search_after_changes": _after_changes(
+        _with("request", "SELECT list, path, symbol_id, name, start_line FROM request")
+    ),
     "symbols_placer": _with("defs sums page_paths", "SELECT 1").rsplit("\n", 1)[0]
     + ",\n"
     + _PAGE_CODED

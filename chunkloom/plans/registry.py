@@ -650,14 +650,43 @@ def _request(spark, sf_dir) -> search.SearchResult:
     )
 
 
-@query
-def code_reuse_search(spark, sf_dir):
-    found = _request(spark, sf_dir)
+def _found(found: search.SearchResult) -> DataFrame:
     columns = ["path", "symbol_id", "name", "start_line"]
     semantic = found.semantic.select(F.lit("semantic").alias("list"), *columns)
     return semantic.unionByName(found.fuzzy.select(F.lit("fuzzy").alias("list"), *columns))
 
 
+@query
+def code_reuse_search(spark, sf_dir):
+    return _found(_request(spark, sf_dir))
+
+
+def _stored_corpus(spark, sf_dir):
+    kept = t.corpus_store(spark, scratch(spark, "corpus"))
+    kept.commit_base(t.docs(spark, sf_dir))
+    return kept
+
+
+def _stored_request(spark, sf_dir, kept) -> DataFrame:
+    corpus = t.stored_corpus(kept)
+    return _found(search.code_reuse_search(corpus, t.semantic_queries(spark, sf_dir), ["thn", "Ero"], t.RULES, t.EMBEDDER))
+
+
+@query
+def search_stored(spark, sf_dir):
+    """The request on a stored corpus, all tables read at one version."""
+    return _stored_request(spark, sf_dir, _stored_corpus(spark, sf_dir))
+
+
+@query
+def search_after_changes(spark, sf_dir):
+    """The request after the change feed has gone through documents, chunks, symbols and hovers."""
+    kept = _stored_corpus(spark, sf_dir)
+    docs = TableDocuments(t.docs(spark, sf_dir).select("path", "lines"))
+    maintain.follow(_event_stream(spark, sf_dir), kept, docs, t.PARAMS, t.EMBEDDER, scratch(spark, "corpus-checkpoint"))
+    return _stored_request(spark, sf_dir, kept)
+
+
 @query
 def symbols_placer(spark, sf_dir):
     """The linked names of the pages: symbols, places and rule texts."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, partial
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -17,7 +17,7 @@ from chunkloom.operators.embedding import Embedder, check_model, embed_queries
 from chunkloom.operators.names import search_names
 from chunkloom.operators.render import prompt_blocks, symbol_json
 from chunkloom.operators.rules import rules_for_request
-from chunkloom.operators.symbols import attach_code, attach_hover, filter_kinds, next_symbols, of_paths
+from chunkloom.operators.symbols import attach_code, attach_hover, filter_kinds, next_symbols, of_few_paths
 from chunkloom.operators.vectors import nearest, nearest_in_cells
 from chunkloom.session import materialize
 from chunkloom.sources.rules import Ruleset
@@ -86,14 +86,15 @@ def semantic_hits(
     params: SearchParams,
     policy: str = "mean",
     centroids: np.ndarray | None = None,
+    verify: bool = True,
 ) -> DataFrame:
-    """The nearest chunks of each ``(query_id, text)``; rows with a wrong id are left out.
+    """The nearest chunks of each ``(query_id, text)``; rows with a wrong id are left out unless ``verify`` is off.
 
     With ``centroids`` the chunks have a ``cell`` and each query probes ``params.probes`` cells:
     less work, and hits in other cells are missed.
     """
     check_model(chunks, embedder)
-    sound = verify_chunks(chunks).filter("ok").drop("ok")
+    sound = verify_chunks(chunks).filter("ok").drop("ok") if verify else chunks
     asked = embed_queries(queries, embedder, policy)
     if centroids is None:
         return nearest(sound, asked, params.hits_per_query, params.metric)
@@ -107,15 +108,15 @@ def _detailed(found: DataFrame, corpus: Corpus, name: str) -> DataFrame:
     are then filtered by their paths during the scan instead of being shuffled.
     """
     few = materialize(found, name)
-    full = attach_code(few, of_paths(corpus.docs, few))
-    full = attach_hover(full, of_paths(corpus.hovers, few))
+    full = attach_code(few, of_few_paths(corpus.docs, few))
+    full = attach_hover(full, of_few_paths(corpus.hovers, few))
     full = full.withColumn("uri", path_to_uri(F.col("path"))).select(*SYMBOL_COLUMNS)
     return materialize(full, f"{name}-detailed")
 
 
 def semantic_symbols(corpus: Corpus, hits: DataFrame, params: SearchParams) -> DataFrame:
     """The symbols that follow the hit chunks, with code and hover."""
-    of_hits = of_paths(filter_kinds(corpus.symbols, params.kinds), hits)
+    of_hits = of_few_paths(filter_kinds(corpus.symbols, params.kinds), hits)
     return _detailed(next_symbols(hits, of_hits), corpus, "semantic")
 
 
@@ -147,7 +148,11 @@ def code_reuse_search(
     so each is written once to the shared folder.
     """
     params = params or SearchParams()
-    hits = materialize(semantic_hits(corpus.chunks, semantic_queries, embedder, params, policy, centroids), "hits")
+    ask = partial(semantic_hits, corpus.chunks, semantic_queries, embedder, params, policy, centroids)
+    hits = materialize(ask(verify=False), "hits")
+    # Ids are checked on the hits; only if one is wrong are all chunks checked, for those that move up.
+    if not verify_chunks(hits).filter(~F.col("ok")).isEmpty():
+        hits = materialize(ask(), "hits")
     semantic = semantic_symbols(corpus, hits, params)
     fuzzy = fuzzy_symbols(corpus, name_patterns, params)
     return SearchResult(semantic, fuzzy, ruleset)

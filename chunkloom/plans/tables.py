@@ -9,6 +9,8 @@ from chunkloom.config import ChunkParams
 from chunkloom.operators.chunking import chunk_lines
 from chunkloom.operators.embedding import HashEmbedder, embed_chunks
 from chunkloom.operators.lines import numbered_lines, with_lines
+from chunkloom.operators.corpus_store import CorpusStore
+from chunkloom.operators.store import ChunkStore
 from chunkloom.operators.symbols import extract_symbols
 from chunkloom.plans.search import Corpus
 from chunkloom.session import spread
@@ -99,7 +101,12 @@ def kind_by_length(name: F.Column) -> F.Column:
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A symbol per line that starts with a capitalised word."""
-    found = extract_symbols(docs(spark, sf_dir), [(kind_by_length(F.col("name")), NAME_REGEX)])
+    return symbols_of(docs(spark, sf_dir))
+
+
+def symbols_of(documents: DataFrame) -> DataFrame:
+    """Symbols of documents with ``doc_id, path, source, lines``."""
+    found = extract_symbols(documents, [(kind_by_length(F.col("name")), NAME_REGEX)])
     return found.select(
         (F.col("doc_id") * LINES + F.col("start_line")).alias("symbol_id"),
         "path",
@@ -115,9 +122,14 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hovers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hover answers of all variants; most enums have none."""
+    return hovers_of(docs(spark, sf_dir))
+
+
+def hovers_of(documents: DataFrame) -> DataFrame:
+    """Hovers of documents with ``path, lang, lines``."""
     marked = "struct<language: string, value: string>"
     none = F.lit(None)
-    rows = lines(spark, sf_dir).withColumn("name", F.regexp_extract("line", NAME_REGEX, 1))
+    rows = numbered_lines(documents).withColumn("name", F.regexp_extract("line", NAME_REGEX, 1))
     rows = rows.filter(F.col("name") != "").withColumn("kind", kind_by_length(F.col("name")))
     plain = F.struct(none.cast("string").alias("language"), F.col("line").alias("value"))
     coded = F.struct(F.col("lang").alias("language"), F.col("line").alias("value"))
@@ -141,6 +153,27 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     )
 
 
+def from_path(documents: DataFrame) -> DataFrame:
+    """``doc_id, lang, source`` of documents, told from their paths."""
+    part = lambda k: F.get(F.split("path", "/"), F.lit(k))
+    return documents.withColumns({"source": part(1), "lang": part(2), "doc_id": F.regexp_extract(part(3), r"^(\d+)\.", 1).cast("long")})
+
+
+def corpus_store(spark: SparkSession, root: str) -> CorpusStore:
+    """A new stored corpus: chunks, symbols and hovers of the documents committed to it."""
+    return CorpusStore(
+        ChunkStore(spark, root, EMBEDDER.dims, EMBEDDER.name, "mean").open(),
+        lambda documents: embed_chunks(chunk_lines(documents, PARAMS), EMBEDDER),
+        {"symbols": lambda d: symbols_of(from_path(d)), "hovers": lambda d: hovers_of(from_path(d))},
+    )
+
+
+def stored_corpus(store: CorpusStore, version: int | None = None) -> Corpus:
+    """All four tables of a stored corpus at one version."""
+    version = store.version() if version is None else version
+    return Corpus(store.live(version), *(store.part(name, version) for name in ("documents", "symbols", "hovers")))
+
+
 def semantic_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark passages as questions."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")

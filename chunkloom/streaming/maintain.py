@@ -11,6 +11,7 @@ from chunkloom.config import ChunkParams
 from chunkloom.functions.patterns import glob_match
 from chunkloom.operators.chunking import chunk_lines
 from chunkloom.operators.embedding import Embedder, embed_chunks
+from chunkloom.operators.corpus_store import CorpusStore
 from chunkloom.operators.store import REMOVE, UPSERT, ChunkStore, expand_folders
 from chunkloom.session import materialize
 from chunkloom.sources.documents import Documents
@@ -23,7 +24,7 @@ def index_documents(docs: DataFrame, params: ChunkParams, embedder: Embedder, po
 
 
 def apply_changes(
-    store: ChunkStore,
+    store: ChunkStore | CorpusStore,
     events: DataFrame,
     docs: Documents,
     params: ChunkParams,
@@ -33,7 +34,8 @@ def apply_changes(
     source: str = "",
     source_batch: int | None = None,
 ) -> None:
-    """Apply one micro-batch: re-chunk the files it creates or changes, drop those it removes.
+    """Apply one micro-batch: re-chunk the files it creates or changes, drop those it removes. A ``CorpusStore``
+    makes its chunks and all else itself.
 
     The last event of a path decides, and only changed documents are read; these events are written
     once for all that follows. A path that does not match ``globs`` is taken for a
@@ -54,12 +56,13 @@ def apply_changes(
             removes = removes.unionByName(gone).distinct().join(upserts, "path", "left_anti")
     changed = docs.of(upserts)
     changes = upserts.withColumn("action", F.lit(UPSERT)).unionByName(removes.withColumn("action", F.lit(REMOVE)))
-    store.commit(index_documents(changed, params, embedder, policy), changes, source, source_batch)
+    rows = changed if isinstance(store, CorpusStore) else index_documents(changed, params, embedder, policy)
+    store.commit(rows, changes, source, source_batch)
 
 
 def follow(
     events: DataFrame,
-    store: ChunkStore,
+    store: ChunkStore | CorpusStore,
     docs: Documents,
     params: ChunkParams,
     embedder: Embedder,
