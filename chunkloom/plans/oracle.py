@@ -160,6 +160,25 @@ _VIEWS = {
         FROM pairs GROUP BY symbol_id, path""",
         ("pairs",),
     ),
+    "refs": (
+        """SELECT symbol_id, name, path, line, character FROM (
+            SELECT path, line, character, name FROM (
+                SELECT path, line_no AS line, token AS name, nth, coalesce(sum(length(token)) OVER (
+                    PARTITION BY path, line_no ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS character
+                FROM (SELECT path, line_no, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS nth FROM (
+                    SELECT path, line_no, regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]*|[^A-Za-z_]+') AS tokens FROM lines)))
+            WHERE name IN (SELECT name FROM symbols) AND (path, line, character) NOT IN (
+                SELECT (path, start_line, start_character) FROM symbols))
+        JOIN (SELECT u.name, u.path, arg_min(d.symbol_id, (-CASE WHEN d.path = u.path THEN 3 WHEN d.source <> u.source THEN 0
+                  WHEN d.lang <> u.lang THEN 1 ELSE 2 END, d.path, d.start_line, d.symbol_id)) AS symbol_id
+              FROM (SELECT l.path, any_value(source) AS source, any_value(lang) AS lang, unnest(list_distinct(flatten(list(
+                  regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]*'))))) AS name FROM lines l GROUP BY l.path) u
+              JOIN (SELECT name, path, split_part(path, '/', 2) AS source, lang, min(start_line) AS start_line,
+                    arg_min(symbol_id, start_line) AS symbol_id FROM symbols GROUP BY ALL) d USING (name)
+              GROUP BY u.name, u.path) meant USING (name, path)""",
+        ("lines", "symbols"),
+    ),
+    "scan_uses": ("SELECT symbol_id, path, count(*)::BIGINT AS uses FROM refs GROUP BY symbol_id, path", ("refs",)),
     "bursts": (
         """SELECT path, min(ts) AS first_ts, max(ts) AS last_ts, count(*)::BIGINT AS events,
                arg_max(kind, (ts, event_id)) AS kind
@@ -192,6 +211,10 @@ _VIEWS = {
     ),
 }
 
+# The placement of symbols by the references that a scan finds.
+_VIEWS["scan_pairs"] = (_VIEWS["pairs"][0].replace("uses a JOIN uses b", "scan_uses a JOIN scan_uses b"), ("scan_uses",))
+_VIEWS["scan_sums"] = (_VIEWS["sums"][0].replace("FROM pairs", "FROM scan_pairs"), ("scan_pairs",))
+
 # The rules of chunkloom.plans.tables.RULES as predicates.
 _RULES = {
     "rule0": "kind = 'Struct' AND regexp_matches(name, '^[A-M]') AND regexp_matches(path, '^/src[0-4]/.*$')",
@@ -362,6 +385,11 @@ _MODES = """SELECT symbol_id, arg_min(parent, (-n, parent)) AS place_to FROM (
     SELECT symbol_id, {parent} AS parent, sum(uses) AS n FROM {places} GROUP BY symbol_id, parent) GROUP BY symbol_id"""
 _BEST_PLACES = """(SELECT * FROM (SELECT *, max(total) OVER (PARTITION BY symbol_id) AS best FROM sums) WHERE total = best)"""
 _BEST_MODES = _MODES.replace("{parent}", _PARENT).replace("{places}", _BEST_PLACES)
+_SCAN_PLACES = _with(
+    "scan_sums symbols",
+    f"""SELECT {{columns}} FROM symbols d JOIN ({_BEST_MODES.replace("FROM sums", "FROM scan_sums")}) USING (symbol_id)
+    WHERE kind IN ('Struct', 'Enum') AND {_PARENT.replace("path", "d.path")} <> place_to""",
+)
 _PAGE_CODED = (
     _PAGE_CODED.replace("{name}", _escape("name"))
     .replace("{modes}", _BEST_MODES)
@@ -636,6 +664,24 @@ ORACLE_SQL: dict[str, str] = {
         f"""SELECT id, path, start_line, end_line, {_vector_text("vec")} AS vector FROM ({_LIVE})
         JOIN means ON owner = 'c' || id""",
     ),
+    "fuzzy_postings": _with(
+        "symbols",
+        """SELECT mode, pattern, rank, score, symbol_id, name FROM (
+            SELECT *, row_number() OVER (PARTITION BY mode, pattern ORDER BY score, length(name), name, symbol_id) AS rank FROM (
+                SELECT mode, pattern, score::BIGINT AS score, symbol_id, name FROM (
+                    SELECT pattern, name, unnest(['substring', 'levenshtein']) AS mode,
+                           unnest([instr(lower(name), lower(pattern)), levenshtein(lower(name), lower(pattern))]) AS score
+                    FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS pattern FROM benchmark)
+                    CROSS JOIN (SELECT DISTINCT name FROM symbols))
+                JOIN symbols USING (name)
+                WHERE CASE mode WHEN 'substring' THEN score > 0 ELSE score <= 2 END))
+        WHERE rank <= 32""",
+    ),
+    "refs_from_scan": _with("refs", "SELECT symbol_id, name, path, line, character FROM refs"),
+    "placer_from_scan": _SCAN_PLACES.replace("{columns}", "symbol_id, name, d.path AS path, place_to"),
+    "placer_json": _SCAN_PLACES.replace(
+        "{columns}", "'places' AS list, json_object('symbol_id', symbol_id, 'name', name, 'place_to', place_to)::VARCHAR AS json"
+    ),
     "code_reuse_search": _with("request", "SELECT list, path, symbol_id, name, start_line FROM request"),
     "search_stored": _with("request", "SELECT list, path, symbol_id, name, start_line FROM request"),
     "search_after_changes": _after_changes(

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from chunkloom.config import ChunkParams, PlacerParams, SearchParams
 from chunkloom.functions import kinds, patterns, paths, text
-from chunkloom.operators import chunking, embedding, names, placement, render, rules, store, symbols, vector_join, vectors
+from chunkloom.operators import chunking, embedding, name_index, names, placement, references, render, rules, store, symbols, vector_join, vectors
 from chunkloom.operators.lines import numbered_lines
 from chunkloom.plans import place, search
 from chunkloom.plans import tables as t
-from chunkloom.session import scratch
+from chunkloom.session import materialize, scratch
 from chunkloom.sources.documents import TableDocuments
 from chunkloom.streaming import changes, maintain
 
@@ -428,6 +428,20 @@ def fuzzy_all(spark, sf_dir):
     return _names(spark, sf_dir, [], "subsequence")
 
 
+@query
+def fuzzy_postings(spark, sf_dir):
+    """Every word of the benchmark as a pattern, by substring and by edit distance, from the index of names."""
+    rows = t.symbols(spark, sf_dir)
+    index = name_index.build_name_index(rows)
+    index = name_index.NameIndex(materialize(index.postings, "postings"), materialize(index.counts, "postings-counts"))
+    asked = t.benchmark_words(spark, sf_dir)
+    found = []
+    for mode in ("substring", "levenshtein"):
+        hits = name_index.search_index(index, rows, asked, mode).withColumn("mode", F.lit(mode))
+        found.append(longs(hits, "score", "rank").select("mode", "pattern", "rank", "score", "symbol_id", "name"))
+    return found[0].unionByName(found[1])
+
+
 # Rules
 
 
@@ -537,6 +551,36 @@ def place_symbols(spark, sf_dir):
     return placement.place_symbols(wanted, t.links(spark, sf_dir)).select("symbol_id", "kind", "path", "place_to")
 
 
+# References from text
+
+
+def _scanned(spark, sf_dir) -> DataFrame:
+    return references.references_from_scan(t.docs(spark, sf_dir), t.symbols(spark, sf_dir))
+
+
+@query
+def refs_from_scan(spark, sf_dir):
+    """Where the documents name a symbol, and which of the symbols of that name is meant."""
+    return _scanned(spark, sf_dir)
+
+
+@query
+def placer_from_scan(spark, sf_dir):
+    """The placer over the whole project, its references found by a scan of the texts."""
+    uses = materialize(_scanned(spark, sf_dir), "references")
+    result = place.symbols_placer(t.docs(spark, sf_dir), t.symbols(spark, sf_dir), uses, t.RULES)
+    return result.places.select("symbol_id", "name", "path", "place_to")
+
+
+@query
+def placer_json(spark, sf_dir):
+    """The placer's answer as JSON, a document per place."""
+    uses = materialize(_scanned(spark, sf_dir), "references")
+    result = place.symbols_placer(t.docs(spark, sf_dir), t.symbols(spark, sf_dir), uses, t.RULES)
+    places = result.places.select("symbol_id", "name", "place_to")
+    return places.select(F.lit("places").alias("list"), render.symbol_json(places.columns).alias("json"))
+
+
 # Chunk table updates
 
 

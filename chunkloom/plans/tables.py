@@ -179,6 +179,13 @@ def semantic_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The different words of the benchmark as name patterns."""
+    words = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))
+    found = table(spark, sf_dir, "benchmark").select(F.explode(words).alias("pattern")).distinct()
+    return found.select(F.col("pattern").alias("pattern_id"), "pattern")
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
