@@ -25,6 +25,8 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(master: str = "local[*]", shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """A session with the engine's settings; on a cluster pass ``master`` and conf of the cluster.
@@ -74,9 +76,16 @@ def scratch(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, and no lost executor
     makes it be computed again. Runs a job; for results that several branches use."""
-    folder = scratch(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    spark = df.sparkSession
+    folder = scratch(spark, name)
+    # What is written needs its shuffles no longer: their files go when the job ends, not when garbage is collected.
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def release(spark: SparkSession) -> None:
