@@ -155,12 +155,15 @@ def embedding_duplicates(
 
     A vector that is null, empty or zero or holds a null or a non-finite number, a null label and a
     null vec_id have no links. Only vectors of one length are compared. Equal vectors are linked; a
-    row that repeats a vec_id counts as one more vector. An empty table gives no rows.
+    row that repeats a vec_id counts as one more vector, whatever its vector and label, and belongs to one
+    component with the others. An empty table gives no rows; other columns are ignored.
     """
     rows = materialize(units(vectors, vec_id, vector, label), "units")
     known = rows.where("unit is not null")
     key = ["label", "dims", "unit"]
-    classes = materialize(known.groupBy(*key).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("members")), "classes")
+    # A class has a number of its own: one vec_id may occur with several vectors or labels.
+    classes = known.groupBy(*key).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("members"))
+    classes = materialize(classes.withColumn("class", F.xxhash64(*key)), "classes")
     shared = vectors.sparkSession.sparkContext.broadcast(_train(classes, p))
     reach = p.reach
 
@@ -180,8 +183,8 @@ def embedding_duplicates(
                     names=[*part.schema.names, "list", "codes", "error", "probes"],
                 )
 
-    whole = classes.select("dims", "unit", "vec_id", "members", "label")
-    added = "dims int, unit binary, vec_id long, members long, label string, list int, codes binary, error double, probes array<int>"
+    whole = classes.select("dims", "unit", "class", "members", "label")
+    added = "dims int, unit binary, class long, members long, label string, list int, codes binary, error double, probes array<int>"
     coded = materialize(whole.mapInArrow(run, added), "coded")
     group = F.struct("label", "dims", F.col("list"))
     base = coded.withColumn("group", group)
@@ -216,12 +219,12 @@ def embedding_duplicates(
 
     found = materialize(pairs.mapInArrow(search, "a long, b long, n long"), "found")
     counts = found.groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
-    same = known.join(classes.select(*key, F.col("vec_id").alias("class")), key)
-    joined = components(
-        found.where("a <> b").select("a", "b").unionAll(same.where("vec_id <> class").select(F.col("vec_id").alias("a"), F.col("class").alias("b")))
-    )
+    first = classes.select("class", "vec_id")
+    between = found.where("a <> b").join(first.toDF("a", "left"), "a").join(first.toDF("b", "right"), "b")
+    same = known.join(classes.select(*key, F.col("vec_id").alias("first")), key).where("vec_id <> first")
+    joined = components(between.select(F.col("left").alias("a"), F.col("right").alias("b")).unionAll(same.select("vec_id", "first")))
     linked = (
-        known.join(classes.select(*key, F.col("vec_id").alias("class"), "members"), key)
+        known.join(classes.select(*key, "class", "members"), key)
         .join(counts, "class", "left")
         .select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("members") - 1).alias("n_links"))
     )
@@ -237,9 +240,9 @@ def _query_tiles(asked: DataFrame, base: DataFrame, size: int) -> DataFrame:
 
     def tiles(rows: DataFrame, fields: list[str], name: str) -> DataFrame:
         count = rows.groupBy("group").agg(F.ceil(F.count("*") / size).alias("tiles"))
-        tile = F.pmod(F.xxhash64("vec_id"), F.col("tiles"))
+        tile = F.pmod(F.xxhash64("class"), F.col("tiles"))
         return rows.join(count, "group").groupBy("group", tile.alias(f"{name}_tile")).agg(F.collect_list(F.struct(*fields)).alias(name))
 
-    left = tiles(asked, ["vec_id", "unit"], "queries")
-    right = tiles(base, ["vec_id", "unit", "codes", "error", "members"], "vectors")
+    left = tiles(asked, ["class", "unit"], "queries")
+    right = tiles(base, ["class", "unit", "codes", "error", "members"], "vectors")
     return left.join(right, "group").select("group", "queries", "vectors")

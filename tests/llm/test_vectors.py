@@ -58,6 +58,12 @@ def test_odd_vectors(spark):
     assert found(spark, []) == []
 
 
+def test_a_repeated_id_counts_by_its_vectors_and_labels(spark):
+    one = [1.0, 0.0]
+    rows = [(5, one, 1), (5, one, 2), (8, one, 1), (9, [1.0, 0.001], 1), (5, [0.0, 1.0], 1), (7, one, 3), (8, [0.0, 2.0], 1)]
+    assert found(spark, rows) == sorted([(5, 2, 5), (5, 0, 5), (8, 2, 5), (9, 2, 5), (5, 1, 5), (7, 0, 7), (8, 1, 5)])
+
+
 def test_lookups_and_probes_lose_nothing():
     draw = np.random.default_rng(3)
     x = draw.normal(size=(600, 12))
