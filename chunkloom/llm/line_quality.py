@@ -165,10 +165,11 @@ def frequent_lines(texts: DataFrame, limits: LineLimits) -> tuple[DataFrame, Dat
     """From ``measured`` rows with ``row_id`` and ``host``: their lines as rows (row_id, line_key, line,
     words), and the keys of lines above the limits with the number of their documents.
 
+    Documents are told apart by their sets of lines, those of a line and those of its host, so copies count once.
     Distinct documents are counted in two steps, by (line, document) and then by line from partial
     counts, so that a line found everywhere is no single task.
     """
-    hosts = texts.groupBy("host").agg(F.count("*").alias("host_docs"))
+    hosts = texts.select("host", "line_set").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     rows = join_groups(texts.select("row_id", "host", "line_set", "lines", "line_words"), hosts, "host", "row_id").select(
         "row_id",
         "host",
@@ -210,13 +211,13 @@ def line_quality(
     repeat count as documents of one text. Columns of ``docs`` named like an added one are
     replaced. An empty table gives no rows.
     """
-    own = {*MEASURES.names, "row_id", "host", "removed_words", "removed_lines", "base_failed", "kept"}
+    own = {*MEASURES.names[:5], "removed_words", "removed_lines", "base_failed", "kept"}
     kept = [name for name in (docs.columns if keep is None else keep) if name not in own]
+    other = [name for name in kept if name != text]  # behind one column, so that no name of theirs meets one of ours
     hosts = F.coalesce(F.col(host).cast("string"), F.lit("\u0000")).alias("host")
-    base = docs.select(*kept, *([] if text in kept else [text]), hosts)
-    texts = materialize(
-        measured(base, text, [*kept, "host"]).withColumn("row_id", F.monotonically_increasing_id()), "measured"
-    )
+    base = docs.select(F.struct(F.lit(0).alias(""), *other).alias("doc"), F.col(text).alias("text"), hosts)
+    carried = ["doc", "host", *(["text"] if text in kept else [])]
+    texts = materialize(measured(base, "text", carried).withColumn("row_id", F.monotonically_increasing_id()), "measured")
     lines, hot = frequent_lines(texts, limits)
     removed = (
         lines.join(hot, "line_key")
@@ -233,8 +234,11 @@ def line_quality(
         .withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<long>")))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & ~depleted)
-        .drop("row_id")
-    )
+        .select(
+            *(F.col("text").alias(c) if c == text else F.col("doc")[c].alias(c) for c in kept),
+            *MEASURES.names[:5], "removed_words", "removed_lines", "base_failed", "kept",
+        )
+    )
 
 
 def without_lines(docs: DataFrame, text: str = "text", lines: str = "removed_lines") -> DataFrame:

@@ -72,12 +72,27 @@ def test_lines_that_are_repeated_together(spark):
     limits = LineLimits(min_docs=20, share=0.01)
     sets = {frozenset(x.lower().split("\n")) for x in texts}
     count = Counter(line for lines in sets for line in lines)
-    hot = {line for line, n in count.items() if n >= limits.min_docs and n > limits.share * len(texts)}
+    hot = {line for line, n in count.items() if n >= limits.min_docs and n > limits.share * len(sets)}
     assert len(hot) == 9
     for r in line_quality(frame, limits).collect():
         assert r.removed_words == sum(len(x.split()) for x in set(r.text.lower().split("\n")) & hot), r.doc_id
 
 
+def test_copies_do_not_thin_out_a_host(spark):
+    """40 of 41 different documents share a line; thousands of copies of the last do not hide it."""
+    line = " ".join(f"Menu{k}" for k in range(6))
+    rows = [(k, f"{line}\n{body(k)}", "a") for k in range(40)] + [(100 + k, body(100), "a") for k in range(5000)]
+    got = line_quality(spark.createDataFrame(rows, "doc_id int, text string, source string").repartition(4)).where("removed_words = 6")
+    assert sorted(r.doc_id for r in got.collect()) == list(range(40))
+
+
+def test_columns_of_the_caller_stay(spark):
+    names = ["host", "lines", "row_id", "line_set", "line_words", "doc"]
+    schema = "text string, source string, " + ", ".join(f"{n} int" for n in names)
+    row = line_quality(spark.createDataFrame([("a b", "s", *range(6))], schema)).first()
+    assert [row[n] for n in names] == list(range(6)) and row.text == "a b" and row.n_words == 2
+
+
 def test_no_rows_and_clashing_names(spark):
     assert line_quality(spark.createDataFrame([], "doc_id int, text string, source string")).count() == 0
     frame = spark.createDataFrame([(1, "a b", "s", 3, 4)], "doc_id int, text string, source string, n_words int, line int")
