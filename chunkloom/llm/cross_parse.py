@@ -195,7 +195,9 @@ def learned(labelled: DataFrame, p: ParseParams = ParseParams(), text: str = "te
     samples: dict[str, list[np.ndarray]] = {}
     for row in sorted(cut.dropDuplicates(["lang", "unit"]).collect()):
         samples.setdefault(row["lang"], []).append(np.frombuffer(row["cut"], "<u4"))
-    return Languages({k: np.concatenate(v)[: p.letters].astype(np.uint32) for k, v in samples.items()})
+    # Every drawn text has its share of the letters, in windows over the whole text.
+    shares = {k: [spread(x, max(1, p.letters // len(v)), p.windows) for x in v] for k, v in samples.items()}
+    return Languages({k: np.concatenate(v)[: p.letters].astype(np.uint32) for k, v in shares.items()})
 
 
 ADDED = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
