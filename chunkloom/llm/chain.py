@@ -158,32 +158,27 @@ class Chain:
         return chain
 
 
-def trained(labelled: DataFrame, categories: Sequence[str], p: ChainParams = ChainParams(), text: str = "text") -> Chain:
-    """A chain from rows with a text and a 0/1 (or null) column per category.
+def trained(docs: DataFrame, labels: DataFrame, categories: Sequence[str], p: ChainParams = ChainParams(), text: str = "text", on: str = "doc_id") -> Chain:
+    """A chain from texts and a table of labels: the column ``on`` and a 0/1 (or null) column per category.
 
-    The sample is the ``p.sample`` different texts with the smallest hashes, or all; only it reaches the driver.
-    A text with copies counts once, with the mean of their labels. Folds go by the same hash. Without rows
-    every chance is one half.
+    The sample is the ``p.sample`` different texts with the smallest hashes, or all; only it reaches the driver. Labels
+    meet hashes of texts; the texts drawn are then picked from ``docs`` by a list of at most that many hashes. A
+    text with copies counts once, with the mean of their labels. Folds go by the same hash. Without rows every
+    chance is one half.
     """
     some = F.lit(False)
     for name in categories:
         some = some | F.col(name).isNotNull()
-    rows = labelled.where(F.col(text).isNotNull() & some)
-    rows = rows.select(
-        F.xxhash64(text).alias("unit"), F.col(text).alias("text"), *(F.col(c).cast("double").alias(f"y{k}") for k, c in enumerate(categories))
-    )
+    marks = labels.where(some).select(F.col(on).alias("of"), *(F.col(c).cast("double").alias(f"y{k}") for k, c in enumerate(categories)))
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(on).alias("of"), F.xxhash64(text).alias("unit"), F.col(text).alias("text"))
     means = [F.avg(f"y{k}").alias(f"y{k}") for k in range(len(categories))]
-    drawn = rows.groupBy("unit").agg(*means).orderBy("unit").limit(p.sample).toArrow()
-    if drawn.num_rows:
-        # The limit is exact, and a smaller hash is always in it: texts are picked by the largest hash drawn.
-        last = max(drawn.column("unit").to_pylist())
-        texts = rows.where(F.col("unit") <= F.lit(last)).select("unit", "text").dropDuplicates(["unit"])
-    else:
-        texts = rows.select("unit", "text").limit(0)
-    table = drawn.join(texts.toArrow(), "unit").sort_by("unit")
-    labels = {c: table.column(f"y{k}").to_numpy().astype(float) for k, c in enumerate(categories)}
+    drawn = texts.select("of", "unit").join(marks, "of").groupBy("unit").agg(*means).orderBy("unit").limit(p.sample).toArrow()
+    units = F.broadcast(docs.sparkSession.createDataFrame(drawn.select(["unit"])))  # p.sample numbers at most
+    whole = texts.join(units, "unit", "left_semi").groupBy("unit").agg(F.first("text").alias("text"))
+    table = drawn.join(whole.toArrow(), "unit").sort_by("unit")
+    found = {c: table.column(f"y{k}").to_numpy().astype(float) for k, c in enumerate(categories)}
     fold = np.mod(table.column("unit").to_numpy(), p.folds)
-    return Chain.fitted(table.column("text").combine_chunks(), labels, fold, p)
+    return Chain.fitted(table.column("text").combine_chunks(), found, fold, p)
 
 
 def chain_scores(docs: DataFrame, chain: Chain, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:

@@ -77,9 +77,8 @@ def op8_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = ChainParams()
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    marks = labels.select(F.col("doc_id").alias("labelled"), (1 - F.col("quality")).alias("low_quality"), "toxic")
-    labelled = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("labelled"))
-    chain = trained(labelled, ["low_quality", "toxic"], p)
+    marks = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    chain = trained(docs, marks, ["low_quality", "toxic"], p)
     return chain_scores(docs, chain, keep=["doc_id"]).withColumn("toxic", F.col("p_toxic") > p.threshold)
 
 

@@ -15,7 +15,7 @@ def test_held_out_toxicity(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", (1 - F.col("quality")).alias("low"), "toxic")
     rows = docs.join(labels, "doc_id").withColumn("held", F.pmod(F.xxhash64("text", F.lit(9)), F.lit(4)) == 0)
-    chain = trained(rows.where("not held"), ["low", "toxic"])
+    chain = trained(rows.where("not held"), rows, ["low", "toxic"])
     got = chain_scores(rows.where("held").select("doc_id", "text", "toxic"), chain).collect()
     truth, said = np.array([r.toxic == 1 for r in got]), np.array([r.p_toxic >= 0.5 for r in got])
     assert truth.sum() > 60
@@ -56,11 +56,12 @@ def test_unknown_labels_are_left_out():
 
 def test_odd_rows(spark):
     schema = "doc_id int, text string, toxic int, p_toxic string"
-    none = trained(spark.createDataFrame([], schema), ["toxic"])
+    empty = spark.createDataFrame([], schema)
+    none = trained(empty, empty, ["toxic"])
     rows = [(1, None, 1, "x"), (2, "", None, "y"), (3, "word " * 50_000, 0, "z"), (3, "word", 0, "z")]
     frame = spark.createDataFrame(rows, schema)
     assert {r.p_toxic for r in chain_scores(frame, none).collect()} == {0.5}
-    one = trained(frame, ["toxic"])
+    one = trained(frame, frame, ["toxic"])
     assert len(chain_scores(frame, one).collect()) == 4
     assert chain_scores(frame.where("false"), one).count() == 0
 
@@ -68,22 +69,26 @@ def test_odd_rows(spark):
 def test_the_sample_holds_different_texts(spark, monkeypatch):
     """A group of copies is one text with the mean of its labels; the limit is exact."""
     rows = [("copied text", k % 2, 1) for k in range(300)] + [(f"text {k}", k % 2, None) for k in range(100)]
-    frame = spark.createDataFrame(rows, "text string, low int, toxic int").repartition(4)
+    rows = [(k, *row) for k, row in enumerate(rows)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, low int, toxic int").repartition(4)
+    more = spark.createDataFrame([(5000 + k, f"unlabelled {k}") for k in range(50)], "doc_id long, text string")
+    docs = frame.select("doc_id", "text").unionAll(more)
     seen = {}
 
     def fitted(texts, labels, fold, p):
         seen.update(texts=texts.to_pylist(), labels=labels)
 
     monkeypatch.setattr(Chain, "fitted", fitted)
-    trained(frame, ["low", "toxic"], ChainParams(sample=40))
+    trained(docs, frame, ["low", "toxic"], ChainParams(sample=40))
     assert len(seen["texts"]) == len(set(seen["texts"])) == 40
-    trained(frame, ["low", "toxic"], ChainParams(sample=1000))
+    trained(docs, frame, ["low", "toxic"], ChainParams(sample=1000))
     at = seen["texts"].index("copied text")
     assert len(seen["texts"]) == 101 and seen["labels"]["low"][at] == 0.5 and seen["labels"]["toxic"][at] == 1
     assert np.isnan(seen["labels"]["toxic"]).sum() == 100
 
 
 def test_nothing_is_toxic_without_a_fitted_model(spark, monkeypatch):
-    none = trained(spark.createDataFrame([], "text string, low_quality int, toxic int"), ["low_quality", "toxic"])
+    empty = spark.createDataFrame([], "doc_id long, text string, low_quality int, toxic int")
+    none = trained(empty, empty, ["low_quality", "toxic"])
     monkeypatch.setattr(queries, "trained", lambda *_: none)
     assert queries.op9_classifier_chain(spark, "/root/testdata/sf0.001").where("toxic").count() == 0
