@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chunkloom.llm.text import blocks, mix, powers, prefix_hashes, span_hashes
-from chunkloom.session import materialize, release
+from chunkloom.session import materialize
 
 GRAM = 16
 #: Bytes of text per bucket of anchors and per part of texts; pieces held before they are packed.
-SHARE = 8 << 20
+SHARE = 6 << 20
 HELD = 1 << 20
 LAST = np.int64(2**63 - 1)
 
@@ -395,8 +395,7 @@ def without_repeats(
 
     scanned = rows.select("uid", "rank", "text").mapInArrow(scan, "bucket int, load binary")
     found = materialize(scanned.groupBy("bucket").applyInArrow(lambda t: _settle(t, n, width), FOUND), "found")
-    del scanned  # with it go the files of the largest shuffle
-    release(docs.sparkSession)
+
     parted = rows.select("doc", "text", "uid", F.pmod("uid", F.lit(n)).cast("int").alias("part"))
     asked = found.where("asked is not null").select("part", "bucket", "asked")
     fetched = (
