@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 
 # Regex syntax that only one of the two dialects (Java, RE2-like) accepts or that
 # they read differently. Patterns that use it are refused when they are loaded.
-_DIALECT_ONLY = re.compile(r"\\[ZGRXkQE]|\(\?<?[=!]|\(\?>|[*+?}]\+|\\[1-9]")
+_DIALECT_ONLY = re.compile(r"\\[ZGRXkQE]|\(\?<?[=!]|\(\?>|\(\?P|\[\[:|[*+?}]\+|\\[1-9]")
 
 
 def check_regex(pattern: str) -> str:
     """Return ``pattern`` if it is a regex of the common dialect, else raise ``ValueError``."""
+    # classes of letters and the end of the text are written otherwise in Python, and mean the same
+    plain = re.sub(r"\\[pP](?:\{\w+\}|[A-Z])", r"\\w", pattern).replace(r"\z", "$")
+    if _DIALECT_ONLY.search(plain):
+        raise ValueError(f"regex {pattern!r} uses look-around, back-references, possessive quantifiers or names that only one dialect has")
     try:
-        re.compile(pattern)
+        re.compile(plain)
     except re.error as err:
         raise ValueError(f"bad regex {pattern!r}: {err}") from err
-    if _DIALECT_ONLY.search(pattern):
-        raise ValueError(f"regex {pattern!r} uses look-around, back-references or possessive quantifiers")
     return pattern
 
 

@@ -664,6 +664,16 @@ ORACLE_SQL: dict[str, str] = {
         f"""SELECT id, path, start_line, end_line, {_vector_text("vec")} AS vector FROM ({_LIVE})
         JOIN means ON owner = 'c' || id""",
     ),
+    "rule_match_many": _with(
+        "coded",
+        """SELECT r.doc_id * 2 AS rule_pos, symbol_id FROM coded c JOIN (
+            SELECT doc_id, lang, regexp_extract_all(text, '[A-Za-z]{3,}') AS ws FROM documents) r
+            ON r.lang = c.lang AND starts_with(c.name, ws[1][:5]) WHERE len(ws) > 1 AND kind IN ('Struct', 'Enum')
+        UNION ALL SELECT r.doc_id * 2 + 1, symbol_id FROM coded c JOIN (
+            SELECT doc_id, source, regexp_extract_all(text, '[A-Za-z]{3,}') AS ws FROM documents) r
+            ON r.source = split_part(c.path, '/', 2) AND (contains(c.code, ws[2] || '.') OR contains(c.code, ws[2] || ','))
+        WHERE len(ws) > 1""",
+    ),
     "fuzzy_postings": _with(
         "symbols",
         """SELECT mode, pattern, rank, score, symbol_id, name FROM (

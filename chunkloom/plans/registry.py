@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.config import ChunkParams, PlacerParams, SearchParams
 from chunkloom.functions import kinds, patterns, paths, text
-from chunkloom.operators import chunking, embedding, name_index, names, placement, references, render, rules, store, symbols, vector_join, vectors
+from chunkloom.operators import chunking, embedding, name_index, names, placement, references, render, rule_index, rules, store, symbols, vector_join, vectors
 from chunkloom.operators.lines import numbered_lines
 from chunkloom.plans import place, search
 from chunkloom.plans import tables as t
@@ -551,6 +551,14 @@ def place_symbols(spark, sf_dir):
     return placement.place_symbols(wanted, t.links(spark, sf_dir)).select("symbol_id", "kind", "path", "place_to")
 
 
+@query
+def rule_match_many(spark, sf_dir):
+    """Two rules per document, as a table, against all symbols."""
+    compiled = materialize(rule_index.compile_rules(t.document_rules(spark, sf_dir)), "rules")
+    coded = symbols.attach_code(t.symbols(spark, sf_dir), t.docs(spark, sf_dir))
+    return rule_index.match_many(materialize(coded, "coded"), compiled)
+
+
 # References from text
 
 

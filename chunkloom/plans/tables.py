@@ -49,6 +49,25 @@ RULES = Ruleset(
 )
 
 
+def document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rules of each document: names that begin like its first word, or code that has its second word before a
+    mark, in files of its language or source."""
+    words = F.regexp_extract_all("text", F.lit("([A-Za-z]{3,})"), F.lit(1))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", words.alias("words")).where(F.size("words") > 1)
+    first, second = F.get("words", F.lit(0)), F.get("words", F.lit(1))
+    one = F.struct(
+        (F.col("doc_id") * 2).alias("rule_pos"), F.array(F.lit("^Struct$"), F.lit("Enum")).alias("kind"),
+        F.array(F.concat(F.lit("^"), F.substring(first, 1, 5))).alias("name"),
+        F.array(F.concat(F.lit("**/"), "lang", F.lit("/*.txt"))).alias("path"), F.array(F.lit(".*")).alias("code"),
+    )
+    two = F.struct(
+        (F.col("doc_id") * 2 + 1).alias("rule_pos"), F.array(F.lit(".*")).alias("kind"), F.array(F.lit(".")).alias("name"),
+        F.array(F.concat(F.lit("/"), "source", F.lit("/**"))).alias("path"),
+        F.array(F.concat(second, F.lit("[.,]"))).alias("code"),
+    )
+    return rows.select(F.explode(F.array(one, two)).alias("rule")).select("rule.*")
+
+
 PAGE_RULES = Ruleset(
     depends_on=(
         Rule(
