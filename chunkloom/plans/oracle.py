@@ -179,6 +179,15 @@ _VIEWS = {
         ("lines", "symbols"),
     ),
     "scan_uses": ("SELECT symbol_id, path, count(*)::BIGINT AS uses FROM refs GROUP BY symbol_id, path", ("refs",)),
+    "arrived": (
+        """SELECT *, ts < (SELECT max(f.ts) FROM turned f WHERE f.turn < t.turn) - INTERVAL 10 MINUTE AS late FROM turned t""",
+        ("turned",),
+    ),
+    "turned": (
+        """SELECT *, least(event_id * 4 // (max(event_id) OVER () + 1) + CASE WHEN event_id % 50 = 7 THEN 1 ELSE 0 END, 3) AS turn
+        FROM feed""",
+        ("feed",),
+    ),
     "bursts": (
         """SELECT path, min(ts) AS first_ts, max(ts) AS last_ts, count(*)::BIGINT AS events,
                arg_max(kind, (ts, event_id)) AS kind
@@ -692,6 +701,28 @@ ORACLE_SQL: dict[str, str] = {
     "placer_json": _SCAN_PLACES.replace(
         "{columns}", "'places' AS list, json_object('symbol_id', symbol_id, 'name', name, 'place_to', place_to)::VARCHAR AS json"
     ),
+    "incremental_debounced": _with(
+        "chunks arrived",
+        """SELECT c.* EXCLUDE (text) FROM chunks c LEFT JOIN (
+            SELECT path, arg_max(kind, (ts, event_id)) AS kind FROM arrived
+            WHERE kind IN ('create', 'modify', 'remove') AND NOT coalesce(late, FALSE) GROUP BY path) a USING (path)
+        WHERE a.kind IS NULL OR a.kind <> 'remove'""",
+    ),
+    "late_events": _with(
+        "arrived",
+        f"""SELECT event_id, path, kind, {_stamp("ts")} AS ts, turn AS batch_id FROM arrived
+        WHERE late AND kind IN ('create', 'modify', 'remove')""",
+    ),
+    "path_state_ttl": _with(
+        "accepted",
+        """SELECT path, arg_max(kind, (ts, event_id)) <> 'remove' AS present, arg_max(kind, (ts, event_id)) AS last_kind,
+               count(*) FILTER (run = last_run) AS changes
+        FROM (SELECT *, max(run) OVER (PARTITION BY path) AS last_run FROM (
+            SELECT *, sum(ended) OVER (PARTITION BY path ORDER BY ts, event_id) AS run FROM (
+                SELECT *, CASE WHEN lag(kind) OVER o = 'remove' OR ts - lag(ts) OVER o > INTERVAL 3 DAY THEN 1 ELSE 0 END AS ended
+                FROM accepted WINDOW o AS (PARTITION BY path ORDER BY ts, event_id))))
+        GROUP BY path""",
+    ),
     "code_reuse_search": _with("request", "SELECT list, path, symbol_id, name, start_line FROM request"),
     "search_stored": _with("request", "SELECT list, path, symbol_id, name, start_line FROM request"),
     "search_after_changes": _after_changes(

@@ -15,7 +15,7 @@ from chunkloom.plans import place, search
 from chunkloom.plans import tables as t
 from chunkloom.session import materialize, scratch
 from chunkloom.sources.documents import TableDocuments
-from chunkloom.streaming import changes, maintain
+from chunkloom.streaming import bursts, changes, maintain
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -693,6 +693,54 @@ def incremental_chunks(spark, sf_dir):
     return table.live().select("id", "path", "start_line", "end_line", vector_text(F.col("embedding")).alias("vector"))
 
 
+def _arriving(spark, sf_dir) -> DataFrame:
+    """The feed in four files, one per micro-batch, every fiftieth event one file late; a heartbeat ends it."""
+    feed = materialize(_events(spark, sf_dir).select("event_id", "path", "kind", "ts"), "feed")
+    last = feed.agg(F.max("event_id").alias("id"), F.max("ts").alias("ts")).first()
+    turn = F.least(F.floor(F.col("event_id") * 4 / (last.id + 1)) + (F.col("event_id") % 50 == 7).cast("int"), F.lit(3))
+    beat = spark.range(1).select(
+        F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("kind"),
+        (F.lit(last.ts) + F.expr("interval 1 day")).alias("ts"),
+    )
+    folder = scratch(spark, "arriving")
+    for k in range(4):
+        feed.where(turn == k).coalesce(1).write.mode("append").parquet(folder)
+    beat.write.mode("append").parquet(folder)
+    return changes.read_feed(spark, folder, feed.schema, files_per_trigger=1)
+
+
+@query
+def incremental_debounced(spark, sf_dir):
+    """The table kept up by bursts that have ended, across micro-batches, late events left out."""
+    docs = t.docs(spark, sf_dir).select("path", "lines")
+    table = store.ChunkStore(spark, scratch(spark, "table"), t.EMBEDDER.dims).open()
+    table.commit_base(maintain.index_documents(store.clustered_documents(docs), t.PARAMS, t.EMBEDDER))
+    maintain.follow_bursts(
+        _arriving(spark, sf_dir), table, TableDocuments(docs), t.PARAMS, t.EMBEDDER, scratch(spark, "bursts-checkpoint"), "1 hour"
+    )
+    return table.live().select("id", "path", "start_line", "end_line")
+
+
+@query
+def late_events(spark, sf_dir):
+    """The events that came after their time, by micro-batch."""
+    folder = scratch(spark, "bursts")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        bursts.Bursts(spark, folder, "1 hour").step(batch, batch_id)
+
+    stream = _arriving(spark, sf_dir).writeStream.option("checkpointLocation", scratch(spark, "late-checkpoint"))
+    stream.trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+    return bursts.Bursts(spark, folder, "1 hour").late().select("event_id", "path", "kind", stamp(F.col("ts")).alias("ts"), "batch_id")
+
+
+@query
+def path_state_ttl(spark, sf_dir):
+    """Keyed state that forgets removed paths, and silent ones after three days."""
+    state = changes.path_state_ttl(changes.accept(_event_stream(spark, sf_dir)), "3 days")
+    return changes.newest(spark, _drained(spark, state, "ttl", "update"), "path")
+
+
 # Whole requests
 
 

@@ -155,6 +155,50 @@ def path_state(events: DataFrame) -> DataFrame:
     )
 
 
+def path_state_ttl(events: DataFrame, ttl: str, late: str = LATE) -> DataFrame:
+    """Streaming keyed state that forgets: ``path, present, last_kind, changes`` after each micro-batch that touches a path.
+
+    ``changes`` counts the events since the path was last removed, or silent for longer than ``ttl``. A removed path
+    leaves the state at once, a silent one when the watermark passes its last event by ``ttl``, so that the
+    state holds the paths that live. Use update mode.
+    """
+    import pandas as pd
+
+    span = pd.Timedelta(ttl)
+
+    def advance(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(batches).sort_values(["ts", "event_id"])
+        count, last = state.get if state.exists else (0, None)
+        last = None if last is None else pd.Timestamp(last, unit="us")
+        # a run of events ends with a removal and after a long silence
+        silent = rows["ts"].diff() > span
+        if last is not None:
+            silent.iloc[0] = rows["ts"].iloc[0] - last > span
+        ended = silent | (rows["kind"].shift() == "remove")
+        starts = ended.to_numpy().nonzero()[0]
+        count = len(rows) - starts[-1] if len(starts) else count + len(rows)
+        kind, ts = rows["kind"].iloc[-1], rows["ts"].iloc[-1]
+        if kind == "remove":
+            if state.exists:
+                state.remove()
+        else:
+            state.update((int(count), ts.value // 1000))
+            state.setTimeoutTimestamp(max(int((ts + span).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"path": [key[0]], "present": [kind != "remove"], "last_kind": [kind], "changes": [int(count)]})
+
+    return (
+        events.select("event_id", "path", "kind", "ts")
+        .withWatermark("ts", late)
+        .groupBy("path")
+        .applyInPandasWithState(
+            advance, "path string, present boolean, last_kind string, changes long", "changes long, last_us long", "update", "EventTimeTimeout"
+        )
+    )
+
+
 def drain(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> None:
     """Run a stream over what has arrived and write it below ``folder``.
 

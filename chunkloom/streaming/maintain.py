@@ -15,7 +15,8 @@ from chunkloom.operators.corpus_store import CorpusStore
 from chunkloom.operators.store import REMOVE, UPSERT, ChunkStore, expand_folders
 from chunkloom.session import materialize
 from chunkloom.sources.documents import Documents
-from chunkloom.streaming.changes import accept, action, latest
+from chunkloom.streaming.bursts import Bursts
+from chunkloom.streaming.changes import LATE, accept, action, latest
 
 
 def index_documents(docs: DataFrame, params: ChunkParams, embedder: Embedder, policy: str = "mean") -> DataFrame:
@@ -85,3 +86,30 @@ def follow(
         .start()
     )
     query.awaitTermination()
+
+
+def follow_bursts(
+    events: DataFrame,
+    store: ChunkStore | CorpusStore,
+    docs: Documents,
+    params: ChunkParams,
+    embedder: Embedder,
+    checkpoint: str,
+    gap: str,
+    delay: str = LATE,
+    policy: str = "mean",
+    globs: Sequence[str] = (),
+) -> Bursts:
+    """``follow`` with debouncing in front: a file is indexed when its burst of changes is over, once, by its last event.
+    Bursts go on across micro-batches and restarts; late events are kept aside. Returns the state with them."""
+    bursts = Bursts(store.spark, f"{checkpoint}/bursts", gap, delay)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        named = store.spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+        closed = bursts.step(batch, batch_id)
+        ended = closed.select(F.lit(0).cast("long").alias("event_id"), "path", "kind", F.col("last_ts").alias("ts"))
+        apply_changes(store, ended, docs, params, embedder, policy, globs, named, batch_id)
+
+    query = events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
+    query.awaitTermination()
+    return bursts
