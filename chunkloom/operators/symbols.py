@@ -12,7 +12,7 @@ from chunkloom.functions.kinds import kind_name
 from chunkloom.functions.patterns import any_regex
 from chunkloom.functions.paths import uri_to_path
 from chunkloom.functions.text import hover_text
-from chunkloom.operators.segments import carried, line_segment, number_rows
+from chunkloom.operators.segments import SEGMENT_LINES, carried, line_segment, number_rows
 
 
 def extract_symbols(docs: DataFrame, patterns: Sequence[tuple[Column | str, str]]) -> DataFrame:
@@ -239,6 +239,47 @@ def attach_code(symbols: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+def line_segments(lines: DataFrame) -> DataFrame:
+    """``path, segment, lines`` from rows ``path, line_no, line``: documents of any length as rows of up to
+    ``SEGMENT_LINES`` lines, for files that are too long for one row. Line numbers of a file have no gaps."""
+    numbered = lines.select("path", F.col("line_no").cast("long").alias("line_no"), "line")
+    listed = numbered.groupBy("path", line_segment(F.col("line_no")).alias("segment")).agg(F.collect_list(F.struct("line_no", "line")).alias("l"))
+    return listed.select("path", "segment", F.transform(F.array_sort("l"), lambda x: x["line"]).alias("lines"))
+
+
+def attach_code_segments(symbols: DataFrame, segments: DataFrame) -> DataFrame:
+    """``attach_code`` over ``line_segments``: the same columns, and no row holds a whole file.
+
+    A symbol meets the segments that its lines reach into by an equi-join, each gives its part of the code and its first
+    line with the name, and the least of these is the name's. ``symbol_id`` is unique.
+    """
+    first, last = line_segment(F.col("start_line")), line_segment(F.greatest("start_line", "end_line"))
+    asked = symbols.select("symbol_id", "path", "name", "start_line", "end_line", F.explode(F.sequence(first, last)).alias("segment"))
+    met = asked.join(segments.select("path", "segment", "lines"), ["path", "segment"])
+    base = F.col("segment") * SEGMENT_LINES
+    begin = F.greatest(F.col("start_line") - base, F.lit(0))
+    height = F.greatest(F.least(F.col("end_line") - base + 1, F.size("lines")) - begin, F.lit(0))
+    body = F.slice("lines", begin.cast("int") + 1, height.cast("int"))
+    met = met.select("symbol_id", "name", "segment", (base + begin).alias("from"), body.alias("body"))
+    holds = F.filter(
+        F.transform("body", lambda line, i: F.struct((F.col("from") + i).alias("line"), F.position(F.col("name"), line).alias("at"))),
+        lambda hit: (hit["at"] > 0) & (F.length("name") > 0),
+    )
+    part = F.when(F.size("body") > 0, F.struct("segment", F.array_join("body", "\n").alias("text")))
+    found = met.groupBy("symbol_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["text"]), "\n").alias("code"),
+        F.min(F.get(holds, F.lit(0))).alias("spot"),
+    )
+    keep = [c for c in symbols.columns if c not in ("code", "name_line", "name_character")]
+    have = {"name_line", "name_character"} <= set(symbols.columns)
+    joined = symbols.join(found.withColumnRenamed("code", "__code"), "symbol_id", "left")
+    line, char = F.col("spot.line"), (F.col("spot.at") + F.length("name") - 2).cast("long")
+    if have:
+        known = F.col("name_line").isNotNull()
+        line, char = F.when(known, F.col("name_line")).otherwise(line), F.when(known, F.col("name_character")).otherwise(char)
+    return joined.select(*keep, F.col("__code").alias("code"), line.alias("name_line"), char.alias("name_character"))
+
+
 def attach_hover(symbols: DataFrame, hovers: DataFrame) -> DataFrame:
     """Add ``hover`` by the place of the symbol's name; symbols without one keep a null.
 

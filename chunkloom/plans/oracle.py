@@ -673,6 +673,16 @@ ORACLE_SQL: dict[str, str] = {
         f"""SELECT id, path, start_line, end_line, {_vector_text("vec")} AS vector FROM ({_LIVE})
         JOIN means ON owner = 'c' || id""",
     ),
+    "rules_from_file": _with("coded", f"SELECT rule_pos, symbol_id FROM ({_RULE_MATCHES})"),
+    "symbol_code_segments": _with(
+        "coded",
+        """SELECT symbol_id, path, code, start_line AS name_line, length(name)::BIGINT - 1 AS name_character FROM coded""",
+    ),
+    "snapshot_then_follow": _with(
+        "chunks means accepted",
+        f"""SELECT id, path, start_line, end_line, {_vector_text("vec")} AS vector FROM ({_LIVE})
+        JOIN means ON owner = 'c' || id""",
+    ),
     "rule_match_many": _with(
         "coded",
         """SELECT r.doc_id * 2 AS rule_pos, symbol_id FROM coded c JOIN (

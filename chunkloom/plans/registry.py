@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from chunkloom.plans import place, search
 from chunkloom.plans import tables as t
 from chunkloom.session import materialize, scratch
 from chunkloom.sources.documents import TableDocuments
+from chunkloom.sources.rules import load_rules
 from chunkloom.streaming import bursts, changes, maintain
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -378,6 +381,14 @@ def symbol_code(spark, sf_dir):
     return symbols.attach_code(t.symbols(spark, sf_dir), t.docs(spark, sf_dir)).select("symbol_id", "path", "code")
 
 
+@query
+def symbol_code_segments(spark, sf_dir):
+    """The same from segments of files, none of which is a single row."""
+    segments = symbols.line_segments(t.lines(spark, sf_dir))
+    rows = symbols.attach_code_segments(t.symbols(spark, sf_dir), segments)
+    return rows.select("symbol_id", "path", "code", "name_line", "name_character")
+
+
 @query
 def symbol_name_pos(spark, sf_dir):
     rows = symbols.attach_code(t.symbols(spark, sf_dir), t.docs(spark, sf_dir))
@@ -551,6 +562,19 @@ def place_symbols(spark, sf_dir):
     return placement.place_symbols(wanted, t.links(spark, sf_dir)).select("symbol_id", "kind", "path", "place_to")
 
 
+@query
+def rules_from_file(spark, sf_dir):
+    """Rules read from a rule file at the request, and the symbols they match."""
+    import yaml
+
+    parts = ("kind", "name", "path", "code", "rules")
+    rules_ = [{p: list(getattr(rule, p)) for p in parts} for rule in t.RULES.depends_on]
+    file = Path(tempfile.mkdtemp(prefix="chunkloom-")) / "rules.yml"  # read where it is written, by the driver
+    file.write_text(yaml.safe_dump({"common": list(t.RULES.common), "depends_on": rules_}, allow_unicode=True), encoding="utf-8")
+    coded = symbols.attach_code(t.symbols(spark, sf_dir), t.docs(spark, sf_dir))
+    return longs(rules.match_rules(coded, load_rules(file)), "rule_pos").select("rule_pos", "symbol_id")
+
+
 @query
 def rule_match_many(spark, sf_dir):
     """Two rules per document, as a table, against all symbols."""
@@ -709,6 +733,18 @@ def _arriving(spark, sf_dir) -> DataFrame:
     return changes.read_feed(spark, folder, feed.schema, files_per_trigger=1)
 
 
+@query
+def snapshot_then_follow(spark, sf_dir):
+    """The table made and kept by one stream: the files that are there, then the change feed."""
+    docs = t.docs(spark, sf_dir).select("path", "lines")
+    shape = t.table(spark, sf_dir, "documents").schema
+    known = changes.read_feed(spark, sf_dir, shape, pattern="documents.parquet").select(t.doc_path().alias("path"))
+    stream = changes.snapshot_then_feed(known, _event_stream(spark, sf_dir), F.to_timestamp(F.lit("1970-01-01")))
+    table = store.ChunkStore(spark, scratch(spark, "table"), t.EMBEDDER.dims).open()
+    maintain.follow(stream, table, TableDocuments(docs), t.PARAMS, t.EMBEDDER, scratch(spark, "snapshot-checkpoint"))
+    return table.live().select("id", "path", "start_line", "end_line", vector_text(F.col("embedding")).alias("vector"))
+
+
 @query
 def incremental_debounced(spark, sf_dir):
     """The table kept up by bursts that have ended, across micro-batches, late events left out."""

@@ -54,6 +54,16 @@ def snapshot_events(paths: DataFrame, at: Column) -> DataFrame:
     return paths.select(F.lit(-1).cast("long").alias("event_id"), "path", F.lit("create").alias("kind"), at.alias("ts"))
 
 
+def snapshot_then_feed(paths: DataFrame, feed: DataFrame, at: Column) -> DataFrame:
+    """One stream of the first scan and of the changes after it: ``paths`` (a stream of the known files) as create events
+    at the time ``at``, which no change precedes, and ``feed``. One checkpoint holds how far both were read, so that a
+    restart in the middle goes on where it stopped. The files have no limit per micro-batch, so the first one takes them
+    all; of what it takes of the feed, the later times win.
+    """
+    columns = ["event_id", "path", "kind", "ts"]
+    return snapshot_events(paths, at).select(*columns).unionByName(feed.select(*columns))
+
+
 def latest(events: DataFrame) -> DataFrame:
     """The last event per path; combined before the shuffle, so a busy path is one row per task."""
     last = F.max_by(F.struct("kind", "event_id", "ts"), F.struct("ts", "event_id")).alias("last")
