@@ -3,8 +3,9 @@
 Texts are dealt into parts of bounded size. A part lists its distinct n-grams of all orders with their
 local counts, by 64-bit hash; the lists are the map-side combine of the count tables, whose buckets are
 ranges of hashes. A bucket adds up its n-grams over all parts and sends every part the totals of
-what it listed, in the order of the list. Parts then join the totals to their exploded n-grams and sum per
-document. A word that every document uses is one entry per part, so no key is hot.
+what it listed, in the order of the list. Words and pairs are counted first; a longer n-gram can only be frequent
+if both n-grams within it are, so only those are listed in a next round. Parts then join the totals to their
+exploded n-grams and sum per document. A word that every document uses is one entry per part, so no key is hot.
 
 Scores are sums of whole millionths: ``L(x) = round(1e6 ln x)`` of counts, which makes them exact
 and independent of the order of addition.
@@ -97,17 +98,52 @@ def _keys(table: pa.Table, order: int) -> tuple[list[np.ndarray], list[np.ndarra
     return [h for h, _ in grams], [ok for _, ok in grams], words, bounds
 
 
-def _listed(table: pa.Table, order: int, buckets: int) -> pa.Table:
-    """A part's distinct n-grams with counts, a row per bucket."""
-    keys, there, _, _ = _keys(table, order)
-    distinct, counts = np.unique(np.concatenate([k[ok] for k, ok in zip(keys, there, strict=True)]), return_counts=True)
+def rounds(order: int) -> list[list[int]]:
+    """The lengths that are counted together: words and pairs first, then one length after the other."""
+    return [[1, 2][:order], *([n] for n in range(3, order + 1))]
+
+
+def _counts(answers: pa.Table, keys: list[np.ndarray], there: list[np.ndarray], p: BackoffParams, known: int) -> list[np.ndarray]:
+    """The total of the n-gram that ends at every word for the first ``known`` rounds; 0 where it has none, or is known to
+    occur too seldom because one of its parts does."""
+    count: list[np.ndarray] = []
+    for turn, sizes in enumerate(rounds(p.order)[:known]):
+        use = [_open(count, there, n, p) for n in sizes]
+        wanted = np.concatenate([keys[n - 1][ok] for n, ok in zip(sizes, use, strict=True)])
+        own = answers.filter(pa.array(answers.column("turn").to_numpy() == turn)).sort_by("bucket")
+        totals = [full(*unpack(x.as_py(), "u1", "i8")) for x in own.column("totals")]
+        where = np.unique(wanted, return_inverse=True)[1]
+        joined = np.concatenate(totals)[where] if len(where) else np.zeros(0, np.int64)
+        at = 0
+        for ok in use:
+            found = np.zeros(len(ok), np.int64)
+            found[ok] = joined[at : at + ok.sum()]
+            at += int(ok.sum())
+            count.append(found)
+    return count
+
+
+def _open(count: list[np.ndarray], there: list[np.ndarray], n: int, p: BackoffParams) -> np.ndarray:
+    """The places whose n-gram may occur ``p.least`` times: both its parts, without the last word and without the first, do."""
+    if n < 3:
+        return there[n - 1]
+    often = count[n - 2] >= p.least
+    return there[n - 1] & often & np.roll(often, 1)
+
+
+def _listed(table: pa.Table, answers: pa.Table | None, turn: int, p: BackoffParams, buckets: int) -> pa.Table:
+    """A part's distinct n-grams of a round with counts, a row per bucket."""
+    keys, there, _, _ = _keys(table, p.order)
+    count = _counts(answers, keys, there, p, turn) if turn else []
+    sizes = rounds(p.order)[turn]
+    distinct, counts = np.unique(np.concatenate([keys[n - 1][_open(count, there, n, p)] for n in sizes]), return_counts=True)
     bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # grows with the hash
     held, first = np.unique(bucket, return_index=True)
     rows = []
     for at, end in zip(first, np.append(first[1:], len(distinct))[: len(first)], strict=True):
         rows.append(pack(*delta(distinct[at:end]), *slim(counts[at:end])))
-    part = [table.column("part")[0].as_py()] * len(rows)
-    return pa.table({"bucket": pa.array(held, pa.int32()), "part": pa.array(part, pa.int32()), "listed": pa.array(rows, pa.binary())})
+    part = [table.column("part")[0].as_py()] * len(rows) if len(table) else []
+    return pa.table({"bucket": pa.array(held if len(table) else [], pa.int32()), "part": pa.array(part, pa.int32()), "listed": pa.array(rows, pa.binary())})
 
 
 def _totals(table: pa.Table) -> pa.Table:
@@ -128,17 +164,7 @@ ADDED = [T.StructField(n, T.LongType()) for n in ("n_words", "level_sum", *(f"le
 
 def _scored(texts: pa.Table, answers: pa.Table, names: list[str], p: BackoffParams) -> pa.Table:
     keys, there, words, bounds = _keys(texts, p.order)
-    answers = answers.sort_by("bucket")
-    totals = [full(*unpack(x.as_py(), "u1", "i8")) for x in answers.column("totals")]
-    where = np.unique(np.concatenate([k[ok] for k, ok in zip(keys, there, strict=True)]), return_inverse=True)[1]
-    joined = np.concatenate(totals)[where] if len(where) else np.zeros(0, np.int64)
-    del keys, where
-    count, at = [], 0
-    for ok in there:
-        found = np.zeros(len(words), np.int64)
-        found[ok] = joined[at : at + ok.sum()]
-        at += int(ok.sum())
-        count.append(found)
+    count = _counts(answers, keys, there, p, len(rounds(p.order)))
     level = np.ones(len(words), np.int64)
     for n in range(2, p.order + 1):
         level[there[n - 1] & (count[n - 1] >= p.least)] = n
@@ -175,12 +201,21 @@ def backoff_scores(
     rows = docs.select(
         F.struct(*names).alias("doc"), F.col(text).alias("text"), F.pmod(F.xxhash64(doc_id, text), F.lit(n)).cast("int").alias("part")
     )
-    listed = rows.groupBy("part").applyInArrow(lambda t: _listed(t, p.order, n), "bucket int, part int, listed binary")
-    totals = listed.groupBy("bucket").applyInArrow(_totals, "part int, bucket int, totals binary")
+    shape = "bucket int, part int, listed binary"
+    again = lambda turn: lambda texts, found: _listed(texts, found, turn, p, n)
+    answers = None
+    for turn in range(len(rounds(p.order))):
+        if answers is None:
+            listed = rows.groupBy("part").applyInArrow(lambda t: _listed(t, None, 0, p, n), shape)
+        else:
+            listed = rows.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(again(turn), shape)
+        totals = listed.groupBy("bucket").applyInArrow(_totals, "part int, bucket int, totals binary")
+        totals = materialize(totals, "totals").withColumn("turn", F.lit(turn))
+        answers = totals if answers is None else answers.unionAll(totals)
     schema = T.StructType([rows.schema["doc"], *ADDED[: p.order + 2]])
     scored = (
         rows.groupBy("part")
-        .cogroup(totals.groupBy("part"))
+        .cogroup(answers.groupBy("part"))
         .applyInArrow(lambda a, b: _scored(a, b, ["doc"], p), schema)
     )
     scored = materialize(scored, "scored")
