@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 import zipfile
@@ -88,15 +87,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that nothing holds any more.
-
-    It does so when the driver's garbage is collected, which a large heap may put off for long.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition an input that has fewer splits than the cluster has cores.
 
