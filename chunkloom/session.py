@@ -24,6 +24,8 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# Bytes of an Arrow batch for Python workers: whole texts and tiles are held a few times over while they are worked on.
+BATCH = "8m"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -101,7 +103,8 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, which need not have it installed."""
+    """Send this package to the Python workers, which need not have it installed, and bound what they get at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
