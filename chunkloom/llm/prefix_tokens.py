@@ -12,6 +12,7 @@ distinct stretch is encoded once per worker. Characters without a piece become b
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Callable, Iterator, Sequence
 
@@ -20,8 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Stretches of one generation that a worker remembers; what is beyond is computed anew.
-REMEMBERED = 150_000
+#: Stretches of one generation that a worker remembers, and their characters; what is beyond is computed anew.
+REMEMBERED, HELD = 150_000, 4_000_000
+#: Characters up to which looking at all neighbours is quicker than a heap of them.
+SHORT = 24
 
 
 class PieceTable:
@@ -63,9 +66,12 @@ class PieceTable:
         self.pairs_known = 0
         self.known: dict[str, tuple[str, int, str]] = {}
         self.old: dict[str, tuple[str, int, str]] = {}
+        self.held = 0
 
     def merged(self, text: str) -> list[str]:
         """The segmentation by merging neighbours, best score first, then leftmost."""
+        if len(text) > SHORT:
+            return self.merged_by_heap(text)
         parts, scores = list(text), self.scores
         while True:
             best, at = None, -1
@@ -77,6 +83,33 @@ class PieceTable:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def merged_by_heap(self, text: str) -> list[str]:
+        """The same for texts of any length: n log n steps, as a merge makes at most two new neighbours."""
+        parts, scores, n = list(text), self.scores, len(text)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(k: int) -> None:
+            if k >= 0 and after[k] < n:
+                pair = parts[k] + parts[after[k]]
+                if (score := scores.get(pair)) is not None:
+                    heapq.heappush(heap, (-score, k, pair))
+
+        for k in range(n):
+            offer(k)
+        while heap:
+            _, k, pair = heapq.heappop(heap)
+            # An offer is out of date once either part was merged; a merged right part is empty.
+            if not parts[k] or after[k] >= n or parts[k] + parts[after[k]] != pair:
+                continue
+            gone = after[k]
+            parts[k], parts[gone], after[k] = pair, "", after[gone]
+            if after[k] < n:
+                before[after[k]] = k
+            offer(before[k])
+            offer(k)
+        return [p for p in parts if p]
+
     def compatible(self, left: str, right: str) -> bool:
         """Whether ``left`` (nothing at a start) may stand before ``right``."""
         if self.pairs_known >= 4 * REMEMBERED:
@@ -162,9 +195,10 @@ class PieceTable:
             except KeyError:
                 ids = self.ids_of(tokens)
                 found = " ".join(map(str, ids)), len(ids), self.decode(ids, start=False)
-        if len(self.known) >= REMEMBERED:
-            self.old, self.known = self.known, {}
+        if len(self.known) >= REMEMBERED or self.held >= HELD:
+            self.old, self.known, self.held = self.known, {}, 0
         self.known[part] = found
+        self.held += len(part)
         return found
 
     def whole(self, text: str) -> tuple[str, int, str]:

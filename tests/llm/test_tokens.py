@@ -58,6 +58,33 @@ def test_prefix_table_gives_what_merging_gives(pieces):
         assert pieces.tokens(text) == pieces.merged(text)
 
 
+def test_long_runs(pieces, library):
+    for text in [*(" " * n + end for n in range(1, 200) for end in ("", "x")), " " * 100_000, "▁" * 99_999 + "\n", "a" + "  b" * 40_000]:
+        ids = library.encode(text, add_eos=True)
+        assert pieces.encode(text) == ids and pieces.whole(text)[2] == library.decode(ids), len(text)
+    draw = random.Random(6)
+    for size in (40, 500, 20_000):
+        for letters in ("▁ etaoin", "=-", "日本語🙂", "qzxj", "ab▁"):
+            text = "".join(draw.choice(letters) for _ in range(size))
+            assert pieces.encode(text) == library.encode(text, add_eos=True)
+
+
+def test_heap_merges_like_looking_at_all_neighbours(pieces, monkeypatch):
+    monkeypatch.setattr(prefix_tokens, "SHORT", 10**9)
+    draw = random.Random(8)
+    for _ in range(1500):
+        text = "".join(draw.choice("etaoinshr▁▁= 日") for _ in range(draw.randrange(0, 40)))
+        assert pieces.merged_by_heap(text) == pieces.merged(text)
+
+
+def test_memory_is_bounded_by_characters(pieces, library, monkeypatch):
+    monkeypatch.setattr(prefix_tokens, "HELD", 1000)
+    pieces.known, pieces.old, pieces.held = {}, {}, 0
+    for k in range(40):
+        same(pieces, library, f"{k}" + "ab" * 300)
+        assert sum(map(len, pieces.known)) <= 1000 + 700 and sum(map(len, pieces.old)) <= 1000 + 700
+
+
 def test_table(spark, library):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     got = {r.doc_id: r for r in encoded(rows, piece_model()).collect()}
