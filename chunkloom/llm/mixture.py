@@ -3,8 +3,10 @@
 Each source's documents, shuffled by a hash, form a stream of words that repeats ``repeats`` times
 at most and is cut into blocks of ``block`` words. The mix has a slot per block. Slot ``i`` is the
 golden-ratio point ``frac(i * g)``; laid onto the cumulative target shares it names a source, and
-its rank among that source's slots names the block. A document's words in the mix are those of its
-places in the stream that lie in such blocks.
+its rank among that source's slots names the block. The last slots are set right by the source's target: blocks
+beyond it are given back, missing ones follow, and the last block holds what remains, so that every source
+has its target to the word, however small it is. A document's words in the mix are those of its places in the
+stream that lie in such blocks.
 
 Ranks and stream offsets are sums of totals of bounded segments and a running count inside one
 segment, so that a source with a third of all rows is never one window.
@@ -13,7 +15,7 @@ segment, so that a source with a third of all rows is never one window.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -32,19 +34,12 @@ SLOTS, ROWS = 1 << 16, 20_000
 
 @dataclass(frozen=True)
 class MixParams:
-    """``weights`` repeat over the sources in code point order, null last; the mix has ``share`` of all words.
-
-    A block has ``block`` words, or fewer where that would leave under ``slots`` slots.
-    """
+    """``weights`` repeat over the sources in code point order, null last; the mix has ``share`` of all words, in blocks of ``block``."""
 
     weights: tuple[int, ...] = (5, 2, 1)
     share: float = 1.0
     repeats: int = 3
     block: int = 128
-    slots: int = 100_000
-
-    def sized(self, words: int) -> MixParams:
-        return replace(self, block=max(1, min(self.block, words // self.slots)))
 
 
 def n_words(text: str) -> Column:
@@ -110,6 +105,18 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     return dealt.withColumn("inside", inside).join(before, ["rank", "segment"]).select("rank", (F.col("before") + F.col("inside")).alias("block"))
 
 
+def settled(slots: DataFrame, sources: DataFrame, block: int) -> DataFrame:
+    """(rank, block, words): the schedule's blocks, with each source's end set right to its target in whole words."""
+    whole = F.round("target").cast("long")
+    needed = sources.select("rank", whole.alias("whole")).where("whole > 0").withColumn("needed", F.ceil(F.col("whole") / block))
+    dealt = slots.groupBy("rank").agg((F.max("block") + 1).alias("dealt"))
+    known = needed.join(dealt, "rank", "left").withColumn("dealt", F.coalesce("dealt", F.lit(0)))
+    # The points' discrepancy bounds what is missing: it grows as the logarithm of the slots.
+    missing = known.where("dealt < needed").withColumn("block", F.explode(F.sequence(F.col("dealt"), F.col("needed") - 1)))
+    kept = slots.join(needed, "rank").where("block < needed").select("rank", "block", "whole").unionAll(missing.select("rank", "block", "whole"))
+    return kept.select("rank", "block", F.least(F.lit(block), F.col("whole") - F.col("block") * block).alias("words"))
+
+
 def mixture(
     docs: DataFrame,
     p: MixParams = MixParams(),
@@ -121,7 +128,7 @@ def mixture(
     """The columns ``keep`` of ``docs`` (all by default) with ``size``, ``source_size``, ``target`` and ``taken``.
 
     ``taken`` counts a document's words in the mix, repeats included: ``taken div size`` whole copies
-    and then its first ``taken % size`` words. A null text has no words and is never taken; a null
+    and then its first ``taken % size`` words. A source's ``taken`` add up to its target, rounded. A null text has no words and is never taken; a null
     source is a source of its own. The shuffle hashes doc_id and text, so reruns agree; rows that
     repeat are rows of their own. A table without words has targets of 0. Columns of ``docs`` named
     like an added one are replaced.
@@ -139,7 +146,6 @@ def mixture(
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     sizes = materialize(sizes, "sources")
     words, rows = sizes.agg(F.sum("source_size"), F.sum("docs")).first()
-    p = p.sized(words or 0)
     sources = materialize(targets(sizes.select("source", "source_size"), p), "targets")
 
     parts = max(1, -(-(rows or 0) // ROWS))
@@ -157,24 +163,24 @@ def mixture(
         .join(before, ["rank", "segment"])
         .select("row", "rank", "size", "source_size", "target", (F.col("before") + F.col("inside")).alias("start"))
     )
-    taken = _taken(materialize(streams, "streams"), materialize(schedule(sources, round((words or 0) * p.share / p.block)), "slots"), p)
+    slots = materialize(schedule(sources, round((words or 0) * p.share / p.block)), "slots")
+    taken = _taken(materialize(streams, "streams"), settled(slots, sources, p.block), p)
     return base.select("doc", "row", "size").join(taken, "row").select("doc.*", "size", "source_size", "target", "taken")
 
 
 def _taken(streams: DataFrame, slots: DataFrame, p: MixParams) -> DataFrame:
     """(row, source_size, target, taken) by the join of the places in the streams with the slots' blocks."""
-    most = slots.groupBy("rank").agg((F.max("block") + 1).alias("blocks"))
-    # Copies of the stream that the source's blocks reach.
-    copies = F.least(F.lit(p.repeats), F.ceil(F.col("blocks") * p.block / F.col("source_size")))
+    copies = F.ceil(F.round("target") / F.col("source_size"))  # of the stream, that the source's words reach
     start, end, cut = F.col("begin"), F.col("begin") + F.col("size"), F.col("block") * p.block
     places = (
-        join_groups(streams.where("size > 0"), most, "rank", "row")
+        streams.where("size > 0 and round(target) > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(0), (copies - 1).cast("int"))))
         .select("rank", "start", "size", (F.col("copy") * F.col("source_size") + F.col("start")).alias("begin"))
         .withColumn("block", F.explode(F.sequence(F.floor(start / p.block), F.floor((end - 1) / p.block))))
-        .withColumn("words", F.least(end, cut + p.block) - F.greatest(start, cut))
+        .select("rank", "start", "block", (F.greatest(start, cut) - cut).alias("first"), (F.least(end, cut + p.block) - cut).alias("end"))
     )
-    taken = places.join(slots, ["rank", "block"]).groupBy("rank", "start").agg(F.sum("words").alias("taken"))
+    inside = F.greatest(F.least("end", "words") - F.col("first"), F.lit(0))
+    taken = places.join(slots, ["rank", "block"]).groupBy("rank", "start").agg(F.sum(inside).alias("taken"))
     counted = F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long")
     return streams.join(taken, ["rank", "start"], "left").select("row", "source_size", "target", counted.alias("taken"))
 
