@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkloom.llm.text import blocks, mix, powers, prefix_hashes, span_hashes
+from chunkloom.llm.text import BLOCK, blocks, mix, powers, prefix_hashes, span_hashes
 from chunkloom.session import materialize
 
 GRAM = 16
@@ -289,15 +289,29 @@ def _join(entry: list, child: tuple) -> None:
     entry[5].extend(waiting)
 
 
+def _windows(data: np.ndarray, begin: np.ndarray, count: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the windows of pieces that lie one behind the other; hashed in blocks of pieces, so that the sums stay small."""
+    out = np.empty(int(count.sum(dtype=np.int64)), dtype=np.uint64)
+    upto = np.append(0, np.cumsum(count, dtype=np.int64))
+    first = 0
+    while first < len(begin):
+        end = max(first + 1, int(np.searchsorted(begin, begin[first] + BLOCK)))
+        n = upto[first + 1 : end + 1] - upto[first:end]
+        at = np.arange(upto[end] - upto[first]) + np.repeat(begin[first:end] - begin[first] - upto[first:end] + upto[first], n)
+        stop = begin[end] if end < len(begin) else len(data)
+        out[upto[first] : upto[end]] = span_hashes(prefix_hashes(data[begin[first] : stop]), at, at + width)
+        first = end
+    return out
+
+
 def _repeats(table: pa.Table, parts: int, width: int) -> pa.Table:
     """Maximal repeats of a bucket's pieces as spans per part."""
     (uid, rank, anchor, start, count, data), _ = gathered(table.column("load"), *ASKED, "u1")
     size = count.astype(np.int64) + width - 1
     begin = np.append(0, np.cumsum(size))[:-1]
-    of = np.repeat(np.arange(len(uid)), count)
-    at = np.arange(len(of)) - np.repeat(np.cumsum(count, dtype=np.int64) - count, count) + begin[of]
-    sums = prefix_hashes(data)
-    window = span_hashes(sums, at, at + width)
+    window = _windows(data, begin, count, width)
+    of = np.repeat(np.arange(len(uid), dtype=np.int32), count)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(count, dtype=np.int64) - count - begin, count)
     left = np.where(at > begin[of], data[np.maximum(at - 1, 0)].astype(np.int64), -1 - np.arange(len(at)))
     # Windows found in one document only, or always after the same byte, begin no maximal repeat.
     use = np.argsort(window, kind="stable")
@@ -340,13 +354,12 @@ def _applied(texts: pa.Table, found: pa.Table, names: list[str], kept: str) -> p
         row = order[(first + k)[some]]
         np.add.at(change, offsets[row] + start[some], 1)
         np.add.at(change, offsets[row] + end[some], -1)
-    gone = np.cumsum(change)[:-1] > 0
+    gone = np.cumsum(change, out=change)[:-1] > 0
     rise = gone.copy()
     rise[1:] &= ~gone[:-1]
     edges = offsets[:-1][np.diff(offsets) > 0]
     rise[edges] = gone[edges]
-    sums = np.append(0, np.cumsum(gone)), np.append(0, np.cumsum(rise))
-    removed, spans = (x[offsets[1:]] - x[offsets[:-1]] for x in sums)
+    removed, spans = (np.diff(np.searchsorted(np.flatnonzero(x), offsets)) for x in (gone, rise))
     left = [data[a:b][~gone[a:b]].tobytes() if n else data[a:b].tobytes() for a, b, n in zip(offsets[:-1], offsets[1:], removed, strict=True)]
     if kept == "digest":
         left = [hashlib.sha256(x).hexdigest().encode() for x in left]
