@@ -217,7 +217,8 @@ def _met(pairs: DataFrame, index: VectorIndex, k: int, first: bool) -> DataFrame
                 keep = keep[dist[keep] <= bounds[rows[keep]] + 1e-9 * (1 + bounds[rows[keep]])]
                 yield pa.record_batch([pa.array(asks[rows[keep]]), pa.array(ids[base[keep]]), pa.array(dist[keep])], names=["query_id", "id", "distance"])
 
-    met = pairs.join(index.tiles, ["cell", "part"])
+    # Spark takes the dealt blocks for small, as it cannot see into them; broadcast, all of them would pass through the driver.
+    met = pairs.join(index.tiles.hint("merge"), ["cell", "part"])
     return met.mapInArrow(measure, "query_id long, id long, distance double")
 
 

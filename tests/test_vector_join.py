@@ -100,3 +100,14 @@ def test_nothing_passes_through_the_driver(spark, monkeypatch):
     index = build_index(base, TileParams(cells=4))
     monkeypatch.setattr(type(base), "toArrow", lambda self: pytest.fail("rows came to the driver"))
     assert nearest_in_index(index, asked(base), 3).count() == 150
+
+
+def test_dealt_blocks_are_not_broadcast(spark):
+    """They hold every question once per tile, whatever Spark takes them for; a broadcast would bring them to the driver."""
+    base = frame(spark, np.random.default_rng(1).normal(size=(50, 4)))
+    for p in (TileParams(cells=4), TileParams(cells=4, codes=False)):
+        index = build_index(base, p)
+        celled = vj._celled(asked(base), "query_id", index.quantizer, p.asks)[0].selectExpr("*", "double('inf') AS bound")
+        dealt = vj._dealt(vj._blocks_of(celled, 4), index, lambda own, a, b: sorted(index.parts))
+        plan = vj._met(dealt, index, 3, False)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
