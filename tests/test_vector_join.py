@@ -108,6 +108,7 @@ def test_dealt_blocks_are_not_broadcast(spark):
     for p in (TileParams(cells=4), TileParams(cells=4, codes=False)):
         index = build_index(base, p)
         celled = vj._celled(asked(base), "query_id", index.quantizer, p.asks)[0].selectExpr("*", "double('inf') AS bound")
-        dealt = vj._dealt(vj._blocks_of(celled, 4), index, lambda own, a, b: sorted(index.parts))
+        cells = sorted(index.parts)
+        dealt = vj._dealt(vj._blocks_of(celled, 4), index, lambda own, a, b, cells=cells: cells)
         plan = vj._met(dealt, index, 3, False)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
