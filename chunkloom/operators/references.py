@@ -8,6 +8,7 @@ reduced to one per name and folder on the way up, and occurrences to one per nam
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,11 @@ from pyspark.sql import functions as F
 
 from chunkloom.functions.paths import prefixes
 from chunkloom.operators.lines import numbered_lines
+from chunkloom.operators.segments import SEGMENT_BITS, line_segment
 from chunkloom.session import materialize
 
+#: Bits of the map of declared names that goes to the tasks.
+NAME_BITS = 24
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), ord("_")]] = True
 _PART = _LETTER.copy()
@@ -70,6 +74,50 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.mapInArrow(scan, "path string, line long, character long, name string")
 
 
+def name_map(named: DataFrame) -> np.ndarray:
+    """A bit for every ``name``: 2^NAME_BITS of them in 64-bit words, whatever the number of names. Runs a job."""
+    at = F.shiftright(F.crc32("name"), 32 - NAME_BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftright(crc32(name), {32 - NAME_BITS}) & 63L as int))")
+    words = named.where("name is not null").groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (NAME_BITS - 6), np.uint64)
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def gathered(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """``path, segment, name, places``: the occurrences of a name in a segment of a file's lines as one list of
+    ``(line, character)``, or a few: a batch makes its own. Names outside the map ``bits`` are left out. No shuffle."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, character, names = identifiers(batch.column("line"))
+            coded = names.dictionary_encode()
+            at = np.array([zlib.crc32(n.encode("utf-8")) >> (32 - NAME_BITS) for n in coded.dictionary.to_pylist()], np.uint64)
+            known = (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            kept = np.flatnonzero(known[coded.indices.to_numpy()])
+            if not len(kept):
+                continue
+            row, character, names = row[kept], character[kept], names.take(pa.array(kept))
+            taken = batch.select(["path", "line_no"]).take(pa.array(row))
+            line = taken.column("line_no").to_numpy()
+            codes = [c.dictionary_encode("encode").indices.to_numpy() for c in (names, taken.column("path"))]
+            keys = (codes[0], line >> SEGMENT_BITS, codes[1])
+            order = np.lexsort(keys)
+            new = np.ones(len(order), bool)
+            new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+            starts = np.flatnonzero(new)
+            first = pa.array(order[starts])
+            places = pa.StructArray.from_arrays([pa.array(line[order]), pa.array(character[order].astype(np.int64))], ["line", "character"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)).astype(np.int32)), places)
+            yield pa.record_batch(
+                [taken.column("path").take(first), pa.array(line[order[starts]] >> SEGMENT_BITS), names.take(first), lists],
+                names=["path", "segment", "name", "places"],
+            )
+
+    lines = numbered_lines(docs.select("path", "lines")).select("path", F.col("line_no").cast("long").alias("line_no"), "line")
+    return lines.mapInArrow(scan, "path string, segment long, name string, places array<struct<line: long, character: long>>")
+
+
 def nearest_declarations(used: DataFrame, symbols: DataFrame) -> DataFrame:
     """``name, path, symbol_id``: what each ``(name, path)`` of ``used`` means; names without a declaration are left out."""
     place = F.struct("path", "start_line", "symbol_id")
@@ -83,12 +131,15 @@ def nearest_declarations(used: DataFrame, symbols: DataFrame) -> DataFrame:
 def references_from_scan(docs: DataFrame, symbols: DataFrame) -> DataFrame:
     """``symbol_id, name, path, line, character``: every place of ``docs`` that names a symbol, without the declarations.
 
-    ``symbols`` has ``symbol_id, path, name, start_line, start_character``; its declaration stands there. Occurrences of
-    declared names are written once to the shared folder.
+    ``symbols`` has ``symbol_id, path, name, start_line, start_character``; its declaration stands there. A map of the
+    declared names goes to every task, so that other identifiers are left where they are read. Occurrences travel as a row per name and segment of a file; those of declared names are written once
+    to the shared folder.
     """
-    named = symbols.select("name").distinct()
-    sites = symbols.select("path", F.col("start_line").alias("line"), F.col("start_character").alias("character"), "name")
-    found = occurrences(docs).join(named, "name", "left_semi").join(sites, ["path", "line", "character", "name"], "left_anti")
-    found = materialize(found, "occurrences")
+    named = materialize(symbols.select("name").distinct(), "declared-names")
+    site = F.struct(F.col("start_line").cast("long").alias("line"), F.col("start_character").cast("long").alias("character"))
+    sites = symbols.groupBy("path", line_segment(F.col("start_line")).alias("segment"), "name").agg(F.collect_set(site).alias("sites"))
+    found = gathered(docs, name_map(named)).join(named, "name", "left_semi").join(sites, ["path", "segment", "name"], "left")
+    others = F.when(F.col("sites").isNull(), F.col("places")).otherwise(F.filter("places", lambda p: ~F.array_contains("sites", p)))
+    found = materialize(found.select("path", "name", others.alias("places")).where(F.size("places") > 0), "occurrences")
     meant = nearest_declarations(found, symbols)
-    return found.join(meant, ["name", "path"]).select("symbol_id", "name", "path", "line", "character")
+    return found.join(meant, ["name", "path"]).select("symbol_id", "name", "path", F.inline("places"))

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from chunkloom.operators.lines import with_lines
-from chunkloom.operators.references import identifiers, occurrences, references_from_scan
+from chunkloom.operators.references import gathered, identifiers, name_map, occurrences, references_from_scan
 
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
@@ -78,3 +78,15 @@ def test_empty_and_long(spark):
     assert references_from_scan(lines, table.where("false")).count() == 0
     assert references_from_scan(lines.where("false"), table).count() == 0
     assert occurrences(lines).count() == 50_001
+
+
+def test_only_declared_names_leave_the_scan(spark):
+    """A row per name and segment of a file; a path that two documents have, and a name declared again where it is used."""
+    docs = [("/a.txt", "Zed other Zed\nmore Zed words"), ("/a.txt", "Zed é Zed"), ("/b.txt", "\n" * 5000 + "Zed"), ("/c.txt", "none here")]
+    symbols = [(1, "/a.txt", "Zed", 0, 0), (2, "/b.txt", "Zed", 5000, 0), (3, "/q.txt", "words", 0, 0)]
+    lines, table = frames(spark, docs, symbols)
+    rows = gathered(lines.coalesce(1), name_map(table.select("name").distinct())).collect()
+    assert {r.name for r in rows} == {"Zed", "words"} and len(rows) == 3
+    assert sorted(r.segment for r in rows) == [0, 0, 1]
+    got = sorted(tuple(r) for r in references_from_scan(lines, table).collect())
+    assert got == [(1, "Zed", "/a.txt", 0, 6), (1, "Zed", "/a.txt", 0, 10), (1, "Zed", "/a.txt", 1, 5), (3, "words", "/a.txt", 1, 9)]
