@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chunkloom.session import materialize
+
 SALTS = 32
 
 
@@ -76,7 +78,7 @@ def search_index(
     ``pattern_id, pattern, score, rank``. An empty pattern matches every name; a null one matches nothing.
 
     Names are ranked before their symbols are joined, in parts first, so a pattern that matches everything
-    is no single task.
+    is no single task; what is left is written once to the shared folder. Symbols of one name rank by their ids for every pattern: of a name the first ``limit`` are joined.
     """
     asked = patterns.where(F.col("pattern").isNotNull()).select("pattern_id", "pattern", F.lower("pattern").alias("low_pattern"))
     wanted = asked.select(F.col("low_pattern").alias("pattern")).distinct()
@@ -85,7 +87,12 @@ def search_index(
     for keys in (["pattern", "salt"], ["pattern"]):
         found = found.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(SALTS)))
         found = found.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*best))).where(F.col("rank") <= limit)
-    rows = found.select(F.col("pattern").alias("low_pattern"), "name", "score").join(symbols, "name")
+    found = materialize(found.select("pattern", "name", "score"), "names-found")
+    listed = symbols.join(found.select("name").distinct(), "name", "left_semi")
+    for keys in (["name", "__salt"], ["name"]):
+        listed = listed.withColumn("__salt", F.pmod(F.xxhash64("symbol_id"), F.lit(SALTS)))
+        listed = listed.withColumn("__nth", F.row_number().over(W.partitionBy(*keys).orderBy("symbol_id"))).where(F.col("__nth") <= limit)
+    rows = found.select(F.col("pattern").alias("low_pattern"), "name", "score").join(listed.drop("__salt", "__nth"), "name")
     for keys in (["low_pattern", "salt"], ["low_pattern"]):
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("symbol_id"), F.lit(SALTS)))
         rows = rows.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*best, "symbol_id"))).where(F.col("rank") <= limit)
