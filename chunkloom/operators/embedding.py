@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 POLICIES = ("mean", "first_line", "concat")
+#: Lines embedded at once: the matrices of a batch of many short lines are far larger than its texts.
+LINES = 4096
 DEFAULT_MODEL = "hash-64"
 
 
@@ -30,7 +32,7 @@ class Embedder(Protocol):
 class _WordCodes(dict):
     """Word to code, computed on first sight; bounded so that a worker's memory is too."""
 
-    LIMIT = 1_000_000
+    LIMIT = 1 << 16
 
     def __init__(self, width: int) -> None:
         self.width = width
@@ -61,6 +63,8 @@ class HashEmbedder:
         return HashEmbedder, (self.dims,)
 
     def embed(self, texts: list[str]) -> np.ndarray:
+        if len(texts) > LINES:
+            return np.concatenate([self.embed(texts[at : at + LINES]) for at in range(0, len(texts), LINES)])
         codes: list[int] = []
         sizes = []
         for text in texts:
@@ -124,6 +128,15 @@ def _embed_rows(rows: pa.ListArray, embedder: Embedder, policy: str, batch: int
     return out
 
 
+def _parts(rows: pa.ListArray) -> Iterator[pa.ListArray]:
+    """The array in parts of ``LINES`` lines at most, or one list; an empty array is one part."""
+    offsets, at = rows.offsets.to_numpy().astype(np.int64), 0
+    while at < len(rows) or not at:
+        end = min(len(rows), max(at + 1, int(np.searchsorted(offsets, offsets[at] + LINES, side="right")) - 1))
+        yield rows.slice(at, end - at)
+        at = max(end, 1)
+
+
 def embed_lines(text: Column, embedder: Embedder, policy: str = "mean", batch: int | None = None) -> Column:
     """Vector of an ``array<string>`` column.
 
@@ -139,7 +152,7 @@ def embed_lines(text: Column, embedder: Embedder, policy: str = "mean", batch: i
         for rows in batches:
             if rows.null_count:
                 rows = pa.array([lines or [] for lines in rows.to_pylist()], pa.list_(pa.string()))
-            matrix = _embed_rows(rows, embedder, policy, batch)
+            matrix = np.concatenate([_embed_rows(part, embedder, policy, batch) for part in _parts(rows)])
             ends = np.arange(0, matrix.size + 1, embedder.dims, dtype=np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(matrix.reshape(-1)))
 

@@ -24,7 +24,8 @@ METRICS = ("l2", "cosine", "dot")
 # is answered in several blocks of that size.
 BLOCK_ROWS = 20_000
 BLOCK_VALUES = 4_000_000
-_TILE_VALUES = 2_000_000
+# Distances of a tile, and values of pairs that are measured, at a time: each is held in a few matrices at once.
+_TILE_VALUES = 500_000
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -114,7 +115,11 @@ class _TopK:
         if not len(rows):
             return
         # The survivors per batch are cut to k before they are joined to the pool.
-        dist = _pairwise(self.queries[rows], vectors[base], self.metric) + 0.0
+        dist = np.empty(len(rows))
+        step = max(1, _TILE_VALUES // max(1, vectors.shape[1]))
+        for at in range(0, len(rows), step):
+            part = slice(at, at + step)
+            dist[part] = _pairwise(self.queries[rows[part]], vectors[base[part]], self.metric) + 0.0
         keep = _rank_order(rows, dist, self._ids(payload)[base], self.k)
         rows, dist, table = rows[keep], dist[keep], payload.take(pa.array(base[keep]))
         if self.kept is not None:
